@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import mixing, sharding
+from quire.llm import decontam, mixing, sharding, simhash, tokens
+
+#: The vocabulary whose pieces op1 counts, among the public tokenizer files.
+VOCABULARY = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(VOCABULARY), "rb") as file:
+        return tokens.count_tokens(table(spark, sf_dir, "documents"), file.read())
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"))
 
@@ -22,6 +39,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
+    "op2_decontamination": op2_decontamination,
+    "op3_simhash": op3_simhash,
     "op8_sharding": op8_sharding,
     "op10_mixing": op10_mixing,
 }
