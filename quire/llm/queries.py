@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, mixing, sharding, simhash, tokens
+from quire.llm import decontam, mixing, quality, sharding, simhash, tokens, toxicity
 
 #: The vocabulary whose pieces op1 counts, among the public tokenizer files.
 VOCABULARY = "piece_bpe_32k.model"
@@ -30,10 +30,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
@@ -42,7 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
