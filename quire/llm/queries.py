@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, mixing, quality, sharding, simhash, tokens, toxicity
+from quire.llm import decontam, mixing, pii, quality, sharding, simhash, tokens, toxicity
 
 #: The vocabulary whose pieces op1 counts, among the public tokenizer files.
 VOCABULARY = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokens": op1_tokens,
     "op2_decontamination": op2_decontamination,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
