@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, mixing, pii, quality, sharding, simhash, tokens, toxicity, vectors
+from quire.llm import decontam, lines, mixing, pii, quality, sharding, simhash, tokens, toxicity, vectors
 
 #: The vocabulary whose pieces op1 counts, among the public tokenizer files.
 VOCABULARY = "piece_bpe_32k.model"
@@ -38,6 +38,10 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removals(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "removed")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_embeddings": op5_embeddings,
+    "op6_lines": op6_lines,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
