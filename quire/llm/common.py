@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +46,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the counted rows are few; without it Spark joins by shuffling."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df as Parquet to the shared checkpoint folder and read it again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
