@@ -66,7 +66,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps of the least squares, by pooling neighbours that fall: each step's lowest score and its mean.
+    """Rising steps of the least squares, by pooling neighbours that fall: each step's ends and, twice, its mean.
 
     Each mean is smoothed by one row of the overall share, so that no step says 0 or 1.
     """
@@ -78,15 +78,16 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1][1] += v
             blocks[-1][2] += 1
         else:
-            blocks.append([s, v, 1])
+            blocks.append([s, v, 1, s])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            _, v2, n2 = blocks.pop()
+            _, v2, n2, high = blocks.pop()
             blocks[-1][1] += v2
             blocks[-1][2] += n2
-    low, mean = np.array([b[0] for b in blocks]), np.array([(b[1] + prior) / (b[2] + 1) for b in blocks])
-    return low, np.maximum.accumulate(mean)
+            blocks[-1][3] = high
+    ends = np.array([(b[0], b[3]) for b in blocks]).reshape(-1)
+    return ends, np.repeat(np.maximum.accumulate([(b[1] + prior) / (b[2] + 1) for b in blocks]), 2)
 
 
-def calibrated(score: np.ndarray, low: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """The calibrated values, linear between the steps' lowest scores."""
-    return np.interp(score, low, mean)
+def calibrated(score: np.ndarray, ends: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The calibrated values: a step's mean inside it, linear between steps."""
+    return np.interp(score, ends, mean)

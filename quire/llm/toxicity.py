@@ -139,13 +139,13 @@ def cross_fold():
 class Model:
     lexicon: Lexicon
     trees: Trees | None
-    low: np.ndarray
+    ends: np.ndarray
     mean: np.ndarray
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.trees is None:
             return np.full(len(features), self.mean[0])
-        return calibrated(self.trees.margins(features), self.low, self.mean)
+        return calibrated(self.trees.margins(features), self.ends, self.mean)
 
 
 def share_of(positive: np.ndarray, negative: np.ndarray, prior: float) -> np.ndarray:
