@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Let Spark drop the shuffle files of what is checkpointed by now: it does so once the driver has collected its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

@@ -2,80 +2,135 @@
 
 from __future__ import annotations
 
-import struct
+import re
 import sys
-from collections import Counter
 from collections.abc import Callable, Iterator
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import broadcast_if_small, checkpoint
+from quire.llm.common import broadcast_if_small, checkpoint, release
 
 JACCARD = 0.8
 #: Counters of the sketch that orders tokens by rarity, and how many of them travel in one row.
 SKETCH, CHUNK = 1 << 21, 1 << 13
 #: Sets of lines that may share a prefix token before they are compared piece by piece.
 PIECE = 4096
-#: Distinct tokens whose hashes a Python worker keeps.
-MEMO = 400_000
+#: Bytes of text that are cut into tokens at once, and tokens that are grouped to lines at once.
+BLOCK, TOKENS = 1 << 20, 1_000_000
+#: Tokens of more bytes than this are hashed one by one.
+LONG = 1 << 16
 #: Rows that a task compares at once, but for a bucket that goes on.
 AT_ONCE = 200_000
 EPS = 1e-9
+BREAK = re.compile(rb"[\t-\r ]")
+IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+NONE = np.uint64((1 << 64) - 1)
+BASE = 0x9E3779B97F4A7C15
+#: Widths to which lines are padded, so that lines of like length are sorted as rows of one matrix.
+WIDTHS = np.array([2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 2048, 4096])
 
 
-def hash_token(token: str) -> int:
-    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+def powers(factor: int, n: int) -> np.ndarray:
+    """factor**0, factor**1, ... modulo 2**64."""
+    found = np.full(n, factor, np.uint64)
+    found[0] = 1
+    return np.multiply.accumulate(found)
 
 
-def line_tokens(text: str) -> Iterator[tuple[int, frozenset[str]]]:
-    """Number and tokens of each line that has any: words between white space, in lower case, each once."""
-    for number, line in enumerate(text.split("\n")):
-        if tokens := frozenset(line.lower().split()):
-            yield number, tokens
+class Tokens:
+    """Cuts text into tokens and hashes them, whole blocks at a time.
 
+    A token is a run of bytes other than ASCII white space of the lower-case text. Its hash is a polynomial of its bytes
+    modulo 2**64, which differences of running sums give for all tokens of a block at once, and which is then mixed.
+    """
 
-def prefix_length(size: int, least: float) -> int:
+    def __init__(self):
+        self.up, self.down = powers(BASE, BLOCK + LONG), powers(pow(BASE, -1, 1 << 64), BLOCK + LONG)
+
+    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the tokens, and for each how many line ends are before it."""
+        b = np.frombuffer(data, np.uint8)
+        word = np.concatenate(([False], ~IS_SPACE[b], [False]))
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.up[: len(b)])))
+        h = (sums[ends] - sums[starts]) * self.down[starts]
+        h ^= (ends - starts).astype(np.uint64) << np.uint64(48)
+        h = mix(h)
+        for i in np.flatnonzero(ends - starts > LONG):
+            h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+        return h, np.searchsorted(np.flatnonzero(b == 10), starts)
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and line numbers of a text's tokens, in order."""
+        data = text.lower().encode("utf-8", "surrogatepass")
+        hashes, lines, start, line = [], [], 0, 0
+        while start < len(data):
+            end, long = len(data), None
+            if end - start > BLOCK + LONG:
+                found = BREAK.search(data, start + BLOCK)
+                end = found.start() if found else len(data)
+                if end - start > BLOCK + LONG:  # a token too long for a block: it ends at `end`
+                    long = max(data.rfind(s, start, start + BLOCK) for s in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) + 1 or start
+                    long = max(long, start)
+            upto = end if long is None else long
+            h, n = self.block(data[start:upto])
+            hashes.append(h)
+            lines.append(n + line)
+            line += data.count(b"\n", start, upto)
+            if long is not None:
+                hashes.append(np.array([xxhash.xxh64_intdigest(data[long:end])], np.uint64))
+                lines.append(np.array([line]))
+            start = end
+        return (np.concatenate(hashes), np.concatenate(lines)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def prefix_length(size: np.ndarray, least: float) -> np.ndarray:
     """So many of the rarest tokens that two sets this similar share one of them."""
-    return size - ceil(size * least - EPS) + 1
+    return (size - np.ceil(size * least - EPS) + 1).astype(np.int64)
 
 
-def summed_sketch(rows: DataFrame, count: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
-    """Counts by bucket of what `count` gives for each batch, as (buckets, numbers).
+def summed_sketch(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """Counts by bucket of the hashes that `count` gives for a task's batches.
 
     Each task sends its counters in chunks; chunks are summed as they stream past, and SKETCH counters reach the driver.
     """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for buckets, numbers in count(batch):
-                counters += np.bincount(buckets, numbers, SKETCH).astype(np.int64)
+        for hashes in count(batches):
+            counters += np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         chunks = np.flatnonzero(counters.reshape(-1, CHUNK).any(axis=1))
-        parts = [np.minimum(counters[c * CHUNK : (c + 1) * CHUNK], (1 << 31) - 1).astype(np.int32).tobytes() for c in chunks]
+        parts = [small(counters[c * CHUNK : (c + 1) * CHUNK]) for c in chunks]
         yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
+    def small(counters: np.ndarray) -> bytes:
+        return np.minimum(counters, (1 << 31) - 1).astype(np.int32).tobytes()
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(CHUNK, np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()], pa.binary())], ["chunk", "counts"])
-
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if chunk != at:
                     if at is not None:
-                        yield out()
+                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([small(total)], pa.binary())], ["chunk", "counts"])
                     at, total = chunk, np.zeros(CHUNK, np.int64)
                 total = total + np.frombuffer(counts.as_py(), np.int32)
         if at is not None:
-            yield out()
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([small(total)], pa.binary())], ["chunk", "counts"])
 
     schema = "chunk int, counts binary"
     summed = rows.mapInArrow(tasks, schema).repartition("chunk").sortWithinPartitions("chunk").mapInArrow(sums, schema)
@@ -85,130 +140,132 @@ def summed_sketch(rows: DataFrame, count: Callable[[pa.RecordBatch], Iterator[tu
     return sketch.reshape(-1)
 
 
-def token_counts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """How many lines have each token, by bucket of its hash."""
-    counted: Counter[str] = Counter()
-    for text in batch.column(0):
-        for _, tokens in line_tokens(text.as_py() or ""):
-            counted.update(tokens)
-        if len(counted) > MEMO:
-            yield bucketed(counted)
-            counted = Counter()
-    yield bucketed(counted)
-
+def text_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    cut, waiting = Tokens(), []
+    for batch in batches:
+        for text in batch.column(0):
+            waiting.append(cut.of(text.as_py() or "")[0])
+            if sum(map(len, waiting[-64:])) > TOKENS or len(waiting) >= 1024:
+                yield np.concatenate(waiting)
+                waiting = []
+    if waiting:
+        yield np.concatenate(waiting)
 
-def bucketed(counted: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([hash_token(t) % SKETCH for t in counted], np.int64), np.fromiter(counted.values(), np.int64, len(counted))
 
+def prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield batch.column(0).flatten().to_numpy().view(np.uint64)
 
-class Ranks:
-    """A number for each token that sorts by rarity: 16 bits for the logarithm of its count, 48 of its hash."""
 
-    def __init__(self, sketch: np.ndarray):
-        self.sketch, self.memo = sketch, {}
+def line_sets(hashes: np.ndarray, starts: np.ndarray, scale: np.ndarray, least: float) -> dict[str, np.ndarray | pa.Array]:
+    """Of lines that begin at `starts` among the hashes of their tokens: size, k1, k2, bits and prefix.
 
-    def of(self, tokens: frozenset[str]) -> list[int]:
-        try:
-            return sorted(map(self.memo.__getitem__, tokens))
-        except KeyError:
-            if len(self.memo) > MEMO:
-                self.memo = {}
-            for t in tokens:
-                if t not in self.memo:
-                    h = hash_token(t)
-                    self.memo[t] = int(log2(int(self.sketch[h % SKETCH]) + 1) * 1024) << 48 | h >> 16
-            return sorted(map(self.memo.__getitem__, tokens))
+    scale gives the rarity of each hash bucket. A token's rank has 16 bits of it and 48 of its hash; equal tokens have
+    equal ranks, and a line's prefix are its least.
+    """
+    lengths = np.diff(np.concatenate((starts, [len(hashes)])))
+    ranks = scale[(hashes % np.uint64(SKETCH)).astype(np.int64)] << np.uint64(48) | hashes >> np.uint64(16)
+    n = len(starts)
+    size, k1, k2, bits = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    prefixes: list[tuple[np.ndarray, np.ndarray]] = []
+    width = WIDTHS[np.minimum(np.searchsorted(WIDTHS, lengths), len(WIDTHS) - 1)]
+    groups = [(int(w), np.flatnonzero((width == w) & (lengths <= WIDTHS[-1]))) for w in np.unique(width)]
+    groups += [(int(lengths[i]), np.array([i])) for i in np.flatnonzero(lengths > WIDTHS[-1])]
+    for w, rows in groups:
+        for s in range(0, len(rows), max(1, TOKENS // w)):
+            own = rows[s : s + max(1, TOKENS // w)]
+            column = np.arange(w)[None, :]
+            inside = column < lengths[own][:, None]
+            table = np.where(inside, ranks[np.minimum(starts[own][:, None] + column, len(ranks) - 1)], NONE)
+            table.sort(axis=1)
+            same = (table[:, 1:] == table[:, :-1]) & (table[:, 1:] != NONE)
+            if (again := same.any(axis=1)).any():
+                part = table[again]
+                part[:, 1:][same[again]] = NONE
+                part.sort(axis=1)
+                table[again] = part
+            known = table != NONE
+            mixed = mix(table)
+            size[own] = known.sum(axis=1)
+            k1[own] = np.where(known, mixed, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            k2[own] = np.where(known, mix(mixed ^ np.uint64(BASE)), np.uint64(0)).sum(axis=1, dtype=np.uint64)
+            bits[own] = np.bitwise_or.reduce(np.where(known, np.uint64(1) << (mixed >> np.uint64(58)), np.uint64(0)), axis=1)
+            first = prefix_length(size[own], least)
+            kept = column < first[:, None]
+            prefixes.append((np.repeat(own, first), table[kept]))
+    owner = np.concatenate([o for o, _ in prefixes])
+    values = np.concatenate([v for _, v in prefixes])
+    by_line = np.argsort(owner, kind="stable")
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
+    return {"size": size, "k1": k1, "k2": k2, "bits": bits, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[by_line].view(np.int64)))}
 
 
 def occurrences(docs: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
-    """A row for each line with tokens: doc_id, text_hash, line, k1 and k2 (the set's hash) and what joins it.
-
-    The last, `packed`, holds size, a bitmap of 128 bits and the ranks of the prefix. Each document has one more row,
-    with null from `line` on.
-    """
+    """A row for each line with tokens: doc_id, text_hash, line, k1 and k2 (the set's hash), size, bits and prefix."""
+    scale = (np.log2(sketch.astype(np.float64) + 1) * 1024).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = Ranks(sketch)
-        for batch in batches:
-            owner, number, sizes, flat, prefixes = [], [], [], [], []
-
-            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-                values = np.array(flat, np.uint64)
-                mixed = (values ^ values >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(29)
-                k1, k2 = np.add.reduceat(mixed, starts), np.add.reduceat(mixed * mixed ^ values, starts)
-                bit = mixed >> np.uint64(57)
-                one = np.uint64(1) << (bit & np.uint64(63))
-                low = np.bitwise_or.reduceat(np.where(bit < 64, one, 0).astype(np.uint64), starts)
-                high = np.bitwise_or.reduceat(np.where(bit < 64, 0, one).astype(np.uint64), starts)
-                packed = [struct.pack(f"<I2Q{len(p)}Q", s, a, b, *p) for s, a, b, p in zip(sizes, low.tolist(), high.tolist(), prefixes, strict=True)]
-                ids = batch.select([0, 1]).take(pa.array(owner, pa.int64()))
-                return pa.RecordBatch.from_arrays(
-                    [*ids.columns, pa.array(number, pa.int32()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(packed, pa.binary())], names
-                )
+        cut, rarity = Tokens(), scale.astype(np.uint64)
+
+        def out(ids: pa.RecordBatch, owners: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            hashes = np.concatenate([h for h, _ in found])
+            line = np.concatenate([n for _, n in found])
+            owner = np.repeat(owners, [len(h) for h, _ in found])
+            starts = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1]))))
+            made = line_sets(hashes, starts, rarity, least)
+            columns = [*ids.take(pa.array(owner[starts])).columns, pa.array(line[starts].astype(np.int32)), pa.array(made["k1"].view(np.int64)), pa.array(made["k2"].view(np.int64))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(made["size"].astype(np.int32)), pa.array(made["bits"].view(np.int64)), made["prefix"]], names)
 
+        for batch in batches:
+            ids, owners, found, total = batch.select([0, 1]), [], [], 0
             for i, text in enumerate(batch.column(2)):
-                for line, tokens in line_tokens(text.as_py() or ""):
-                    r = ranks.of(tokens)
-                    owner.append(i)
-                    number.append(line)
-                    sizes.append(len(r))
-                    flat += r
-                    prefixes.append(r[: prefix_length(len(r), least)])
-                    if len(flat) > 500_000:
-                        yield out()
-                        owner, number, sizes, flat, prefixes = [], [], [], [], []
-            if owner:
-                yield out()
-            empty = [pa.nulls(len(batch), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *empty], names)
+                h, n = cut.of(text.as_py() or "")
+                if len(h):
+                    owners.append(i)
+                    found.append((h, n))
+                    total += len(h)
+                if total > TOKENS:
+                    yield out(ids, owners, found)
+                    owners, found, total = [], [], 0
+            if owners:
+                yield out(ids, owners, found)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    names = ["doc_id", "text_hash", "line", "k1", "k2", "packed"]
-    schema = T.StructType([rows.schema["doc_id"]]).add("text_hash", "long").add("line", "integer").add("k1", "long").add("k2", "long").add("packed", "binary")
-    return rows.mapInArrow(run, schema)
-
-
-def prefix_counts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """How many sets have each token in their prefix, by bucket."""
-    ranks = [np.frombuffer(p.as_py(), np.uint64, offset=20) for p in batch.column(0)]
-    if ranks:
-        found = (np.concatenate(ranks) % np.uint64(SKETCH)).astype(np.int64)
-        yield found, np.ones(len(found), np.int64)
+    names = ["doc_id", "text_hash", "line", "k1", "k2", "size", "bits", "prefix"]
+    schema = T.StructType([rows.schema["doc_id"]]).add("text_hash", "long").add("line", "integer").add("k1", "long").add("k2", "long")
+    return rows.mapInArrow(run, schema.add("size", "integer").add("bits", "long").add("prefix", T.ArrayType(T.LongType())))
 
 
 def postings(sets: DataFrame, sketch: np.ndarray, piece: int) -> DataFrame:
     """A row for each set and prefix token that another set may share, as often as pieces of the token's sets meet.
 
-    Columns: token, low and high (a pair of pieces), mine, k1, doc, size, place (in the prefix), b1, b2.
+    Columns: token, pair (the two pieces, and in the last bit whether the set is of the second), k1, doc, shape (size
+    and place in the prefix) and bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [p.as_py() for p in batch.column(2)]
-            heads = np.frombuffer(b"".join([p[:20] for p in packed]), np.dtype([("size", "<u4"), ("b1", "<i8"), ("b2", "<i8")]))
-            lengths = np.array([(len(p) - 20) // 8 for p in packed], np.int64)
-            owner = np.repeat(np.arange(len(packed)), lengths)
+            k1, doc, size, bits = (batch.column(i).to_numpy() for i in range(4))
+            prefix = batch.column(4)
+            lengths = np.diff(prefix.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            token = np.frombuffer(b"".join([p[20:] for p in packed]), np.uint64)
-            count = sketch[(token % np.uint64(SKETCH)).astype(np.int64)]
+            token = prefix.flatten().to_numpy()
+            count = sketch[(token.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]
             kept = np.flatnonzero(count > 1)
-            k1, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            pieces = -(-count[kept] // piece)
+            pieces = -(-count[kept].astype(np.int64) // piece)
             at = np.repeat(kept, pieces)
-            own = (k1[owner[at]].view(np.uint64) >> np.uint64(7)) % np.repeat(pieces, pieces).astype(np.uint64)
             other = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            mine = own.astype(np.int64)
             who = owner[at]
+            own = ((k1[who].view(np.uint64) >> np.uint64(7)) % np.repeat(pieces, pieces).astype(np.uint64)).astype(np.int64)
+            pair = np.minimum(own, other) << 33 | np.maximum(own, other) << 1 | (own > other)
+            shape = size[who].astype(np.int64) << 32 | place[at]
             for s in range(0, len(at), AT_ONCE):
                 p = slice(s, s + AT_ONCE)
-                columns = [token[at[p]].view(np.int64), np.minimum(mine[p], other[p]), np.maximum(mine[p], other[p]), mine[p], k1[who[p]], doc[who[p]]]
-                columns += [heads["size"][who[p]].astype(np.int64), place[at[p]], heads["b1"][who[p]], heads["b2"][who[p]]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c[p]) for c in (token[at], pair, k1[who], doc[who], shape, bits[who])], names)
 
-    names = ["token", "low", "high", "mine", "k1", "doc", "size", "place", "b1", "b2"]
-    return sets.select("k1", "doc", "packed").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    names = ["token", "pair", "k1", "doc", "shape", "bits"]
+    return sets.select("k1", "doc", "size", "bits", "prefix").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def needed(sizes_a, sizes_b, least: float):
@@ -216,13 +273,14 @@ def needed(sizes_a, sizes_b, least: float):
     return np.ceil((sizes_a + sizes_b) * (least / (1 + least)) - EPS)
 
 
-def best_candidates(columns: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_candidates(token, pair, k1, doc, shape, bits, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows in order of bucket and size: the rows with a candidate, the candidate of the earliest document, how many there are.
 
     Rows of a bucket are compared at distance 1, 2, ... as long as the length filter lets the smaller set reach. The
     positional filter and the bitmaps, which can't differ in more bits than the sets in tokens, take most others out.
     """
-    keys, size, place, doc = (columns[n] for n in ("key", "size", "place", "doc"))
+    bucket, size, place = pair >> 1, shape >> 32, shape & ((1 << 32) - 1)
+    one_piece = (bucket >> 32) == (bucket & ((1 << 32) - 1))
     n = len(size)
     best, seen = np.full(n, -1), np.zeros(n, np.int64)
     i, distance = np.arange(n), 0
@@ -230,14 +288,13 @@ def best_candidates(columns: dict[str, np.ndarray], least: float) -> tuple[np.nd
         distance += 1
         i = i[i + distance < n]
         j = i + distance
-        i = i[(keys[i] == keys[j]) & (size[j] * least <= size[i] + EPS)]
+        i = i[(token[i] == token[j]) & (bucket[i] == bucket[j]) & (size[j] * least <= size[i] + EPS)]
         j = i + distance
         share = needed(size[i], size[j], least)
-        hit = (np.minimum(size[i] - place[i], size[j] - place[j]) >= share) & (columns["k1"][i] != columns["k1"][j])
-        hit &= (columns["low"][i] == columns["high"][i]) | (columns["mine"][i] != columns["mine"][j])
-        a, b = i[hit], j[hit]
-        differ = sum(np.bitwise_count((columns[c][a] ^ columns[c][b]).view(np.uint64)).astype(np.int64) for c in ("b1", "b2"))
-        near = differ <= size[a] + size[b] - 2 * share[hit]
+        hit = (np.minimum(size[i] - place[i], size[j] - place[j]) >= share) & (k1[i] != k1[j])
+        hit &= one_piece[i] | ((pair[i] ^ pair[j]) & 1 == 1)
+        a, b, share = i[hit], j[hit], share[hit]
+        near = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= size[a] + size[b] - 2 * share
         a, b = a[near], b[near]
         for first, later in ((a, b), (b, a)):
             ok = doc[first] <= doc[later]
@@ -254,19 +311,15 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(table: np.ndarray) -> pa.RecordBatch:
-            columns = dict(zip(names, table, strict=True))
-            starts = (table[:3, 1:] != table[:3, :-1]).any(axis=0)
-            columns["key"] = np.concatenate(([0], np.cumsum(starts)))
-            at, best, seen = best_candidates(columns, least)
-            k1 = columns["k1"]
-            return pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k1[best]), pa.array(seen)], ["later", "first", "seen"])
+            at, best, seen = best_candidates(*table, least)
+            return pa.RecordBatch.from_arrays([pa.array(table[2][at]), pa.array(table[2][best]), pa.array(seen)], ["later", "first", "seen"])
 
         waiting: list[np.ndarray] = []
         for batch in batches:
             waiting.append(np.stack([c.to_numpy() for c in batch.columns]))
             if sum(w.shape[1] for w in waiting) >= AT_ONCE:
                 table = np.concatenate(waiting, axis=1)
-                other = np.flatnonzero((table[:3] != table[:3, -1:]).any(axis=0))
+                other = np.flatnonzero((table[0] != table[0, -1]) | (table[1] >> 1 != table[1, -1] >> 1))
                 cut = int(other[-1]) + 1 if len(other) else 0
                 if cut:
                     yield out(np.ascontiguousarray(table[:, :cut]))
@@ -274,8 +327,8 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
         if waiting and sum(w.shape[1] for w in waiting):
             yield out(np.ascontiguousarray(np.concatenate(waiting, axis=1)))
 
-    names = rows.columns
-    dealt = rows.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "k1")
+    bucket = F.shiftright("pair", 1)
+    dealt = rows.repartition("token", bucket).sortWithinPartitions("token", bucket, "shape")
     return dealt.mapInArrow(run, "later long, first long, seen long")
 
 
@@ -285,20 +338,24 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float)
     Only documents with such a line are read again, and only these lines of them are cut into tokens.
     """
     asked = pairs.select(F.explode(F.array("later", "first")).alias("k1")).distinct()
-    asked = checkpoint(firsts.join(asked, "k1", "left_semi").groupBy("k1").agg(F.min("at").alias("at")))
-    asked = asked.select("k1", "at", F.col("at.doc_id").alias("a_id"), F.col("at.text_hash").alias("a_text"), F.col("at.line").alias("a_line"))
-    few = broadcast_if_small(asked.groupBy("a_id", "a_text").agg(F.collect_set(F.struct("a_line", "k1")).alias("asked")), asked.count())
-    same = F.col("doc_id").eqNullSafe(F.col("a_id")) & F.xxhash64("text").eqNullSafe(F.col("a_text"))
-    held = docs.select("doc_id", "text").join(few, same).select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("one"))
-    held = held.select(F.col("one.k1").alias("k1"), F.get("lines", F.col("one.a_line")).alias("line"))
+    asked = checkpoint(firsts.join(asked, "k1", "left_semi"))
+    lines = F.collect_set(F.struct("line", "k1")).alias("asked")
+    few = asked.groupBy(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_text")).agg(lines)
+    same = F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.xxhash64("text") == F.col("a_text"))
+    held = docs.select("doc_id", "text").join(broadcast_if_small(few, asked.count()), same).select("text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [sorted(set(x.lower().split())) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.string()))], ["k1", "tokens"])
-
-    tokens = held.mapInArrow(run, "k1 long, tokens array<string>").groupBy("k1").agg(F.min("tokens").alias("tokens"))
-    tokens = tokens.join(asked.select("k1", order(F.col("at")).alias("at")), "k1")
+            keys, sets = [], []
+            for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                split = text.split("\n")
+                for one in lines:
+                    keys.append(one["k1"])
+                    sets.append(sorted(set(split[one["line"]].lower().encode("utf-8", "surrogatepass").split())))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.binary()))], ["k1", "tokens"])
+
+    tokens = held.mapInArrow(run, "k1 long, tokens array<binary>").groupBy("k1").agg(F.min("tokens").alias("tokens"))
+    tokens = tokens.join(asked.select("k1", order().alias("at")), "k1")
     sides = [tokens.select(*[F.col(c).alias(f"{side}_{c}") for c in ("k1", "tokens", "at")]) for side in ("later", "first")]
     both = pairs.select("later", "first").distinct().join(sides[0], F.col("later") == F.col("later_k1")).join(sides[1], F.col("first") == F.col("first_k1"))
     shared = F.size(F.array_intersect("later_tokens", "first_tokens"))
@@ -306,67 +363,98 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float)
     return both.filter(similar & (F.col("first_at") < F.col("later_at"))).select("later", "first")
 
 
-def order(at: Column) -> Column:
+def order() -> Column:
     """Earlier lines are less: by doc_id (null last), hash of the text, and number."""
-    return F.struct(at["doc_id"].isNull().alias("no_id"), at["doc_id"].alias("doc_id"), at["text_hash"].alias("text_hash"), at["line"].alias("line"))
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "line")
+
+
+def firsts_of_sets(found: DataFrame) -> DataFrame:
+    """The rows of found with `is_first`, true for the earliest line of each set; of its rows one alone keeps its prefix.
+
+    Rows are dealt by their set's hash and sorted; a set's lines stream past, however many there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # the first row of the set with which the last batch ended
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if before is None else pa.concat_batches([before, batch])
+            k1, k2, text, line = (rows.column(names.index(n)).to_numpy() for n in ("k1", "k2", "text_hash", "line"))
+            new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
+            start = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+            doc = rows.column(0)
+            other = doc.take(pa.array(start))
+            equal = pa.compute.or_kleene(pa.compute.equal(doc, other), pa.compute.and_(doc.is_null(), other.is_null())).fill_null(False)
+            first = equal.to_numpy(zero_copy_only=False) & (text == text[start]) & (line == line[start])
+            skip = 0 if before is None else 1
+            before = rows.slice(int(start[-1]), 1)
+            prefix = pa.compute.if_else(pa.array(new), rows.columns[-1], None)
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], prefix, pa.array(first)], [*names, "is_first"]).slice(skip)
+
+    names = found.columns
+    dealt = found.repartition("k1").sortWithinPartitions("k1", "k2", F.col("doc_id").asc_nulls_last(), "text_hash", "line")
+    return dealt.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("is_first", T.BooleanType())]))
 
 
 def removals(docs: DataFrame, least: float = JACCARD, piece: int = PIECE) -> DataFrame:
     """One row per document: doc_id, text_hash, n_lines (with tokens), n_removed and removed (line numbers from 0, sorted).
 
     A line goes if an earlier one (by doc_id, then line; null ids last) has the same tokens or a Jaccard similarity of
-    `least` or more, be that one removed or not. Tokens are words between white space, in lower case, each once; a line
-    without tokens stays. Rows with the same doc_id and text are one document. A null or empty text has no lines. An
-    empty table gives an empty result; other columns are not read.
-
-    Equal sets meet once, by a partial aggregate. Tokens are ordered by a sketch of their counts whose size doesn't
-    depend on the data: any order is exact, a rarer prefix only means fewer candidates. A second sketch, of prefix
-    tokens, takes out those that one set alone has, and cuts the sets of a frequent one into pieces that meet in pairs.
-    Each set first asks for its candidate of the earliest document alone; sets for which that fails, and which have
-    others, ask for all of these in a second round. So a group of many similar lines needs a row for each, not for each
-    pair, and no line is lost.
+    `least` or more, be that one removed or not. Tokens are words between ASCII white space, in lower case, each once; a
+    line without tokens stays. Rows with the same doc_id and text are one document. A null or empty text has no lines.
+    An empty table gives an empty result; other columns are not read.
+
+    Lines of one set of tokens meet once and give one set to the search. Tokens are ordered by a sketch of their counts
+    whose size doesn't depend on the data: any order is exact, a rarer prefix only means fewer candidates. A second
+    sketch, of prefix tokens, takes out those that one set alone has, and cuts the sets of a frequent one into pieces that
+    meet in pairs. Each set first asks for its candidate of the earliest document alone; sets for which that fails, and
+    which have others, ask for all of these in a second round. So a group of many similar lines needs a row for each,
+    not for each pair, and no line is lost. Token hashes only choose candidates; tokens themselves are compared.
     """
-    sketch = summed_sketch(docs.select("text"), token_counts)
-    found = checkpoint(occurrences(docs, sketch, least))
-    at = F.struct("doc_id", "text_hash", "line")
-    lines = found.filter(F.col("k1").isNotNull())
-    packed = lines.groupBy("k1", "k2").agg(F.min(order(at)).alias("at"), F.min("packed").alias("packed"))
+    sketch = summed_sketch(docs.select("text"), text_tokens)
+    found = occurrences(docs, sketch, least)
+    lines = checkpoint(firsts_of_sets(found))
+    release(docs)
     top = F.lit((1 << 63) - 1)
-    sets = checkpoint(packed.select("k1", "k2", "at", F.coalesce(F.col("at.doc_id").cast("long"), top).alias("doc"), "packed"))
-    firsts = sets.select("k1", "at")
-    shared = summed_sketch(sets.select("packed"), prefix_counts)
+    sets = lines.filter("prefix is not null").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), top))
+    firsts = sets.select("k1", "doc_id", "text_hash", "line")
+    shared = summed_sketch(sets.select("prefix"), prefix_tokens)
     asked = checkpoint(candidates(postings(sets, shared, piece), least).groupBy("later", "first").agg(F.max("seen").alias("seen")))
+    release(docs)
     matched = checkpoint(verified(asked, docs, firsts, least))
-    more = asked.groupBy("later").agg(F.max("seen").alias("seen"), F.count(F.lit(1)).alias("n")).filter("seen > 1")
+    more = asked.groupBy("later").agg(F.max("seen").alias("seen")).filter("seen > 1")
     more = checkpoint(more.join(matched, "later", "left_anti").select("later"))
     if pending := more.count():
         again = postings(sets, shared, piece)
         mine = again.join(broadcast_if_small(more.withColumnRenamed("later", "k1"), pending), "k1", "left_semi")
-        mine = mine.select(*[F.col(c).alias(f"my_{c}") for c in mine.columns])
-        both = again.join(mine, [F.col(c) == F.col(f"my_{c}") for c in ("token", "low", "high")])
-        share = F.ceil((F.col("size") + F.col("my_size")) * F.lit(least / (1 + least)) - F.lit(EPS))
-        differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("my_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("my_b2")))
-        both = both.filter(
-            (F.col("k1") != F.col("my_k1")) & (F.col("doc") <= F.col("my_doc"))
-            & (F.least("size", "my_size") >= F.greatest("size", "my_size") * F.lit(least) - F.lit(EPS))
-            & (F.least(F.col("size") - F.col("place"), F.col("my_size") - F.col("my_place")) >= share)
-            & (differ <= F.col("size") + F.col("my_size") - 2 * share)
-        )
+        mine = checkpoint(mine.select(*[F.col(c).alias(f"my_{c}") for c in mine.columns]))
+        size, place = F.shiftright("shape", 32), F.col("shape").bitwiseAND(F.lit((1 << 32) - 1))
+        my_size, my_place = F.shiftright("my_shape", 32), F.col("my_shape").bitwiseAND(F.lit((1 << 32) - 1))
+        share = F.ceil((size + my_size) * F.lit(least / (1 + least)) - F.lit(EPS))
+        met = (F.col("token") == F.col("my_token")) & (F.shiftright("pair", 1) == F.shiftright("my_pair", 1))
+        met &= (F.col("k1") != F.col("my_k1")) & (F.col("doc") <= F.col("my_doc"))
+        met &= F.least(size, my_size) >= F.greatest(size, my_size) * F.lit(least) - F.lit(EPS)
+        met &= F.least(size - place, my_size - my_place) >= share
+        met &= F.bit_count(F.col("bits").bitwiseXOR(F.col("my_bits"))) <= size + my_size - 2 * share
+        both = again.join(broadcast_if_small(mine, mine.count()), met)
         rest = both.select(F.col("my_k1").alias("later"), F.col("k1").alias("first")).distinct()
         rest = checkpoint(rest.join(asked, ["later", "first"], "left_anti"))
+        release(docs)
         matched = matched.union(verified(rest, docs, firsts, least))
-    gone = matched.select(F.col("later").alias("k1")).distinct().withColumn("matched", F.lit(True))
-    state = sets.select("k1", "k2", "at").join(gone, "k1", "left").select("k1", "k2", "at", F.coalesce("matched", F.lit(False)).alias("matched"))
-    spread = found.select("doc_id", "text_hash", "line", "k1", "k2").join(state, ["k1", "k2"], "left")
-    removed = F.col("matched") | (order(at) > F.col("at"))
-    per = spread.groupBy("doc_id", "text_hash").agg(F.count_distinct("line").cast("long").alias("n_lines"), F.sort_array(F.collect_set(F.when(removed, F.col("line")))).alias("removed"))
-    return per.select("doc_id", "text_hash", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+    gone = checkpoint(matched.select(F.col("later").alias("k1")).distinct().withColumn("matched", F.lit(True)))
+    spread = lines.select("doc_id", "text_hash", "line", "k1", "is_first").join(broadcast_if_small(gone, gone.count()), "k1", "left")
+    removed = F.when(F.col("matched") | ~F.col("is_first"), F.col("line"))
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("removed"))
+    spread = spread.select("doc_id", "text_hash", "line", removed.alias("removed")).unionByName(whole)
+    per = spread.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.sort_array(F.collect_set("removed")).alias("removed"))
+    return per.select("doc_id", "text_hash", F.size("lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def deduplicated(docs: DataFrame, least: float = JACCARD) -> DataFrame:
     """docs with the removed lines taken out of text, other columns and rows as they were; see removals()."""
     gone = checkpoint(removals(docs, least).filter("n_removed > 0").select(F.struct("doc_id", "text_hash", "removed").alias("__quire_gone")))
-    same = F.col("doc_id").eqNullSafe(F.col("__quire_gone.doc_id")) & F.xxhash64("text").eqNullSafe(F.col("__quire_gone.text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("__quire_gone.doc_id")) & (F.xxhash64("text") == F.col("__quire_gone.text_hash"))
     rows = docs.join(broadcast_if_small(gone, gone.count()), same, "left")
     numbers = F.col("__quire_gone.removed")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(numbers, i)), "\n")

@@ -71,4 +71,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": r"""
+WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+cut AS (SELECT side, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM texts),
+made AS (SELECT DISTINCT side, id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM cut)),
+sizes AS (SELECT id, count(*) AS n FROM made WHERE side = 'b' GROUP BY 1)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n) AS item_shingles, count(*) AS found, count(*) / any_value(n) AS containment
+FROM made d JOIN made b ON d.side = 'd' AND b.side = 'b' AND d.s = b.s JOIN sizes z ON z.id = b.id GROUP BY 1, 2 HAVING count(*) >= 0.8 * any_value(n) - 1e-9""",
+    "op5_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings),
+u AS (SELECT vec_id, label, [x / sqrt(list_sum([y * y for y in e])) for x in e] AS e FROM v WHERE label IS NOT NULL AND list_sum([abs(y) for y in e]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, c = v.vec_id AS kept FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+    "op10_mixing": r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, sum(size) AS source_size, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w FROM d GROUP BY 1),
+total AS (SELECT 1.5 * sum(source_size) AS budget FROM s),
+levels AS (SELECT 0 AS step, CAST(budget / (SELECT sum(w) FROM s) AS DOUBLE) AS level FROM total
+  UNION ALL SELECT step + 1, (SELECT (any_value(t.budget) - sum(CASE WHEN w * l.level > 2 * source_size THEN 2 * source_size ELSE 0 END)) / sum(CASE WHEN w * l.level > 2 * source_size THEN 0 ELSE w END) FROM s, total t) FROM levels l WHERE step < 30),
+goals AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(CAST(2.0 * source_size AS DOUBLE), CAST(w * (SELECT level FROM levels WHERE step = 30) AS DOUBLE)) AS target FROM s),
+parts AS (SELECT *, CAST(floor(target / nullif(source_size, 0)) AS BIGINT) AS whole FROM goals),
+by_hash AS (SELECT source, h, sum(size) AS words FROM d GROUP BY 1, 2),
+run AS (SELECT b.source, b.h, words, sum(words) OVER (PARTITION BY b.source ORDER BY b.h) - words AS before, p.target - p.source_size * coalesce(p.whole, 0) AS rest FROM by_hash b JOIN parts p ON b.source IS NOT DISTINCT FROM p.source),
+chosen AS (SELECT source, h, before + words <= rest OR (before <= rest AND words - (rest - before) < rest - before) AS more FROM run)
+SELECT d.doc_id, d.size, p.source_size, p.target, CAST(d.size * (coalesce(p.whole, 0) + CASE WHEN c.more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h""",
+}
