@@ -116,7 +116,7 @@ def section_index(spark: SparkSession, path: str) -> DataFrame:
 
 def document_names(spark: SparkSession, path: str) -> DataFrame:
     """document_id and document_name from a JSON file that maps one to the other."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("document_id", "document_name"))
 
 
