@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import broadcast_if_small, checkpoint, release
+from quire.llm.common import BROADCAST_ROWS, broadcast_if_small, checkpoint, release
 
 JACCARD = 0.8
 #: Counters of the sketch that orders tokens by rarity, and how many of them travel in one row.
 SKETCH, CHUNK = 1 << 21, 1 << 13
 #: Sets of lines that may share a prefix token before they are compared piece by piece.
 PIECE = 4096
+#: In how many turns tokens are dealt out to find candidates.
+TURNS = 4
 #: Bytes of text that are cut into tokens at once, and tokens that are grouped to lines at once.
-BLOCK, TOKENS = 1 << 20, 1_000_000
+BLOCK, TOKENS = 1 << 20, 250_000
 #: Tokens of more bytes than this are hashed one by one.
 LONG = 1 << 16
 #: Rows that a task compares at once, but for a bucket that goes on.
@@ -68,9 +71,33 @@ class Tokens:
             h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
         return h, np.searchsorted(np.flatnonzero(b == 10), starts)
 
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and line numbers of a text's tokens, in order."""
-        data = text.lower().encode("utf-8", "surrogatepass")
+    def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Hashes, places in the list and line numbers of the texts' tokens, in order; short texts share a block."""
+        waiting: list[bytes] = []
+        first = size = 0
+        for i, text in enumerate(texts):
+            data = (text or "").lower().encode("utf-8", "surrogatepass")
+            if waiting and size + len(data) > BLOCK:
+                yield self.together(waiting, first)
+                waiting, size = [], 0
+            if len(data) > BLOCK:
+                hashes, lines = self.long(data)
+                yield hashes, np.full(len(hashes), i), lines
+                continue
+            first = first if waiting else i
+            waiting.append(data)
+            size += len(data) + 1
+        if waiting:
+            yield self.together(waiting, first)
+
+    def together(self, texts: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashes, line = self.block(b"\n".join(texts))
+        starts = np.cumsum([0, *[t.count(b"\n") + 1 for t in texts]])
+        owner = np.searchsorted(starts, line, side="right") - 1
+        return hashes, owner + first, line - starts[owner]
+
+    def long(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and line numbers of a text's tokens, block by block."""
         hashes, lines, start, line = [], [], 0, 0
         while start < len(data):
             end, long = len(data), None
@@ -78,8 +105,7 @@ class Tokens:
                 found = BREAK.search(data, start + BLOCK)
                 end = found.start() if found else len(data)
                 if end - start > BLOCK + LONG:  # a token too long for a block: it ends at `end`
-                    long = max(data.rfind(s, start, start + BLOCK) for s in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) + 1 or start
-                    long = max(long, start)
+                    long = max(start, max(data.rfind(s, start, start + BLOCK) for s in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) + 1)
             upto = end if long is None else long
             h, n = self.block(data[start:upto])
             hashes.append(h)
@@ -89,7 +115,7 @@ class Tokens:
                 hashes.append(np.array([xxhash.xxh64_intdigest(data[long:end])], np.uint64))
                 lines.append(np.array([line]))
             start = end
-        return (np.concatenate(hashes), np.concatenate(lines)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        return np.concatenate(hashes), np.concatenate(lines)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -143,9 +169,9 @@ def summed_sketch(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], I
 def text_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     cut, waiting = Tokens(), []
     for batch in batches:
-        for text in batch.column(0):
-            waiting.append(cut.of(text.as_py() or "")[0])
-            if sum(map(len, waiting[-64:])) > TOKENS or len(waiting) >= 1024:
+        for hashes, _, _ in cut.of(batch.column(0).to_pylist()):
+            waiting.append(hashes)
+            if sum(map(len, waiting)) > 4 * TOKENS:
                 yield np.concatenate(waiting)
                 waiting = []
     if waiting:
@@ -158,7 +184,7 @@ def prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def line_sets(hashes: np.ndarray, starts: np.ndarray, scale: np.ndarray, least: float) -> dict[str, np.ndarray | pa.Array]:
-    """Of lines that begin at `starts` among the hashes of their tokens: size, k1, k2, bits and prefix.
+    """Of lines that begin at `starts` among the hashes of their tokens: size, k1, k2, b1, b2 (a bitmap) and prefix.
 
     scale gives the rarity of each hash bucket. A token's rank has 16 bits of it and 48 of its hash; equal tokens have
     equal ranks, and a line's prefix are its least.
@@ -166,7 +192,8 @@ def line_sets(hashes: np.ndarray, starts: np.ndarray, scale: np.ndarray, least:
     lengths = np.diff(np.concatenate((starts, [len(hashes)])))
     ranks = scale[(hashes % np.uint64(SKETCH)).astype(np.int64)] << np.uint64(48) | hashes >> np.uint64(16)
     n = len(starts)
-    size, k1, k2, bits = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    size = np.zeros(n, np.int64)
+    k1, k2, b1, b2 = np.zeros((4, n), np.uint64)
     prefixes: list[tuple[np.ndarray, np.ndarray]] = []
     width = WIDTHS[np.minimum(np.searchsorted(WIDTHS, lengths), len(WIDTHS) - 1)]
     groups = [(int(w), np.flatnonzero((width == w) & (lengths <= WIDTHS[-1]))) for w in np.unique(width)]
@@ -189,7 +216,10 @@ def line_sets(hashes: np.ndarray, starts: np.ndarray, scale: np.ndarray, least:
             size[own] = known.sum(axis=1)
             k1[own] = np.where(known, mixed, np.uint64(0)).sum(axis=1, dtype=np.uint64)
             k2[own] = np.where(known, mix(mixed ^ np.uint64(BASE)), np.uint64(0)).sum(axis=1, dtype=np.uint64)
-            bits[own] = np.bitwise_or.reduce(np.where(known, np.uint64(1) << (mixed >> np.uint64(58)), np.uint64(0)), axis=1)
+            bit = np.where(known, np.uint64(1) << (mixed >> np.uint64(58)), np.uint64(0))
+            odd = mixed & np.uint64(1) == 1
+            b1[own] = np.bitwise_or.reduce(np.where(odd, bit, np.uint64(0)), axis=1)
+            b2[own] = np.bitwise_or.reduce(np.where(odd, np.uint64(0), bit), axis=1)
             first = prefix_length(size[own], least)
             kept = column < first[:, None]
             prefixes.append((np.repeat(own, first), table[kept]))
@@ -197,62 +227,53 @@ def line_sets(hashes: np.ndarray, starts: np.ndarray, scale: np.ndarray, least:
     values = np.concatenate([v for _, v in prefixes])
     by_line = np.argsort(owner, kind="stable")
     offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
-    return {"size": size, "k1": k1, "k2": k2, "bits": bits, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[by_line].view(np.int64)))}
+    return {"size": size, "k1": k1, "k2": k2, "b1": b1, "b2": b2, "prefix": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[by_line].view(np.int64)))}
 
 
 def occurrences(docs: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
-    """A row for each line with tokens: doc_id, text_hash, line, k1 and k2 (the set's hash), size, bits and prefix."""
+    """A row for each line with tokens: doc_id, text_hash, line, k1 and k2 (the set's hash), size, b1, b2 and prefix."""
     scale = (np.log2(sketch.astype(np.float64) + 1) * 1024).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, rarity = Tokens(), scale.astype(np.uint64)
 
-        def out(ids: pa.RecordBatch, owners: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            hashes = np.concatenate([h for h, _ in found])
-            line = np.concatenate([n for _, n in found])
-            owner = np.repeat(owners, [len(h) for h, _ in found])
-            starts = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1]))))
-            made = line_sets(hashes, starts, rarity, least)
-            columns = [*ids.take(pa.array(owner[starts])).columns, pa.array(line[starts].astype(np.int32)), pa.array(made["k1"].view(np.int64)), pa.array(made["k2"].view(np.int64))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(made["size"].astype(np.int32)), pa.array(made["bits"].view(np.int64)), made["prefix"]], names)
-
         for batch in batches:
-            ids, owners, found, total = batch.select([0, 1]), [], [], 0
-            for i, text in enumerate(batch.column(2)):
-                h, n = cut.of(text.as_py() or "")
-                if len(h):
-                    owners.append(i)
-                    found.append((h, n))
-                    total += len(h)
-                if total > TOKENS:
-                    yield out(ids, owners, found)
-                    owners, found, total = [], [], 0
-            if owners:
-                yield out(ids, owners, found)
+            ids = batch.select([0, 1])
+            # a document's tokens stay in one part, so a line is never cut
+            for hashes, owner, line in cut.of(batch.column(2).to_pylist()):
+                if not len(hashes):
+                    continue
+                starts = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1]))))
+                made = line_sets(hashes, starts, rarity, least)
+                columns = [*ids.take(pa.array(owner[starts])).columns, pa.array(line[starts].astype(np.int32))]
+                columns += [pa.array(made[c].view(np.int64)) for c in ("k1", "k2")] + [pa.array(made["size"].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(made[c].view(np.int64)) for c in ("b1", "b2")], made["prefix"]], names)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    names = ["doc_id", "text_hash", "line", "k1", "k2", "size", "bits", "prefix"]
+    names = ["doc_id", "text_hash", "line", "k1", "k2", "size", "b1", "b2", "prefix"]
     schema = T.StructType([rows.schema["doc_id"]]).add("text_hash", "long").add("line", "integer").add("k1", "long").add("k2", "long")
-    return rows.mapInArrow(run, schema.add("size", "integer").add("bits", "long").add("prefix", T.ArrayType(T.LongType())))
+    return rows.mapInArrow(run, schema.add("size", "integer").add("b1", "long").add("b2", "long").add("prefix", T.ArrayType(T.LongType())))
 
 
-def postings(sets: DataFrame, sketch: np.ndarray, piece: int) -> DataFrame:
+def postings(sets: DataFrame, sketch: np.ndarray, piece: int, turn: int = 0, turns: int = 1, only: np.ndarray | None = None) -> DataFrame:
     """A row for each set and prefix token that another set may share, as often as pieces of the token's sets meet.
 
     Columns: token, pair (the two pieces, and in the last bit whether the set is of the second), k1, doc, shape (size
-    and place in the prefix) and bits.
+    and place in the prefix), b1 and b2. Only tokens whose turn it is, and which `only` has if it is given, take part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, doc, size, bits = (batch.column(i).to_numpy() for i in range(4))
-            prefix = batch.column(4)
+            k1, doc, size, b1, b2 = (batch.column(i).to_numpy() for i in range(5))
+            prefix = batch.column(5)
             lengths = np.diff(prefix.offsets.to_numpy())
             owner = np.repeat(np.arange(len(lengths)), lengths)
             place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             token = prefix.flatten().to_numpy()
             count = sketch[(token.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64)]
-            kept = np.flatnonzero(count > 1)
+            kept = np.flatnonzero((count > 1) & ((token.view(np.uint64) >> np.uint64(24)) % np.uint64(turns) == turn))
+            if only is not None:
+                kept = kept[np.isin(token[kept], only)]
             pieces = -(-count[kept].astype(np.int64) // piece)
             at = np.repeat(kept, pieces)
             other = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -262,10 +283,10 @@ def postings(sets: DataFrame, sketch: np.ndarray, piece: int) -> DataFrame:
             shape = size[who].astype(np.int64) << 32 | place[at]
             for s in range(0, len(at), AT_ONCE):
                 p = slice(s, s + AT_ONCE)
-                yield pa.RecordBatch.from_arrays([pa.array(c[p]) for c in (token[at], pair, k1[who], doc[who], shape, bits[who])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c[p]) for c in (token[at], pair, k1[who], doc[who], shape, b1[who], b2[who])], names)
 
-    names = ["token", "pair", "k1", "doc", "shape", "bits"]
-    return sets.select("k1", "doc", "size", "bits", "prefix").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    names = ["token", "pair", "k1", "doc", "shape", "b1", "b2"]
+    return sets.select("k1", "doc", "size", "b1", "b2", "prefix").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def needed(sizes_a, sizes_b, least: float):
@@ -273,7 +294,7 @@ def needed(sizes_a, sizes_b, least: float):
     return np.ceil((sizes_a + sizes_b) * (least / (1 + least)) - EPS)
 
 
-def best_candidates(token, pair, k1, doc, shape, bits, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_candidates(token, pair, k1, doc, shape, b1, b2, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of rows in order of bucket and size: the rows with a candidate, the candidate of the earliest document, how many there are.
 
     Rows of a bucket are compared at distance 1, 2, ... as long as the length filter lets the smaller set reach. The
@@ -294,7 +315,8 @@ def best_candidates(token, pair, k1, doc, shape, bits, least: float) -> tuple[np
         hit = (np.minimum(size[i] - place[i], size[j] - place[j]) >= share) & (k1[i] != k1[j])
         hit &= one_piece[i] | ((pair[i] ^ pair[j]) & 1 == 1)
         a, b, share = i[hit], j[hit], share[hit]
-        near = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)) <= size[a] + size[b] - 2 * share
+        differ = np.bitwise_count((b1[a] ^ b1[b]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[a] ^ b2[b]).view(np.uint64))
+        near = differ <= size[a] + size[b] - 2 * share
         a, b = a[near], b[near]
         for first, later in ((a, b), (b, a)):
             ok = doc[first] <= doc[later]
@@ -351,16 +373,18 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float)
                 split = text.split("\n")
                 for one in lines:
                     keys.append(one["k1"])
-                    sets.append(sorted(set(split[one["line"]].lower().encode("utf-8", "surrogatepass").split())))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.binary()))], ["k1", "tokens"])
+                    sets.append(b" ".join(sorted(set(split[one["line"]].lower().encode().split()))))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["k1", "tokens"])
 
-    tokens = held.mapInArrow(run, "k1 long, tokens array<binary>").groupBy("k1").agg(F.min("tokens").alias("tokens"))
-    tokens = tokens.join(asked.select("k1", order().alias("at")), "k1")
+    tokens = held.mapInArrow(run, "k1 long, tokens binary").join(asked.select("k1", order().alias("at")), "k1")
     sides = [tokens.select(*[F.col(c).alias(f"{side}_{c}") for c in ("k1", "tokens", "at")]) for side in ("later", "first")]
-    both = pairs.select("later", "first").distinct().join(sides[0], F.col("later") == F.col("later_k1")).join(sides[1], F.col("first") == F.col("first_k1"))
-    shared = F.size(F.array_intersect("later_tokens", "first_tokens"))
-    similar = shared >= (F.size("later_tokens") + F.size("first_tokens") - shared) * F.lit(least) - EPS
-    return both.filter(similar & (F.col("first_at") < F.col("later_at"))).select("later", "first")
+    both = pairs.select("later", "first").join(sides[0], F.col("later") == F.col("later_k1")).join(sides[1], F.col("first") == F.col("first_k1"))
+    both = both.filter(F.col("first_at") < F.col("later_at"))
+    mine, other = (F.split(F.col(f"{side}_tokens").cast("string"), " ") for side in ("later", "first"))
+    both = both.select("later", "first", mine.alias("mine"), other.alias("other"))
+    shared = F.size(F.array_intersect("mine", "other"))
+    similar = shared >= (F.size("mine") + F.size("other") - shared) * F.lit(least) - EPS
+    return both.filter(similar).select("later", "first").distinct()
 
 
 def order() -> Column:
@@ -397,7 +421,7 @@ def firsts_of_sets(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, T.StructType([*found.schema.fields, T.StructField("is_first", T.BooleanType())]))
 
 
-def removals(docs: DataFrame, least: float = JACCARD, piece: int = PIECE) -> DataFrame:
+def removals(docs: DataFrame, least: float = JACCARD, piece: int = PIECE, turns: int = TURNS) -> DataFrame:
     """One row per document: doc_id, text_hash, n_lines (with tokens), n_removed and removed (line numbers from 0, sorted).
 
     A line goes if an earlier one (by doc_id, then line; null ids last) has the same tokens or a Jaccard similarity of
@@ -410,7 +434,8 @@ def removals(docs: DataFrame, least: float = JACCARD, piece: int = PIECE) -> Dat
     sketch, of prefix tokens, takes out those that one set alone has, and cuts the sets of a frequent one into pieces that
     meet in pairs. Each set first asks for its candidate of the earliest document alone; sets for which that fails, and
     which have others, ask for all of these in a second round. So a group of many similar lines needs a row for each,
-    not for each pair, and no line is lost. Token hashes only choose candidates; tokens themselves are compared.
+    not for each pair, and no line is lost. Tokens take part in turns, so that the shuffles' files of a part of them are
+    on disk at a time. Token hashes only choose candidates; tokens themselves are compared.
     """
     sketch = summed_sketch(docs.select("text"), text_tokens)
     found = occurrences(docs, sketch, least)
@@ -420,15 +445,23 @@ def removals(docs: DataFrame, least: float = JACCARD, piece: int = PIECE) -> Dat
     sets = lines.filter("prefix is not null").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), top))
     firsts = sets.select("k1", "doc_id", "text_hash", "line")
     shared = summed_sketch(sets.select("prefix"), prefix_tokens)
-    asked = checkpoint(candidates(postings(sets, shared, piece), least).groupBy("later", "first").agg(F.max("seen").alias("seen")))
-    release(docs)
+    parts = []
+    for turn in range(turns):
+        found = candidates(postings(sets, shared, piece, turn, turns), least)
+        parts.append(checkpoint(found.groupBy("later", "first").agg(F.max("seen").alias("seen"))))
+        release(docs)
+    asked = checkpoint(reduce(DataFrame.union, parts).groupBy("later", "first").agg(F.max("seen").alias("seen")))
     matched = checkpoint(verified(asked, docs, firsts, least))
     more = asked.groupBy("later").agg(F.max("seen").alias("seen")).filter("seen > 1")
     more = checkpoint(more.join(matched, "later", "left_anti").select("later"))
     if pending := more.count():
-        again = postings(sets, shared, piece)
-        mine = again.join(broadcast_if_small(more.withColumnRenamed("later", "k1"), pending), "k1", "left_semi")
+        few = broadcast_if_small(more.withColumnRenamed("later", "k1"), pending)
+        mine = postings(sets.join(few, "k1", "left_semi"), shared, piece)
         mine = checkpoint(mine.select(*[F.col(c).alias(f"my_{c}") for c in mine.columns]))
+        n = mine.count()
+        # the tokens of few pending sets travel to the others' rows; otherwise all rows are dealt out again
+        only = np.array([r[0] for r in mine.select("my_token").distinct().collect()], np.int64) if n <= BROADCAST_ROWS else None
+        again = postings(sets, shared, piece, only=only)
         size, place = F.shiftright("shape", 32), F.col("shape").bitwiseAND(F.lit((1 << 32) - 1))
         my_size, my_place = F.shiftright("my_shape", 32), F.col("my_shape").bitwiseAND(F.lit((1 << 32) - 1))
         share = F.ceil((size + my_size) * F.lit(least / (1 + least)) - F.lit(EPS))
@@ -436,8 +469,9 @@ def removals(docs: DataFrame, least: float = JACCARD, piece: int = PIECE) -> Dat
         met &= (F.col("k1") != F.col("my_k1")) & (F.col("doc") <= F.col("my_doc"))
         met &= F.least(size, my_size) >= F.greatest(size, my_size) * F.lit(least) - F.lit(EPS)
         met &= F.least(size - place, my_size - my_place) >= share
-        met &= F.bit_count(F.col("bits").bitwiseXOR(F.col("my_bits"))) <= size + my_size - 2 * share
-        both = again.join(broadcast_if_small(mine, mine.count()), met)
+        differ = F.bit_count(F.col("b1").bitwiseXOR(F.col("my_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("my_b2")))
+        met &= differ <= size + my_size - 2 * share
+        both = again.join(broadcast_if_small(mine, n), met)
         rest = both.select(F.col("my_k1").alias("later"), F.col("k1").alias("first")).distinct()
         rest = checkpoint(rest.join(asked, ["later", "first"], "left_anti"))
         release(docs)

@@ -79,14 +79,15 @@ def test_tokens_of_blocks_are_those_of_the_whole(monkeypatch, block, long):
     monkeypatch.setattr(lines, "LONG", long)
     monkeypatch.setattr(lines, "BLOCK", block)
     cut = lines.Tokens()
-    for text in ["", "a", "a b\nc  d\n\n e", "longer words here\n" * 9, "x" * 50 + " y\nz", "ä é 日本\n\tq", "same same same\nsame"]:
-        hashes, at = cut.of(text)
-        expected = [(n, t) for n, line in enumerate(text.lower().encode().split(b"\n")) for t in line.split()]
-        assert at.tolist() == [n for n, _ in expected]
-        by_token = {}
-        for h, (_, t) in zip(hashes.tolist(), expected, strict=True):
-            assert by_token.setdefault(t, h) == h
-        assert len(set(by_token.values())) == len(by_token)
+    texts = ["", "a", "a b\nc  d\n\n e", None, "longer words here\n" * 9, "x" * 50 + " y\nz", "ä é 日本\n\tq", "same same same\nsame", "\n"]
+    parts = list(cut.of(texts))
+    hashes, owner, at = (np.concatenate([p[i] for p in parts]).tolist() for i in range(3))
+    expected = [(i, n, t) for i, text in enumerate(texts) for n, line in enumerate((text or "").lower().encode().split(b"\n")) for t in line.split()]
+    assert list(zip(owner, at, strict=True)) == [(i, n) for i, n, _ in expected]
+    by_token = {}
+    for h, (_, _, t) in zip(hashes, expected, strict=True):
+        assert by_token.setdefault(t, h) == h
+    assert len(set(by_token.values())) == len(by_token)
 
 
 def test_sets_of_long_lines(monkeypatch):
