@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 SIDES = ("x0", "y0", "x1", "y1")
@@ -21,9 +21,10 @@ def union(a: Column, b: Column) -> Column:
     return bbox(F.least(a["x0"], b["x0"]), F.least(a["y0"], b["y0"]), F.greatest(a["x1"], b["x1"]), F.greatest(a["y1"], b["y1"]))
 
 
-def union_all(box: Column) -> Column:
-    """The aggregate that spans all boxes of a group."""
-    return bbox(F.min(box["x0"]), F.min(box["y0"]), F.max(box["x1"]), F.max(box["y1"]))
+def union_all(box: Column, window: WindowSpec | None = None) -> Column:
+    """The aggregate that spans all boxes of a group or window."""
+    sides = [F.min(box["x0"]), F.min(box["y0"]), F.max(box["x1"]), F.max(box["y1"])]
+    return bbox(*[s.over(window) if window else s for s in sides])
 
 
 def flipped(x0: Column, top: Column, x1: Column, bottom: Column, height: Column) -> Column:

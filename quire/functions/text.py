@@ -40,7 +40,8 @@ def words(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return F.size(words(text))
+    t = strip(text)
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"(?U)\s+")))
 
 
 def content_hash(content_type: Column, text: Column, payload: Column | None = None) -> Column:
@@ -50,9 +51,10 @@ def content_hash(content_type: Column, text: Column, payload: Column | None = No
 
 
 def json_string(text: Column) -> Column:
-    """A JSON string literal; characters beyond ASCII stay as they are."""
+    """A JSON string literal; characters beyond ASCII stay as they are. Only texts with something to escape need a writer."""
     array = F.to_json(F.array(text))
-    return F.substring(array, F.lit(2), F.length(array) - 2)
+    escaped = F.substring(array, F.lit(2), F.length(array) - 2)
+    return F.when(F.rlike(text, F.lit(r'^[^\x00-\x1f"\\\x7f-\x9f]*\z')), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(escaped)
 
 
 def json_list(items: Column, write) -> Column:
@@ -65,17 +67,17 @@ def json_object(fields: Iterable[tuple[str, Column]]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
-def looks_like_heading(text: Column) -> Column:
+def looks_like_heading(text: Column, stripped: bool = False) -> Column:
     """A short numbered line, or a shorter one with letters, all of them capitals."""
-    t = strip(text)
+    t = text if stripped else strip(text)
     numbered = (F.length(t) <= 80) & F.rlike(t, F.lit(HEADING_NUMBER))
     capitals = (F.length(t) <= 60) & F.rlike(t, F.lit(r"\p{Lu}")) & ~F.rlike(t, F.lit(r"[\p{L}&&[^\p{Lu}]]"))
     return numbered | capitals
 
 
-def is_list_item(text: Column) -> Column:
+def is_list_item(text: Column, stripped: bool = False) -> Column:
     """Whether the first line starts with a bullet, or a number or letter with a mark."""
-    return F.rlike(F.get(F.split(strip(text), r"\R"), F.lit(0)), F.lit(LIST_MARK))
+    return F.rlike(F.get(F.split(text if stripped else strip(text), r"\R", 2), F.lit(0)), F.lit(LIST_MARK))
 
 
 def heading_level(title: Column) -> Column:

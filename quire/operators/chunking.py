@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from quire.functions.text import (
     token_count,
 )
 from quire.plans.schemas import PAYLOAD
+from quire.plans.storage import stored
 
 
 def full_reading_order(blocks: DataFrame, reading_order: DataFrame) -> DataFrame:
@@ -43,31 +46,34 @@ def referenced(blocks: DataFrame, tables: DataFrame, figures: DataFrame) -> Data
     return rows(blocks, "text_block", "text").unionByName(rows(tables, "table", "title", "caption", "header", "rows")).unionByName(rows(figures, "figure", "caption", "alt_text", "type"))
 
 
-def classified(entries: DataFrame) -> DataFrame:
+def classified(entries: DataFrame, order: Sequence[str] = ("i",)) -> DataFrame:
     """Kind and number of the unit that each entry starts or goes on with, from entries (document_id, i, ref_type, found, page, text).
 
     Headings win over list items where a unit may start; inside a run of list items (neighbours on one page) only the
     list test counts. So a run's items belong to the list from its first item on that is no heading. All entries take
-    part, blank ones too, since they end a run; blank and missing ones start nothing. All windows share one partitioning.
+    part, blank ones too, since they end a run; blank and missing ones start nothing. All windows share one partitioning
+    and the one order that `order` names (the order of i), so that rows are sorted once.
     """
-    by = Window.partitionBy("document_id").orderBy("i")
+    by = Window.partitionBy("document_id").orderBy(*order)
+    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     text = strip(F.col("text"))
     rows = entries.withColumn("text", text).withColumn("is_text", F.col("found") & (F.col("ref_type") == "text_block") & (F.col("text") != ""))
-    rows = rows.withColumn("heading", F.col("is_text") & looks_like_heading(F.col("text")))
-    rows = rows.withColumn("listed", F.col("is_text") & is_list_item(F.col("text")))
+    rows = rows.withColumn("heading", F.col("is_text") & looks_like_heading(F.col("text"), stripped=True))
+    rows = rows.withColumn("listed", F.col("is_text") & is_list_item(F.col("text"), stripped=True))
     goes_on = F.col("listed") & F.lag("listed", 1, False).over(by) & (F.col("page") == F.lag("page").over(by))
-    rows = rows.withColumn("run", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(by))
-    first = F.min(F.when(F.col("listed") & ~F.col("heading"), F.col("i"))).over(Window.partitionBy("document_id", "run"))
-    rows = rows.withColumn("first", first)
+    opens = F.col("listed") & ~F.col("heading")  # an item with which a list may start
+    rows = rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).withColumn("opened", F.sum(F.when(opens, 1).otherwise(0)).over(so_far))
+    before_run = F.last(F.when(~F.col("goes_on"), F.col("opened") - F.when(opens, 1).otherwise(0)), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("opened", F.col("opened") - before_run)  # in this run, up to here
     kind = (
-        F.when(F.col("listed") & (F.col("i") >= F.col("first")), "list")
+        F.when(F.col("listed") & (F.col("opened") > 0), "list")
         .when(F.col("heading"), "heading")
         .when(F.col("is_text"), "paragraph")
         .when(F.col("found") & F.col("ref_type").isin("table", "figure"), F.col("ref_type"))
     )
     rows = rows.withColumn("kind", kind)
-    starts = F.col("kind").isNotNull() & ((F.col("kind") != "list") | (F.col("i") == F.col("first")))
-    return rows.withColumn("starts", starts).withColumn("seq", F.sum(F.when(starts, 1).otherwise(0)).over(by).cast("int"))
+    starts = F.col("kind").isNotNull() & ((F.col("kind") != "list") | (opens & (F.col("opened") == 1)))
+    return rows.withColumn("starts", starts).withColumn("seq", F.sum(F.when(starts, 1).otherwise(0)).over(so_far).cast("int"))
 
 
 def ldu_name(seq: Column) -> Column:
@@ -121,15 +127,17 @@ def cross_references(units: DataFrame) -> DataFrame:
 def chunk(blocks: DataFrame, tables: DataFrame, figures: DataFrame, reading_order: DataFrame) -> DataFrame:
     """Logical units (see plans.schemas.LDUS), for a whole corpus at once.
 
-    Everything but the lookup of what entries refer to and of mentions is partitioned by document.
+    Everything but the lookup of what entries refer to and of mentions is partitioned by document. The merged units are
+    stored once: units, their mentions and the mentions' targets all come from them.
     """
     entries = full_reading_order(blocks, reading_order)
     what = referenced(blocks, tables, figures).withColumn("found", F.lit(True))
     rows = entries.join(what, ["document_id", "ref_type", "ref_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("document_id").orderBy("order", "ref_type", "ref_id")))
-    by = Window.partitionBy("document_id").orderBy("i")
-    rows = classified(rows).filter(F.col("kind").isNotNull())
-    number = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(by).cast("string")
+    place = ("order", "ref_type", "ref_id")
+    by = Window.partitionBy("document_id").orderBy(*place)
+    rows = rows.withColumn("i", F.row_number().over(by))
+    rows = classified(rows, place).filter(F.col("kind").isNotNull())
+    number = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("string")
     label = F.when(F.col("kind") == "table", F.concat(F.lit("Table "), number("table"))).when(F.col("kind") == "figure", F.concat(F.lit("Figure "), number("figure")))
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     parent = F.last(F.when(F.col("kind") == "heading", ldu_name(F.col("seq"))), ignorenulls=True).over(before)
@@ -137,12 +145,12 @@ def chunk(blocks: DataFrame, tables: DataFrame, figures: DataFrame, reading_orde
     rendered = F.when(F.col("kind") == "table", table_text(F.col("title"), F.col("caption"), F.col("header"), F.col("rows")))
     rendered = rendered.when(F.col("kind") == "figure", F.coalesce(F.nullif(strip(F.col("caption")), F.lit("")), strip(F.col("alt_text"))))
     rows = rows.withColumn("part", rendered.otherwise(F.col("text")))
-    merged = rows.groupBy("document_id", "seq").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), PART_JOIN).alias("own"),
-        geometry.union_all(F.col("bbox")).alias("bbox"),
-        *[F.min_by(c, "i").alias(c) for c in ("kind", "page", "label", "parent", "title", "caption", "alt_text", "type", "header", "rows")],
-    )
-    return with_hashes(merged)
+    # a unit's entries are neighbours: its first one, with the parts and boxes of all, is the unit
+    unit = Window.partitionBy("document_id", "seq").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own, box = F.array_join(F.collect_list("part").over(unit), PART_JOIN), geometry.union_all(F.col("bbox"), unit)
+    rows = rows.withColumns({"own": own, "bbox": box}).filter("starts")
+    merged = rows.select("document_id", "seq", "own", "bbox", "kind", "page", "label", "parent", "title", "caption", "alt_text", "type", "header", "rows")
+    return with_hashes(stored(merged))
 
 
 def with_hashes(merged: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.geometry import bbox
+from quire.plans.storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +43,8 @@ def text_entries() -> Column:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Blocks, tables, figures and reading order of all customers' documents."""
-    orders = numbered_orders(spark, sf_dir)
+    """Blocks, tables, figures and reading order of all customers' documents; all are made from one stored table."""
+    orders = stored(numbered_orders(spark, sf_dir).select("document_id", "page", "k", "o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
     name = lambda kind: F.concat(F.lit(kind), F.col("k").cast("string"))
     place = lambda e: (F.col("k") * 10 + e).cast("int")
     blocks = orders.select("document_id", "page", "k", F.explode(text_entries()).alias("t")).select(
