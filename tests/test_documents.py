@@ -191,3 +191,32 @@ def test_chunk_errors(spark):
     assert {r["document_id"] for r in validation.accepted(units).collect()} == {"g"}
     with pytest.raises(validation.ChunkValidationError):
         validation.accepted(units, strict=True)
+
+
+def test_an_audit_cites_the_nearest_units_beside_facts(spark, small):
+    import hashlib
+
+    import numpy as np
+
+    from quire import queries
+    from quire.plans.oracle import CLAIMS
+
+    def embedding(text):
+        o = np.frombuffer(hashlib.sha256(text.encode()).digest(), np.uint8)
+        v = np.tile((o ^ np.roll(o, -1)) / 255.0 - 0.5, 12)
+        return v / np.linalg.norm(v)
+
+    units = queries.ldus(spark, small)
+    vectors = sorted(retrieval.embedded(units).select("document_id", "ldu_id", "content").collect())
+    table = np.stack([embedding(r["content"]) for r in vectors])
+    hits = retrieval.nearest(retrieval.embedded(units), retrieval.embedded_questions(queries.claims(spark)), 10)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["document_id"], r["ldu_id"]))
+    for claim, text in CLAIMS:
+        distance = ((table - embedding(text)) ** 2).sum(axis=1).round(12)
+        assert got[claim] == [tuple(vectors[i][:2]) for i in np.argsort(distance, kind="stable")[:10]], claim
+    found = {r["query_id"]: r["count"] for r in queries.fact_search(spark, small).groupBy("query_id").count().collect()}
+    audit = {r["query_id"]: (r["n_items"], r["status"]) for r in queries.claim_audit(spark, small).collect()}
+    # c2 has no word of substance, and c4 no fact
+    assert audit == {c: (0, "unverifiable") if c == "c2" else (10 + found.get(c, 0), "verified") for c, _ in CLAIMS} and "c4" not in found
