@@ -1,11 +1,15 @@
-"""Tables written once where a plan would otherwise compute them for each of its branches."""
+"""How tables are stored and met: written once where a plan would compute them for each branch, and paired in blocks."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Questions that are broadcast, and questions of one block if there are more.
+FEW = 10_000
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -21,3 +25,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{context._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def asked_of(rows: DataFrame, questions: DataFrame, on: Column | None = None, few: int = FEW) -> DataFrame:
+    """Each row with each of all questions, however many, if `on` holds or isn't given.
+
+    Questions are broadcast only if they are counted as few. Otherwise they are dealt into blocks, and each task pairs
+    one block with one part of the rows, so that no task and no driver holds all questions.
+    """
+    n = questions.count()
+    if n <= few:
+        return rows.join(F.broadcast(questions), on)
+    return rows.join(questions.repartition(-(-n // few)).hint("shuffle_replicate_nl"), on)

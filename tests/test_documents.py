@@ -220,3 +220,11 @@ def test_an_audit_cites_the_nearest_units_beside_facts(spark, small):
     audit = {r["query_id"]: (r["n_items"], r["status"]) for r in queries.claim_audit(spark, small).collect()}
     # c2 has no word of substance, and c4 no fact
     assert audit == {c: (0, "unverifiable") if c == "c2" else (10 + found.get(c, 0), "verified") for c, _ in CLAIMS} and "c4" not in found
+
+
+def test_every_one_of_many_questions_has_its_nearest_vectors(spark):
+    vectors = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    asked = spark.range(100_500).select(F.col("id").alias("query_id"), F.array((F.col("id") % 2).cast("double"), F.lit(0.25)).alias("query_vector"))
+    found = retrieval.nearest(vectors, asked, 2, keys=("vec_id",))
+    right = F.when(F.col("rank") == 1, F.col("query_id") % 2).otherwise(1 - F.col("query_id") % 2) == F.col("vec_id")
+    assert found.agg(F.count(F.lit(1)), F.count_distinct("query_id"), F.count_if(right)).first()[:] == (201_000, 100_500, 201_000)
