@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import key_values, periods, query_terms, strip
+from quire.plans.storage import asked_of
 
 TABLE_TYPES = ("table", "table_section")
 TEXT_TYPES = ("paragraph", "list", "section_intro", "footnote")
@@ -77,9 +78,9 @@ def search_facts(facts: DataFrame, queries: DataFrame, limit: int = 20, document
     if document_ids is not None:
         facts = facts.filter(F.col("document_id").isin(*document_ids)) if document_ids else facts.filter(F.lit(False))
     terms = F.transform(query_terms(F.col("query")), F.lower)
-    asked = queries.select("query_id", terms.alias("terms")).limit(10_000)
+    asked = queries.select("query_id", terms.alias("terms"))
     hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("entity", "metric", "value", "period")]))
     hit = F.exists("terms", lambda t: F.contains(F.col("hay"), t))
-    rows = facts.withColumn("hay", hay).join(F.broadcast(asked), hit).drop("hay", "terms")
+    rows = asked_of(facts.withColumn("hay", hay), asked, hit).drop("hay", "terms")
     by = Window.partitionBy("query_id").orderBy("document_id", "seq", "at")
     return rows.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)

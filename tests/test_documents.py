@@ -228,3 +228,13 @@ def test_every_one_of_many_questions_has_its_nearest_vectors(spark):
     found = retrieval.nearest(vectors, asked, 2, keys=("vec_id",))
     right = F.when(F.col("rank") == 1, F.col("query_id") % 2).otherwise(1 - F.col("query_id") % 2) == F.col("vec_id")
     assert found.agg(F.count(F.lit(1)), F.count_distinct("query_id"), F.count_if(right)).first()[:] == (201_000, 100_500, 201_000)
+
+
+def test_every_one_of_many_questions_has_its_facts_and_sections(spark):
+    units = ldus(spark, [("heading", "1. Results", 1), ("paragraph", "Revenue: 4.2B", 1)])
+    asked = spark.range(10_500).select(F.col("id").alias("query_id"), F.lit("revenue").alias("query"))
+    got = facts.search_facts(facts.extract_facts(units), asked)
+    assert got.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()[:] == (10_500, 10_500)
+    index = sections.build_index(units, spark.createDataFrame([("d1", 1)], "document_id string, page_count int"))
+    found = sections.navigate(index, asked.select(F.col("query_id").alias("topic_id"), F.col("query").alias("topic")))
+    assert found.agg(F.count(F.lit(1)), F.count_distinct("topic_id")).first()[:] == (10_500, 10_500)
