@@ -29,7 +29,7 @@ LOOSE = {
 # Cheap tests that a text must pass before its matches of a pattern are marked.
 MAYBE_BASE = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": "+"}
 MAYBE_LOOSE = {
-    "email": r"(?i)(?:\bat\b.{1,80}\bdot\b)|[\[({<]at[\])}>]|\x20@|@\x20",
+    "email": r"[A-Za-z0-9._%+-](?:\x20?[\[({<](?:at|AT)[\])}>]\x20?|\x20(?:at|AT)\x20|\x20?@\x20?)[A-Za-z0-9-]++(?:\x20?[\[({<](?:dot|DOT)[\])}>]|\x20(?:dot|DOT)\x20|\.)",
     "ip": r"[0-9]\x20?[\[({](?:dot|\.)[\])}]",
     "card": r"[0-9](?:[\x20._/-]{0,2}+[0-9]){12}",
     "phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",

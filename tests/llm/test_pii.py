@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from quire.llm import pii
 from tests.llm.cases import documents, empty, odd_documents, row
 
@@ -78,3 +80,22 @@ def test_expectation_maximisation_tells_good_labelers_from_bad():
     assert belief[(1, 1, 0, 1)] > 0.95 > 0.05 > belief[(-1, -1, 0, -1)]
     assert belief[(-1, 1, 0, -1)] < 0.5
     assert pii.classifier({}, {}) == [0.0] * 5
+
+
+def test_every_text_with_a_loose_match_passes_its_cheap_test(spark):
+    import random
+
+    rnd = random.Random(3)
+    bits = ["jane.doe", "a", "x-y", " ", "  ", "\n", " at ", " AT ", "[at]", " (AT) ", "@", " @ ", "@ ", ".", " dot ", " DOT ", "[dot]", "{DOT} ", "example", "com", "w" * 90, "12", "345", "(dot)", "[.]", "4111", "-", "555", "0187"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(3, 14))) for _ in range(20_000)] + ["jane.doe at example.com", "jane@a\n.b", "a at " + "w" * 100 + " dot com"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for kind in pii.KINDS:
+        loose = rows.filter(F.rlike("text", F.lit(pii.LOOSE[kind])))
+        assert loose.filter(~F.rlike("text", F.lit(pii.MAYBE_LOOSE[kind]))).take(3) == [], kind
+    assert rows.filter(F.rlike("text", F.lit(pii.LOOSE["email"]))).count() > 100
+
+
+def test_a_span_is_a_candidate_whatever_else_its_text_holds(spark):
+    docs = documents(spark, [row(1, "jane.doe at example.com"), row(2, "jane.doe at example.com rate @ 5")])
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in pii.candidates(docs).collect()}
+    assert found[1] == [("email", 0, 23)] == found[2]
