@@ -96,3 +96,37 @@ def test_sets_of_long_lines(monkeypatch):
     made = lines.line_sets(hashes, np.array([0, 3, 5]), np.zeros(lines.SKETCH, np.uint64), 0.8)
     assert made["size"].tolist() == [2, 2, 5]
     assert [len(p) for p in made["prefix"].to_pylist()] == [1, 1, 2]
+
+
+def test_ids_of_text_and_lines_that_are_everywhere(spark):
+    """Ids need no number; a line that each document has is removed but for the first."""
+    rows = [(f"id{i:03d}" if i % 7 else None, f"the same line for all of them\nown {i} words of {i * 3} and more of {i * 5}\nthe same line for all of these") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    got = {(r["doc_id"], r["text_hash"]): (r["n_lines"], r["removed"]) for r in lines.removals(df).collect()}
+    expected, seen = {}, []
+    for i, t in sorted(set(rows), key=lambda d: (d[0] is None, (d[0] or "").encode(), text_order(d[1]))):
+        removed = []
+        for n, tokens in token_sets(t):
+            if any(len(tokens & s) >= 0.8 * len(tokens | s) - 1e-9 for s in seen):
+                removed.append(n)
+            seen.append(tokens)
+        expected[(i, text_order(t))] = (3, removed)
+    assert got == expected
+
+
+def test_heavy_tokens_are_counted_exactly(spark):
+    ranks = [[1, 2, 3], [1, 5], [1, 2], [], [7]]
+    df = spark.createDataFrame([(np.array(r, np.int64).tobytes(),) for r in ranks], "prefix binary")
+    token, n, total = lines.heavy_tokens(df, 1)
+    assert (token.tolist(), n.tolist(), total) == ([1, 2], [3, 2], 8)
+    assert [a.tolist() for a in lines.heavy_tokens(df, 1, most=1)[:2]] == [[1], [3]]
+
+
+def test_tokens_of_one_rank_stay_apart():
+    """Hashes that agree in the bits that a rank keeps are two tokens of a set; a repeated one is one."""
+    a, b = np.uint64(0x1234 << 48), np.uint64(0x1234 << 48 | 1 << 15)
+    scale = np.zeros(lines.SKETCH, np.uint16)
+    made = lines.line_sets(np.array([a, b, a, b], np.uint64), np.array([0, 2]), scale, 0.8)
+    assert made["size"].tolist() == [2, 2]
+    once = lines.line_sets(np.array([a, b, a], np.uint64), np.array([0]), scale, 0.8)
+    assert once["size"].tolist() == [2] and once["k1"][0] == made["k1"][0] and once["k2"][0] == made["k2"][0]
