@@ -33,11 +33,12 @@ def flipped(x0: Column, top: Column, x1: Column, bottom: Column, height: Column)
 
 
 def from_top_left(left: Column, top: Column, right: Column, bottom: Column, height: Column | None = None) -> Column:
-    """As flipped(), for boxes of which sides may be swapped or too close: each side is 1 point at least."""
+    """As flipped(), for boxes of which sides may be swapped or equal: equal sides are moved 1 point apart."""
     tall = F.lit(A4_HEIGHT) if height is None else height
     low, high = F.least(tall - bottom, tall - top), F.greatest(tall - bottom, tall - top)
     x0, x1 = F.least(left, right), F.greatest(left, right)
-    return bbox(x0, low, F.greatest(x1, x0 + 1.0), F.greatest(high, low + 1.0))
+    apart = lambda a, b: F.when(b <= a, a + 1.0).otherwise(b)
+    return bbox(x0, low, apart(x0, x1), apart(low, high))
 
 
 def column_bucket(x0: Column, width: Column) -> Column:

@@ -41,19 +41,22 @@ def lines_of_words(words: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """
     word = F.struct("top", "x0", "x1", "bottom", "text")
     pages = words.groupBy("document_id", "page").agg(F.array_sort(F.collect_list(word)).alias("words"))
-    start = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("top"), F.array().cast("array<int>").alias("lines"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("top"), F.array().cast("array<int>").alias("starts"))
 
     def step(state: Column, w: Column) -> Column:
         new = state["top"].isNull() | (F.abs(state["top"] - w["top"]) > tolerance)
-        line = state["line"] + F.when(new, 1).otherwise(0)
-        return F.struct(line.alias("line"), F.when(new, w["top"].cast("double")).otherwise(state["top"]).alias("top"), F.concat(state["lines"], F.array(line)).alias("lines"))
-
-    placed = pages.withColumn("lines", F.aggregate("words", start, step)["lines"])
-    each = placed.select("document_id", "page", F.posexplode(F.arrays_zip("words", "lines")).alias("n", "w")).select("document_id", "page", "n", "w.words.*", F.col("w.lines").alias("line"))
-    return each.groupBy("document_id", "page", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"),
-        F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"),
-    )
+        n = state["n"] + 1
+        starts = F.when(new, F.concat(state["starts"], F.array(n))).otherwise(state["starts"])
+        return F.struct(n.alias("n"), F.when(new, w["top"].cast("double")).otherwise(state["top"]).alias("top"), starts.alias("starts"))
+
+    # a page's words are neighbours by line, so lines are slices of them
+    placed = pages.withColumn("starts", F.aggregate("words", start, step)["starts"])
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("words") + 1))
+    each = placed.select("document_id", "page", "words", F.posexplode(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))).alias("line", "at"))
+    each = each.select("document_id", "page", "line", F.expr("slice(words, at.a, at.b - at.a)").alias("words"))
+    least, most = (lambda n: F.array_min(F.transform("words", lambda w: w[n])).alias(n)), (lambda n: F.array_max(F.transform("words", lambda w: w[n])).alias(n))
+    text = F.array_join(F.transform("words", lambda w: w["text"]), " ").alias("text")
+    return each.select("document_id", "page", "line", text, least("x0"), least("top"), most("x1"), most("bottom"))
 
 
 def sample_text(pages: DataFrame, rules_: DomainRules | None = None) -> DataFrame:
@@ -107,9 +110,33 @@ def domains(samples: DataFrame, config: Rules | None = None) -> DataFrame:
     )
 
 
-def profiles(signals: DataFrame, samples: DataFrame, config: Rules | None = None) -> DataFrame:
-    """One row per document: origin, layout, domain, estimated cost and the least of the three confidences."""
-    rows = origins(signals, config).join(layouts(signals, config), "document_id").join(domains(samples, config), "document_id", "left")
+#: How sure a judgement is that a hook gives without a confidence.
+HOOK_CONFIDENCE = 0.8
+
+
+def judged(found: DataFrame, name: str) -> DataFrame:
+    """What a hook gives for each document, with the confidence that it leaves out."""
+    sure = f"{name}_confidence"
+    return found.select("document_id", name, (F.col(sure) if sure in found.columns else F.lit(HOOK_CONFIDENCE)).alias(sure))
+
+
+def profiles(
+    signals: DataFrame, samples: DataFrame, config: Rules | None = None, origin_of: DataFrame | None = None, layout_of: DataFrame | None = None, domain_of: DataFrame | None = None,
+    page_counts: DataFrame | None = None,
+) -> DataFrame:
+    """One row per document: origin, layout, domain, estimated cost and the least of the three confidences.
+
+    origin_of, layout_of and domain_of (document_id, the judgement, and its confidence if they have one) and page_counts
+    (document_id, page_count) take the place of what the rules find, for all documents.
+    """
+    rows = origins(signals, config)
+    if origin_of is not None:
+        rows = rows.select("document_id", "pages").join(judged(origin_of, "origin"), "document_id").withColumn("origin_reason", F.lit(None).cast("string"))
+    if page_counts is not None:
+        rows = rows.drop("pages").join(page_counts.select("document_id", F.col("page_count").alias("pages")), "document_id")
+    rows = rows.join(layouts(signals, config) if layout_of is None else judged(layout_of, "layout"), "document_id")
+    found = domains(samples, config) if domain_of is None else judged(domain_of, "domain").withColumn("matched", F.array().cast("array<string>"))
+    rows = rows.join(found, "document_id", "left")
     rows = rows.withColumn("domain", F.coalesce("domain", F.lit("general"))).withColumn("domain_confidence", F.coalesce("domain_confidence", F.lit(0.5)))
     return rows.select(
         "document_id", F.greatest("pages", F.lit(1)).alias("page_count"), "origin", "layout", "domain", F.lit("en").alias("language"), F.lit(0.5).alias("language_confidence"),
@@ -132,39 +159,58 @@ def fast_text_scores(pages: DataFrame, config: Rules | None = None) -> DataFrame
     return summed.withColumn("c", found).select("document_id", "chars", "pages", "low_pages", "c.*")
 
 
+#: What an attempt may tell of its cost; of a document's attempts the last one's counts.
+USAGE = ("cost_estimate_usd", "token_usage_prompt", "token_usage_completion")
+
+
+def chain_steps(profiles_: DataFrame) -> DataFrame:
+    """document_id, origin, layout, step (from 0) and strategy: what would be tried for each document, in order."""
+    chain = rules.strategy_chain(F.col("origin"), F.col("layout"), F.col("estimated_cost"))
+    return profiles_.withColumn("chain", chain).select("document_id", "origin", "layout", F.posexplode("chain").alias("step", "strategy"))
+
+
+def threshold(strategy: Column, config: Rules | None = None) -> Column:
+    """The least confidence with which a strategy's document is accepted."""
+    own = (config or Rules()).router
+    limits = F.create_map(*[x for n, v in (("fast_text", own.fast_text), ("layout", own.layout), ("vision", own.vision)) for x in (F.lit(n), F.lit(float(v)))])
+    return F.try_element_at(limits, strategy)
+
+
 def cascade(profiles_: DataFrame, attempts: DataFrame, config: Rules | None = None, refused: DataFrame | None = None) -> DataFrame:
     """What each document's chain of strategies comes to: one row with the strategy used, the chain as far as it went, and notes.
 
-    attempts: document_id, strategy, has_document, confidence, notes (one row for each strategy that was or could be
-    run). A strategy is accepted if it gave a document with its threshold's confidence. refused (document_id) are those
-    whose budget forbids the vision strategy: the chain ends there, what comes after it is not tried.
+    attempts: document_id, strategy, has_document, confidence, notes, and if it has them the columns of USAGE (one row for
+    each strategy that was or could be run; without a row a strategy has failed). A strategy is accepted if it gave a
+    document with its threshold's confidence, and then its notes count; a document below it is noted as such, whatever
+    its own notes; a failure notes what it says. refused (document_id) are those whose budget forbids the vision
+    strategy: it ends the chain, of which it is a part, and is noted. confidence is that of the last attempt, accepted
+    or not; a refused one has that of the attempt before. notes is null if there are none.
     """
-    own = (config or Rules()).router
-    limits = F.create_map(*[x for n, v in (("fast_text", own.fast_text), ("layout", own.layout), ("vision", own.vision)) for x in (F.lit(n), F.lit(float(v)))])
-    chain = rules.strategy_chain(F.col("origin"), F.col("layout"), F.col("estimated_cost"))
-    steps = profiles_.withColumn("chain", chain).select("document_id", "origin", "layout", F.posexplode("chain").alias("step", "strategy"))
-    rows = steps.join(attempts, ["document_id", "strategy"], "left")
+    rows = chain_steps(profiles_).join(attempts, ["document_id", "strategy"], "left")
     no = F.lit(False)
     if refused is not None:
         barred = refused.select("document_id").distinct().withColumn("barred", F.lit(True))
         rows = rows.join(barred, "document_id", "left")
         no = F.coalesce("barred", F.lit(False)) & (F.col("strategy") == "vision")
-    passed = F.coalesce("has_document", F.lit(False)) & (F.coalesce("confidence", F.lit(0.0)) >= F.try_element_at(limits, F.col("strategy")))
-    rows = rows.withColumn("refused", no).withColumn("accepted", passed & ~no)
+    given, sure = F.coalesce("has_document", F.lit(False)), F.coalesce("confidence", F.lit(0.0))
+    rows = rows.withColumn("refused", no).withColumn("given", given & ~no).withColumn("confidence", sure)
+    rows = rows.withColumn("accepted", F.col("given") & (F.col("confidence") >= threshold(F.col("strategy"), config)))
     by = Window.partitionBy("document_id").orderBy("step")
     ended = F.coalesce(F.max((F.col("accepted") | F.col("refused")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("tried", (ended == 0) & ~F.col("refused")).withColumn("ended", ended)
-    note = F.when(F.col("refused") & (ended == 0), F.lit("budget_exceeded")).when(
-        F.col("tried") & ~F.col("accepted"), F.coalesce(F.nullif("notes", F.lit("")), F.lit("confidence_below_threshold"))
-    )
-    rows = rows.withColumn("note", note).withColumn("won", F.col("accepted") & F.col("tried"))
-    tried = F.transform(F.array_sort(F.collect_list(F.when(F.col("tried"), F.struct("step", "strategy")))), lambda x: x["strategy"])
-    notes = F.transform(F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("step", "note")))), lambda x: x["note"])
+    rows = rows.withColumn("ended", ended).filter("ended = 0")
+    own = F.nullif(F.coalesce("notes", F.lit("")), F.lit(""))
+    note = F.when(F.col("refused"), "budget_exceeded").when(F.col("accepted") | ~F.col("given"), own).otherwise("confidence_below_threshold")
+    rows = rows.withColumn("note", note)
+    listed = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("step", name)))), lambda x: x[name])
+    last = lambda name, when: F.max(F.when(when, F.struct("step", F.col(name).alias("value"))))["value"]
+    told = [n for n in USAGE if n in attempts.columns]
+    zero = {"cost_estimate_usd": F.lit(0.0)}
+    usage = [F.max(F.struct("step", F.when(F.col("refused"), zero.get(n, F.lit(None))).otherwise(F.col(n)).alias("value")))["value"].alias(n) for n in told]
     out = rows.groupBy("document_id", "origin", "layout").agg(
-        F.max(F.when(F.col("won"), F.col("strategy"))).alias("won"), F.coalesce(F.max(F.when(F.col("won"), F.col("confidence"))), F.lit(0.0)).alias("confidence"),
-        tried.alias("escalation_chain"), F.array_join(notes, "; ").alias("notes"),
+        F.max(F.when(F.col("accepted"), F.col("strategy"))).alias("won"), F.coalesce(last("confidence", ~F.col("refused")), F.lit(0.0)).alias("confidence"),
+        listed("strategy").alias("escalation_chain"), F.nullif(F.array_join(listed("note"), "; "), F.lit("")).alias("notes"), *usage,
     )
-    return out.select("document_id", "origin", "layout", F.coalesce("won", F.lit("escalation_failed")).alias("strategy_used"), "confidence", "escalation_chain", "notes")
+    return out.select("document_id", "origin", "layout", F.coalesce("won", F.lit("escalation_failed")).alias("strategy_used"), "confidence", "escalation_chain", "notes", *told)
 
 
 def densities(pages: DataFrame, places: int = 4) -> DataFrame:

@@ -22,7 +22,8 @@ LDUS = (
 )
 FACTS = (
     "document_id string, entity string, metric string, value string, unit string, period string, category_path string, "
-    "source_reference struct<bbox:array<double>,content_hash:string,document_id:string,ldu_id:string,page:int>, source_page int"
+    "source_reference struct<bbox:array<double>,content_hash:string,document_id:string,ldu_id:string,page:int>, source_page int, "
+    "seq int, at struct<a:int,b:int>, fact_id long, created_at timestamp"
 )
 PAGE_SIGNALS = "document_id string, page int, chars int, image_ratio double, table_ratio double, table_regions int, columns int"
 LEDGER = (
@@ -30,3 +31,8 @@ LEDGER = (
     "processing_time_ms long, confidence_score double, cost_estimate_usd double, token_usage_prompt long, token_usage_completion long, "
     "escalation_chain array<string>, notes string"
 )
+VECTORS = (
+    "document_id string, ldu_id string, seq int, content string, content_type string, page_number int, content_hash string, "
+    "bbox struct<x0:double,y0:double,x1:double,y1:double>, parent_section_id string, embedding array<double>"
+)
+ATTEMPTS = "document_id string, strategy string, has_document boolean, confidence double, notes string"

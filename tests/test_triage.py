@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import rules
-from quire.operators import triage, validation
+from quire.operators import extraction, triage, validation
 from quire.plans import config, schemas
 from quire.plans.config import LayoutRules, OriginRules, Rules
 
@@ -42,7 +42,7 @@ def test_layouts(spark):
 
 
 def test_domains(spark):
-    texts = [("f", "The revenue for the quarter increased. Balance sheet shows strong fiscal position."), ("l", "WHEREAS the plaintiff and the court"), ("g", "nothing here"), ("e", ""), ("n", None)]
+    texts = [("f", "Our fiscal office closed the balance sheet once all revenue was booked."), ("l", "WHEREAS the plaintiff and the court"), ("g", "nothing here"), ("e", ""), ("n", None)]
     got = {r["document_id"]: r for r in triage.domains(spark.createDataFrame(texts, "document_id string, text string")).collect()}
     assert got["f"]["domain"] == "financial" and {"revenue", "balance sheet", "fiscal"} <= set(got["f"]["matched"])
     assert got["f"]["domain_confidence"] == pytest.approx(0.3 + 0.5 * 0.75)
@@ -69,15 +69,58 @@ def test_fast_text_scores(spark):
 
 
 def test_cascade(spark):
-    profiles = spark.createDataFrame([(d, "native_digital", "single_column", "fast_text_sufficient") for d in ("ok", "fail", "barred")] + [("scan", "scanned_image", "mixed", "needs_vision_model")], "document_id string, origin string, layout string, estimated_cost string")
-    tries = [("ok", "fast_text", True, 0.3), ("ok", "layout", True, 0.85), ("fail", "fast_text", False, 0.0), ("fail", "layout", False, 0.0), ("fail", "vision", False, 0.0), ("barred", "fast_text", True, 0.1), ("barred", "layout", True, 0.2), ("barred", "vision", True, 0.9), ("scan", "vision", True, 0.9), ("scan", "layout", True, 0.9)]
-    attempts = spark.createDataFrame([(*t, "") for t in tries], "document_id string, strategy string, has_document boolean, confidence double, notes string")
-    refused = spark.createDataFrame([("barred",), ("scan",)], "document_id string")
-    got = {r["document_id"]: (r["strategy_used"], r["escalation_chain"], r["notes"]) for r in triage.cascade(profiles, attempts, refused=refused).collect()}
-    assert got["ok"] == ("layout", ["fast_text", "layout"], "confidence_below_threshold")
-    assert got["fail"][:2] == ("escalation_failed", ["fast_text", "layout", "vision"])
-    assert got["barred"][:2] == ("escalation_failed", ["fast_text", "layout"]) and "budget_exceeded" in got["barred"][2]
-    assert got["scan"] == ("escalation_failed", [], "budget_exceeded")
+    """Chains as a router walks them: what is refused is part of the chain, and the last attempt's confidence counts."""
+    plain, scan = ("native_digital", "single_column", "fast_text_sufficient"), ("scanned_image", "mixed", "needs_vision_model")
+    cases = {
+        # profile, attempts by strategy (document, confidence, notes), refused; then strategy, confidence, chain, notes
+        "first": (plain, [("fast_text", True, 0.5, "clean")], False, ("fast_text", 0.5, ["fast_text"], "clean")),
+        "second": (plain, [("fast_text", True, 0.3, "n1"), ("layout", True, 0.85, None)], False, ("layout", 0.85, ["fast_text", "layout"], "confidence_below_threshold")),
+        "fail": (plain, [("fast_text", False, 0.0, "error: x"), ("layout", False, 0.0, None), ("vision", False, 0.1, "no pages")], False, ("escalation_failed", 0.1, ["fast_text", "layout", "vision"], "error: x; no pages")),
+        "barred": (plain, [("fast_text", True, 0.3, "n1"), ("layout", False, 0.2, ""), ("vision", True, 0.9, "v")], True, ("escalation_failed", 0.2, ["fast_text", "layout", "vision"], "confidence_below_threshold; budget_exceeded")),
+        "scan": (scan, [("vision", True, 0.9, ""), ("layout", True, 0.9, "")], True, ("escalation_failed", 0.0, ["vision"], "budget_exceeded")),
+        "quiet": (scan, [("vision", False, 0.0, ""), ("layout", True, 0.6, "")], False, ("layout", 0.6, ["vision", "layout"], None)),
+    }
+    profiles = spark.createDataFrame([(d, *c[0]) for d, c in cases.items()], "document_id string, origin string, layout string, estimated_cost string")
+    attempts = spark.createDataFrame([(d, *a) for d, c in cases.items() for a in c[1]], "document_id string, strategy string, has_document boolean, confidence double, notes string")
+    refused = spark.createDataFrame([(d,) for d, c in cases.items() if c[2]], "document_id string")
+    got = {r["document_id"]: (r["strategy_used"], r["confidence"], r["escalation_chain"], r["notes"]) for r in triage.cascade(profiles, attempts, refused=refused).collect()}
+    assert got == {d: c[3] for d, c in cases.items()}
+    # run step by step, each strategy sees only what has come to it
+    seen = {}
+
+    def extractor(name):
+        def run(ids):
+            seen.setdefault(name, []).extend(r[0] for r in ids.collect())
+            return ids.join(attempts.filter(F.col("strategy") == name).drop("strategy"), "document_id")
+
+        return run
+
+    ran = extraction.routed(profiles, {name: extractor(name) for name in rules.STRATEGIES}, refused=refused)
+    assert {r["document_id"]: (r["strategy_used"], r["confidence"], r["escalation_chain"], r["notes"]) for r in ran.collect()} == got
+    assert {k: sorted(v) for k, v in seen.items()} == {"fast_text": ["barred", "fail", "first", "second"], "layout": ["barred", "fail", "quiet", "second"], "vision": ["fail", "quiet"]}
+
+
+def test_usage_of_the_last_attempt(spark):
+    profiles = spark.createDataFrame([(d, "scanned_image", "mixed", "needs_vision_model") for d in "ab"], "document_id string, origin string, layout string, estimated_cost string")
+    attempts = spark.createDataFrame([("a", "vision", True, 0.9, "", 0.5, 100, 7), ("b", "vision", True, 0.9, "", 0.5, 100, 7)], "document_id string, strategy string, has_document boolean, confidence double, notes string, cost_estimate_usd double, token_usage_prompt long, token_usage_completion long")
+    out = triage.cascade(profiles, attempts, refused=spark.createDataFrame([("b",)], "document_id string"))
+    assert [tuple(r) for r in out.orderBy("document_id").select("cost_estimate_usd", "token_usage_prompt").collect()] == [(0.5, 100), (0.0, None)]
+    used = extraction.usage(out)
+    assert [tuple(r) for r in used.collect()] == [("a", 100, 7, 0.5)]
+    assert extraction.over_budget(used, 0.5).collect()[0][0] == "a" and extraction.over_budget(used, 0.6).count() == 0
+
+
+def test_pages_that_a_model_sees_and_answers(spark):
+    pages = spark.createDataFrame([("a", n, bytes([n])) for n in range(1, 61)] + [("b", 1, b"x")], "document_id string, page int, image binary")
+    shown = extraction.vision_pages(pages)
+    assert shown.count() == 51
+
+    def call(document_id, images):
+        if document_id == "b":
+            raise ValueError
+        return f"{len(images)} {images[0][0]} {images[-1][0]}"
+
+    assert sorted(tuple(r) for r in extraction.answered(shown, call).collect()) == [("a", "50 1 50"), ("b", None)]
 
 
 def test_lines_of_words_measure_from_the_first_word(spark):
