@@ -57,6 +57,15 @@ def json_string(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r'^[^\x00-\x1f"\\\x7f-\x9f]*\z')), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(escaped)
 
 
+def json_ascii(json: Column) -> Column:
+    """JSON text with its characters beyond ASCII as escapes, those beyond 16 bits as two."""
+    code = lambda c: F.ascii(c)
+    one = lambda n: F.format_string("\\u%04x", n)
+    pair = lambda n: F.concat(one(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), one(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+    escaped = lambda c: F.when(code(c) < 128, c).when(code(c) < 0x10000, one(code(c))).otherwise(pair(code(c)))
+    return F.when(F.rlike(json, F.lit(r"^\p{ASCII}*\z")), json).otherwise(F.array_join(F.transform(F.split(json, ""), escaped), ""))
+
+
 def json_list(items: Column, write) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, write), ", "), F.lit("]"))
 

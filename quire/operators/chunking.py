@@ -22,16 +22,14 @@ from quire.functions.text import (
     token_count,
 )
 from quire.plans.schemas import PAYLOAD
-from quire.plans.storage import stored
+from quire.plans.storage import dealt_by, stored
 
 
-def full_reading_order(blocks: DataFrame, reading_order: DataFrame) -> DataFrame:
-    """The given order, and for documents without one their text blocks by index."""
-    given = reading_order.select("document_id", "ref_type", "ref_id", F.col("order").cast("int").alias("order"))
-    missing = blocks.join(given.select("document_id").distinct(), "document_id", "left_anti")
-    return given.unionByName(
-        missing.select("document_id", F.lit("text_block").alias("ref_type"), F.col("id").alias("ref_id"), F.col("reading_order_index").cast("int").alias("order"))
-    )
+def possible_order(blocks: DataFrame, reading_order: DataFrame) -> DataFrame:
+    """The given order, and text blocks by index, not `given`, which count for documents without a given one."""
+    given = reading_order.select("document_id", "ref_type", "ref_id", F.col("order").cast("int").alias("order"), F.lit(True).alias("given"))
+    by_index = F.col("reading_order_index").cast("int").alias("order")
+    return given.unionByName(blocks.select("document_id", F.lit("text_block").alias("ref_type"), F.col("id").alias("ref_id"), by_index, F.lit(False).alias("given")))
 
 
 def referenced(blocks: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
@@ -127,12 +125,14 @@ def cross_references(units: DataFrame) -> DataFrame:
 def chunk(blocks: DataFrame, tables: DataFrame, figures: DataFrame, reading_order: DataFrame) -> DataFrame:
     """Logical units (see plans.schemas.LDUS), for a whole corpus at once.
 
-    Everything but the lookup of what entries refer to and of mentions is partitioned by document. The merged units are
-    stored once: units, their mentions and the mentions' targets all come from them.
+    Entries and elements are dealt out by document once; entries are looked up, put in order and merged as they lie. The
+    merged units are stored once: units, their mentions and the mentions' targets all come from them.
     """
-    entries = full_reading_order(blocks, reading_order)
-    what = referenced(blocks, tables, figures).withColumn("found", F.lit(True))
+    entries = possible_order(blocks, reading_order).repartition("document_id")
+    what = referenced(blocks, tables, figures).withColumn("found", F.lit(True)).repartition("document_id")
     rows = entries.join(what, ["document_id", "ref_type", "ref_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    has_order = F.max("given").over(Window.partitionBy("document_id"))
+    rows = rows.withColumn("has_order", has_order).filter(F.col("given") | ~F.col("has_order")).drop("given", "has_order")
     place = ("order", "ref_type", "ref_id")
     by = Window.partitionBy("document_id").orderBy(*place)
     rows = rows.withColumn("i", F.row_number().over(by))
@@ -150,7 +150,9 @@ def chunk(blocks: DataFrame, tables: DataFrame, figures: DataFrame, reading_orde
     own, box = F.array_join(F.collect_list("part").over(unit), PART_JOIN), geometry.union_all(F.col("bbox"), unit)
     rows = rows.withColumns({"own": own, "bbox": box}).filter("starts")
     merged = rows.select("document_id", "seq", "own", "bbox", "kind", "page", "label", "parent", "title", "caption", "alt_text", "type", "header", "rows")
-    return with_hashes(stored(merged))
+    with dealt_by(blocks.sparkSession):
+        merged = stored(merged)
+    return with_hashes(merged)
 
 
 def with_hashes(merged: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from quire.functions.text import key_values, periods, query_terms, strip
 from quire.plans.storage import asked_of
 
 TABLE_TYPES = ("table", "table_section")
+REFERENCE = "struct<bbox:array<double>,content_hash:string,document_id:string,ldu_id:string,page:int>"
 TEXT_TYPES = ("paragraph", "list", "section_intro", "footnote")
 
 
@@ -27,6 +28,11 @@ def reference_json(reference: Column) -> Column:
     return F.to_json(reference)
 
 
+def reference_read(json: Column) -> Column:
+    """A source reference from its JSON; text that isn't JSON gives one without any value."""
+    return F.from_json(json, REFERENCE)
+
+
 def fact(entity: Column, metric: Column, value: Column, period: Column | None = None) -> list[Column]:
     null = F.lit(None).cast("string")
     return [
@@ -73,14 +79,17 @@ def extract_facts(ldus: DataFrame, table_only: bool = False) -> DataFrame:
 def search_facts(facts: DataFrame, queries: DataFrame, limit: int = 20, document_ids: Sequence[str] | None = None) -> DataFrame:
     """The first facts that have any of a query's first ten words, for each row of queries (query_id, query).
 
-    No ids given means all documents, an empty list means none. Words match within words, in any case.
+    Stored facts come in the order of their ids, others in that of documents, units and places. No ids given means all
+    documents, an empty list means none; a query with a document_id (a column of that name, null for all) asks that
+    document alone. Words match within words, in any case.
     """
     if document_ids is not None:
         facts = facts.filter(F.col("document_id").isin(*document_ids)) if document_ids else facts.filter(F.lit(False))
     terms = F.transform(query_terms(F.col("query")), F.lower)
-    asked = queries.select("query_id", terms.alias("terms"))
+    scope = F.col("document_id") if "document_id" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", terms.alias("terms"), scope.alias("only"))
     hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("entity", "metric", "value", "period")]))
-    hit = F.exists("terms", lambda t: F.contains(F.col("hay"), t))
-    rows = asked_of(facts.withColumn("hay", hay), asked, hit).drop("hay", "terms")
-    by = Window.partitionBy("query_id").orderBy("document_id", "seq", "at")
+    hit = F.exists("terms", lambda t: F.contains(F.col("hay"), t)) & (F.col("only").isNull() | (F.col("only") == F.col("document_id")))
+    rows = asked_of(facts.withColumn("hay", hay), asked, hit).drop("hay", "terms", "only")
+    by = Window.partitionBy("query_id").orderBy(*(["fact_id"] if "fact_id" in facts.columns else ["document_id", "seq", "at"]))
     return rows.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)

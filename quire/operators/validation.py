@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.geometry import is_valid
 from quire.functions.rules import COSTS, STRATEGIES
-from quire.functions.text import strip
+from quire.functions.text import language_code, strip
 from quire.operators.sections import HEADING_TYPES
 
 TABLE_TYPES = ("table", "table_section")
@@ -113,6 +113,24 @@ def ragged_tables(cells: DataFrame) -> DataFrame:
     return per_row.groupBy("document_id", "table_id").agg(F.count_distinct("columns").alias("widths")).filter("widths > 1")
 
 
+def page_errors(rows: DataFrame) -> DataFrame:
+    """Rows of (document_id, page_number) that name no document or a page before the first."""
+    return violations(rows, ["document_id", "page_number"], {"document_id": F.coalesce("document_id", F.lit("")) != "", "page_number": F.col("page_number") >= 1})
+
+
+def span_errors(spans: DataFrame) -> DataFrame:
+    """Rows of (document_id, page_start, page_end) that aren't ranges of pages."""
+    return violations(
+        spans, ["document_id", "page_start", "page_end"],
+        {"document_id": F.coalesce("document_id", F.lit("")) != "", "page_start": F.col("page_start") >= 1, "page_end": F.col("page_end") >= F.greatest("page_start", F.lit(1))},
+    )
+
+
+def language_errors(rows: DataFrame) -> DataFrame:
+    """Rows of (document_id, language) whose language is no code of two to five ASCII letters."""
+    return violations(rows, ["document_id", "language"], {"language": language_code(F.col("language")).isNotNull()})
+
+
 def box_errors(elements: DataFrame) -> DataFrame:
     return elements.filter(~is_valid(F.col("bbox")))
 

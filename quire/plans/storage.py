@@ -1,39 +1,105 @@
-"""How tables are stored and met: written once where a plan would compute them for each branch, and paired in blocks."""
+"""How tables are stored and met: written once where a plan would compute them for each branch, numbered, and paired in blocks."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Questions that are broadcast, and questions of one block if there are more.
-FEW = 10_000
+#: Questions that are broadcast, and questions of one block if there are more; their bytes are bounded too.
+FEW, FEW_BYTES = 10_000, 32 << 20
+#: What this process has stored, by the folder of each table, and tables by what they are made of.
+KEPT: dict[str, SparkSession] = {}
+MADE: dict[tuple, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; where none is set, one beside the warehouse, which executors share too."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        beside = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or beside)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> str:
+    """Where df has been written to as Parquet, in the shared folder; the files go when the program ends."""
+    path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    KEPT[path] = df.sparkSession
+    df.write.parquet(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder of spark.checkpoint.dir and read again.
+    """df, written to the shared folder and read again.
 
     What follows scans only the columns that it needs, has a size to choose joins by, and can be computed again from
-    the files when executors are lost. A folder is made only where none is set, as in local tests.
+    the files when executors are lost.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    path = f"{context._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
+
+
+@contextmanager
+def dealt_by(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, tables dealt out by a part of a join's keys meet as they lie, without being dealt out again."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@atexit.register
+def forget() -> None:
+    """Delete what has been stored, as long as the session that wrote it still runs."""
+    for path, spark in KEPT.items():
+        if (context := spark.sparkContext)._jsc is not None:
+            file = context._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(context._jsc.hadoopConfiguration()).delete(file, True)
+    KEPT.clear()
+    MADE.clear()
+
+
+def stored_once(name: str, sources: list[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), stored the first time that this application asks for it over these files as they are now."""
+    spark = sources[0].sparkSession
+    hadoop, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = sorted(f for df in sources for f in df.inputFiles())
+    state = []
+    for f in files:
+        status = path_of(f).getFileSystem(hadoop).getFileStatus(path_of(f))
+        state.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, *state)
+    if key not in MADE:
+        MADE[key] = written(make())
+    return spark.read.parquet(MADE[key])
 
 
 def asked_of(rows: DataFrame, questions: DataFrame, on: Column | None = None, few: int = FEW) -> DataFrame:
     """Each row with each of all questions, however many, if `on` holds or isn't given.
 
-    Questions are broadcast only if they are counted as few. Otherwise they are dealt into blocks, and each task pairs
-    one block with one part of the rows, so that no task and no driver holds all questions.
+    Questions are broadcast only if they are counted as few and measured as small. Otherwise they are dealt into blocks,
+    and each task pairs one block with one part of the rows, so that no task and no driver holds all questions.
     """
-    n = questions.count()
-    if n <= few:
+    n, size = questions.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct(*questions.columns)))), F.lit(0))).first()
+    if n <= few and size <= FEW_BYTES:
         return rows.join(F.broadcast(questions), on)
-    return rows.join(questions.repartition(-(-n // few)).hint("shuffle_replicate_nl"), on)
+    blocks = max(-(-n // few), -(-size // FEW_BYTES))
+    return rows.join(questions.repartition(blocks).hint("shuffle_replicate_nl"), on)
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """rows, stored, with their places from 0 in this order as `name`: counted by parts of the sort, not in one task."""
+    placed = stored(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each part of the sort
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(offsets), part == F.col("__part")).withColumn(name, F.col("__before") + inside).drop("__at", "__part", "__before")

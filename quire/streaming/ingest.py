@@ -40,7 +40,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
         batch = batch.persist()
         units = accepted(chunk(*split_elements(batch))).persist()
         facts = extract_facts(units)
-        for name, rows in (("ldus", units), ("facts", facts.drop("at")), ("vectors", embedded(units))):
+        for name, rows in (("ldus", units), ("facts", facts), ("vectors", embedded(units))):
             rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
         units.unpersist()
         batch.unpersist()

@@ -1,7 +1,9 @@
 import json
 
 
-from quire.operators import facts, retrieval, sections
+from pyspark.sql import functions as F
+
+from quire.operators import extraction, facts, retrieval, sections
 from quire.sources import readers, sinks
 from quire.streaming import ingest
 from tests.test_documents import ldus
@@ -16,8 +18,11 @@ def test_files_are_parsed_where_they_are_read(spark, tmp_path):
             raise ValueError
         return [{"document_id": document_id, "page": n, "text": t.decode()} for n, t in enumerate(content.split(b"\n"), 1)]
 
-    found = readers.parsed(readers.files(spark, str(tmp_path)), parse, "document_id string, page int, text string").orderBy("page").collect()
+    files, schema = readers.files(spark, str(tmp_path)), "document_id string, page int, text string"
+    found = readers.parsed(files, parse, schema).orderBy("page").collect()
     assert [(r["page"], r["text"]) for r in found] == [(1, "one"), (2, "two")] and len(found[0]["document_id"]) == 32
+    bad = readers.failures(files, parse, schema).collect()
+    assert [len(r["document_id"]) for r in bad] == [32] and bad[0]["error"].startswith("error:") and bad[0]["document_id"] != found[0]["document_id"]
 
 
 def test_html_blocks(spark):
@@ -27,12 +32,62 @@ def test_html_blocks(spark):
 
 
 def test_vision_answers(spark):
-    answer = {"text_blocks": [{"text": "hi", "bbox": [1, 2, 3, 4]}], "tables": [{"id": "T", "caption": "", "header": ["a", "b"], "rows": [["1"], ["1", "2", "3"]]}], "figures": [{"caption": "c"}]}
-    rows = [("d", "```json\n" + json.dumps(answer) + "\n```"), ("e", "no json")]
-    blocks, tables, figures, order = readers.vision_elements(spark.createDataFrame(rows, "document_id string, response string"))
-    assert [(r["id"], r["page_number"], tuple(r["bbox"])) for r in blocks.collect()] == [("t0", 1, (1, 2, 3, 4))]
-    assert [(r["id"], r["caption"], r["rows"]) for r in tables.collect()] == [("T", None, [["1", "", ""], ["1", "2", "3"]])]
-    assert [r["ref_id"] for r in order.filter("document_id = 'd'").orderBy("order").collect()] == ["t0", "T", "fig0"] and figures.count() == 1
+    box = {"x0": 1, "y0": 2, "x1": 3, "y1": 4}
+    answer = {
+        "text_blocks": [{"page": 3, "text": " hi ", "bbox": box}, {"id": "own", "text": None}],
+        "tables": [{"id": "T", "caption": " ", "headers": ["a", "b"], "rows": [["1"], ["1", "2", "3"]]}, {"page": 2}],
+        "figures": [{"caption": "c", "bbox": {"x1": 9}}],
+    }
+    bad = {"text_blocks": [{"bbox": {"x0": 5, "x1": 5}}]}
+    rows = [("d", "```json\n" + json.dumps(answer) + "\n```"), ("e", "no json"), ("f", json.dumps(bad)), ("g", None), ("h", "{}")]
+    asked = spark.createDataFrame(rows, "document_id string, response string")
+    blocks, tables, figures, order = readers.vision_elements(asked)
+    assert [(r["id"], r["page_number"], tuple(r["bbox"]), r["text"]) for r in blocks.orderBy("reading_order_index").collect()] == [("block_3_0", 3, (1, 2, 3, 4), "hi"), ("own", 1, (0, 0, 100, 20), "")]
+    got = [(r["id"], r["page_number"], r["caption"], r["header"], r["rows"], tuple(r["bbox"])) for r in tables.orderBy("id").collect()]
+    assert got == [("T", 1, None, ["a", "b", ""], [["1", "", ""], ["1", "2", "3"]], (0, 0, 100, 50)), ("table_2_1", 2, None, [""], [], (0, 0, 100, 50))]
+    assert [(r["id"], r["caption"], tuple(r["bbox"])) for r in figures.collect()] == [("figure_1_0", "c", (0, 0, 9, 80))]
+    assert [r["ref_id"] for r in order.orderBy("order").collect()] == ["block_3_0", "own", "T", "table_2_1", "figure_1_0"]
+    attempts = {r["document_id"]: (r["has_document"], r["confidence"], r["notes"]) for r in extraction.vision_model(asked)[1].collect()}
+    failed = (False, 0.0, "vision_api_call_failed")
+    assert attempts == {"d": (True, 0.8, None), "e": failed, "f": (False, 0.0, "vision_response_invalid"), "g": failed, "h": (True, 0.8, None)}
+
+
+def test_stores(spark, tmp_path):
+    """Facts written, replaced, read and searched; vectors upserted twice; no folder for each document."""
+    one, two = ldus(spark, [("paragraph", "Total: 5", 1), ("paragraph", "Rest: 7", 1)], "a"), ldus(spark, [("paragraph", "Total: 6", 1)], "b")
+    path = str(tmp_path / "facts")
+    assert sinks.write_facts(facts.extract_facts(one.union(two)), path) == 3
+    assert sinks.write_facts(facts.extract_facts(ldus(spark, [("paragraph", "Total: 9", 1)], "a")), path, replace_documents=True) == 1
+    back = readers.facts(spark, path)
+    assert sorted((r["document_id"], r["fact_id"], r["value"]) for r in back.collect()) == [("a", 4, "9"), ("b", 3, "6")]
+    asked = spark.createDataFrame([("q", "total", None), ("r", "total", "a")], "query_id string, query string, document_id string")
+    assert [(r["query_id"], r["rank"], r["value"]) for r in facts.search_facts(back, asked).orderBy("query_id", "rank").collect()] == [("q", 1, "6"), ("q", 2, "9"), ("r", 1, "9")]
+    where = str(tmp_path / "vectors")
+    assert sinks.upsert_vectors(retrieval.embedded(one), where) == 2 and sinks.upsert_vectors(retrieval.embedded(two), where) == 1
+    changed = ldus(spark, [("paragraph", "Total: 50", 1)], "a")
+    assert sinks.upsert_vectors(retrieval.embedded(changed), where) == 1
+    kept = readers.vectors(spark, where)
+    assert sorted((r["document_id"], r["ldu_id"], r["content"]) for r in kept.collect()) == [("a", "ldu_0001", "Total: 50"), ("a", "ldu_0002", "Rest: 7"), ("b", "ldu_0001", "Total: 6")]
+    assert readers.vectors(spark, str(tmp_path / "none")).count() == 0
+    sinks.write_ldus(one.union(two), str(tmp_path / "units"))
+    assert not [p for p in (tmp_path / "units").iterdir() if p.name.startswith("document")]
+
+
+def test_index_trees(spark):
+    units = ldus(spark, [("heading", "1. A", 1), ("paragraph", "x", 1), ("heading", "1.1 B", 2)])
+    index = sections.build_index(units, spark.createDataFrame([("d1", 2), ("d2", 1)], "document_id string, page_count int"))
+    trees = {r["document_id"]: json.loads(r["tree"]) for r in sinks.index_trees(index).collect()}
+    root = trees["d1"]["root"]
+    assert [c["id"] for c in root["child_sections"]] == ["sec_0", "sec_1"] and root["summary"] is None and root["page_end"] == 2 == trees["d1"]["page_count"]
+    assert root["child_sections"][0]["ldu_ids"] == ["ldu_0001", "ldu_0002", "ldu_0003"] and trees["d2"]["root"]["child_sections"] == [] and trees["d1"]["built_at"]
+
+
+def test_summaries_of_sections_with_content(spark):
+    units = ldus(spark, [("heading", "1. A", 1), ("paragraph", "one  ", 1), ("heading", " ", 2)])
+    counts = spark.createDataFrame([("d1", 2)], "document_id string, page_count int")
+    say = lambda title, content, section, document: F.concat(title, F.lit("|"), content)
+    said = {r["section_id"]: r["summary"] for r in sections.build_index(units, counts, say).collect()}
+    assert said == {"root": None, "sec_0": "1. A|1. A one", "sec_1": None}
 
 
 def test_round_trips(spark, tmp_path):
