@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import rules
 from quire.functions.geometry import bbox
-from quire.plans.storage import stored
+from quire.operators import chunking, triage
+from quire.plans.storage import stored, stored_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,12 @@ def extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return blocks, tables, figures, order
 
 
+def ldus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logical units of all customers' documents, chunked the first time that an application asks for them."""
+    sources = [table(spark, sf_dir, name) for name in ("orders", "lineitem")]
+    return stored_once("ldus", sources, lambda: chunking.chunk(*extracted(spark, sf_dir)))
+
+
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """document_id and page_count of the customers' documents."""
     return numbered_orders(spark, sf_dir).groupBy("document_id").agg(F.max("page").alias("page_count"))
@@ -89,6 +97,19 @@ def signal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cost_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_id, origin, layout and estimated cost from the page signals."""
+    signals = signal_pages(spark, sf_dir)
+    rows = triage.origins(signals).join(triage.layouts(signals), "document_id")
+    return rows.select("document_id", "origin", "layout", rules.estimated_cost(F.col("origin"), F.col("layout")).alias("estimated_cost"))
+
+
+def attempted(document_id: Column, s: int) -> list[Column]:
+    """What the strategy of number s comes to for a document: made up, but the same in SQL."""
+    note = F.when((document_id + s) % 5 == 0, F.lit(f"n{s}")).otherwise("")
+    return [((document_id + s) % 4 != 0).alias("has_document"), (((document_id * 7 + s * 3) % 10).cast("double") / 10).alias("confidence"), note.alias("notes")]
+
+
 def measured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page measures with an order as document and its lines as pages."""
     return table(spark, sf_dir, "lineitem").select(

@@ -54,6 +54,9 @@ members AS (SELECT r.document_id, r.section_id, r.n, r.title, l.ldu_id, l.seq, l
   AND l.seq >= r.seq AND (r.end_seq IS NULL OR l.seq < r.end_seq) AND l.page <= r.page_end AND l.page >= r.page_start),
 typed AS (SELECT *, CASE content_type WHEN 'table' THEN 'tables' WHEN 'figure' THEN 'figures' WHEN 'list' THEN 'lists' WHEN 'paragraph' THEN 'paragraphs' WHEN 'heading' THEN 'paragraphs' ELSE 'other' END AS data_type FROM members)"""
 
+ROOTS = """
+roots AS (SELECT document_id, 'root' AS section_id, string_agg(DISTINCT CASE content_type WHEN 'table' THEN 'tables' WHEN 'figure' THEN 'figures' WHEN 'list' THEN 'lists' WHEN 'paragraph' THEN 'paragraphs' WHEN 'heading' THEN 'paragraphs' ELSE 'other' END, ',' ORDER BY CASE content_type WHEN 'table' THEN 'tables' WHEN 'figure' THEN 'figures' WHEN 'list' THEN 'lists' WHEN 'paragraph' THEN 'paragraphs' WHEN 'heading' THEN 'paragraphs' ELSE 'other' END) AS data_types, count(*) AS units FROM ldus GROUP BY 1)"""
+
 FACTS = """
 cells AS (SELECT document_id, seq, k, o.o_orderkey FROM labelled o WHERE kind = 'table'),
 table_facts AS (
@@ -89,6 +92,14 @@ def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+def half_even(value: str, places: int) -> str:
+    """A value's decimal form, rounded half to even."""
+    scaled = f"(CAST(CAST({value} AS VARCHAR) AS DECIMAL(28, 18)) * {10**places})"
+    low = f"floor({scaled})"
+    up = f"({scaled} - {low} > 0.5 OR ({scaled} - {low} = 0.5 AND CAST({low} AS BIGINT) % 2 = 1))"
+    return f"CAST(CASE WHEN {up} THEN CAST({low} AS BIGINT) + 1 ELSE CAST({low} AS BIGINT) END AS DOUBLE) / {10**places}"
+
+
 def claim_rows() -> str:
     return "claims AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{c}')" for i, c in CLAIMS) + ") v(query_id, query))"
 
@@ -116,11 +127,12 @@ CASCADE = """
 chains AS (SELECT *, CASE WHEN estimated_cost = 'needs_vision_model' THEN ['vision', 'layout'] WHEN estimated_cost = 'fast_text_sufficient' THEN ['fast_text', 'layout', 'vision'] ELSE ['layout', 'vision'] END AS chain FROM cost_rows),
 steps AS (SELECT document_id, unnest(range(len(chain))) AS step, unnest(chain) AS strategy FROM chains),
 scored AS (SELECT *, CASE strategy WHEN 'fast_text' THEN 1 WHEN 'layout' THEN 2 ELSE 3 END AS s FROM steps),
-tries AS (SELECT *, (document_id + s) % 4 <> 0 AS has_document, CAST((document_id * 7 + s * 3) % 10 AS DOUBLE) / 10 AS confidence FROM scored),
-gated AS (SELECT *, has_document AND confidence >= CASE WHEN strategy = 'vision' THEN 0.0 ELSE 0.5 END AND NOT (strategy = 'vision' AND document_id % 11 = 0) AS ok, strategy = 'vision' AND document_id % 11 = 0 AS refused FROM tries),
+tries AS (SELECT *, (document_id + s) % 4 <> 0 AS given, CAST((document_id * 7 + s * 3) % 10 AS DOUBLE) / 10 AS confidence, CASE WHEN (document_id + s) % 5 = 0 THEN 'n' || s END AS own_note, strategy = 'vision' AND document_id % 11 = 0 AS refused FROM scored),
+gated AS (SELECT *, given AND NOT refused AND confidence >= CASE WHEN strategy = 'vision' THEN 0.0 ELSE 0.5 END AS ok FROM tries),
 walked AS (SELECT *, coalesce(max(CAST(ok OR refused AS INT)) OVER (PARTITION BY document_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM gated),
-results AS (SELECT document_id, coalesce(max(strategy) FILTER (ok AND ended = 0), 'escalation_failed') AS strategy_used, coalesce(max(confidence) FILTER (ok AND ended = 0), 0.0) AS confidence,
-  coalesce(string_agg(strategy, '>' ORDER BY step) FILTER (ended = 0 AND NOT refused), '') AS chain FROM walked GROUP BY 1)"""
+noted AS (SELECT *, CASE WHEN refused THEN 'budget_exceeded' WHEN ok OR NOT given THEN own_note ELSE 'confidence_below_threshold' END AS note FROM walked WHERE ended = 0),
+results AS (SELECT document_id, coalesce(max(strategy) FILTER (ok), 'escalation_failed') AS strategy_used, coalesce(arg_max(confidence, step) FILTER (NOT refused), 0.0) AS confidence,
+  string_agg(strategy, '>' ORDER BY step) AS chain, string_agg(note, '; ' ORDER BY step) AS notes FROM noted GROUP BY 1)"""
 VECTORS = """
 pairs AS (SELECT q.vec_id AS query_id, q.label AS query_label, v.vec_id, v.label,
   list_sum([(CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) * (CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE)) for i in range(1, len(v.embedding) + 1)]) AS distance
@@ -140,7 +152,7 @@ substr(sha256(content_type || '|' || regexp_replace(text, '\\s+', ' ', 'g') || p
 JOIN ldus b ON b.document_id = a.document_id AND b.label = a.label AND b.seq < a.seq""",
     "section_ranges": f"{with_(ENTRIES, SECTIONS)} SELECT document_id, section_id, title, level, page_start, page_end FROM ranges",
     "section_membership": f"{with_(ENTRIES, SECTIONS)} SELECT document_id, section_id, ldu_id FROM members",
-    "section_data_types": f"{with_(ENTRIES, SECTIONS)} SELECT document_id, section_id, string_agg(DISTINCT data_type, ',' ORDER BY data_type) AS data_types, count(*) AS units FROM typed GROUP BY 1, 2",
+    "section_data_types": f"{with_(ENTRIES, SECTIONS, ROOTS)} SELECT * FROM roots UNION ALL SELECT document_id, section_id, string_agg(DISTINCT data_type, ',' ORDER BY data_type) AS data_types, count(*) AS units FROM typed GROUP BY 1, 2",
     "table_facts": f"{with_(ENTRIES, FACTS)} SELECT document_id, seq, entity, metric, value FROM table_facts WHERE value <> ''",
     "keyvalue_facts": f"{with_(ENTRIES, FACTS)} SELECT document_id, seq, metric, value FROM kv_facts",
     "period_facts": f"{with_(ENTRIES, FACTS)} SELECT document_id, seq, value FROM (SELECT DISTINCT document_id, seq, value FROM period_facts)",
@@ -151,14 +163,15 @@ SELECT query_id, CAST(rank AS INT) AS rank, document_id, entity, metric, value F
     "claim_audit": f"""{with_(ENTRIES, FACTS, claim_rows())}, terms AS (SELECT query_id, unnest(string_split(lower(query), ' ')) AS term FROM claims),
 hits AS (SELECT query_id, least(20, count(*)) AS n FROM (SELECT DISTINCT query_id, f.* FROM facts f JOIN terms t ON contains(lower(entity || ' ' || metric || ' ' || value || ' ' || period), term)) GROUP BY 1),
 solid AS (SELECT DISTINCT query_id FROM terms WHERE length(term) >= 2 AND term NOT IN ('the', 'is', 'report', 'says', 'it', 'should', 'not', 'be', 'verified', 'every', 'was'))
-SELECT c.query_id, CASE WHEN s.query_id IS NULL THEN 0 ELSE coalesce(h.n, 0) END AS n_items, CASE WHEN s.query_id IS NULL OR h.n IS NULL THEN 'unverifiable' ELSE 'verified' END AS status FROM claims c LEFT JOIN solid s USING (query_id) LEFT JOIN hits h USING (query_id)""",
+-- each claim of substance has its nearest units, 10 of them, whatever they say: all have pages, boxes and hashes
+SELECT c.query_id, CASE WHEN s.query_id IS NULL THEN 0 ELSE coalesce(h.n, 0) + (SELECT least(10, count(*)) FROM ldus) END AS n_items, CASE WHEN s.query_id IS NULL THEN 'unverifiable' ELSE 'verified' END AS status FROM claims c LEFT JOIN solid s USING (query_id) LEFT JOIN hits h USING (query_id)""",
     "vector_topk": f"{with_(VECTORS)} {TOP.format(where='')}",
     "vector_topk_filtered": f"{with_(VECTORS)} {TOP.format(where=' WHERE label IN (1, 3)')}",
-    "section_narrowed_search": f"{with_(VECTORS)} {TOP.format(where=' WHERE label = query_label')}",
+    "section_narrowed_search": f"{with_(VECTORS)} {TOP.format(where=' WHERE label = 2')}",
     "origin_rules": f"{with_(SIGNALS, ORIGIN)} SELECT document_id, pages, origin, origin_confidence FROM origin_rows",
     "layout_rules": f"{with_(SIGNALS, ORIGIN)} SELECT document_id, layout, layout_confidence FROM layout_rows",
     "cost_rules": f"{with_(SIGNALS, ORIGIN, COST)} SELECT document_id, origin, layout, estimated_cost FROM cost_rows",
-    "strategy_cascade": f"{with_(SIGNALS, ORIGIN, COST, CASCADE)} SELECT document_id, strategy_used, confidence, chain FROM results",
+    "strategy_cascade": f"{with_(SIGNALS, ORIGIN, COST, CASCADE)} SELECT document_id, strategy_used, confidence, chain, notes FROM results",
     "ledger_summary": f"{with_(SIGNALS, ORIGIN, COST, CASCADE)} SELECT strategy_used, count(*) AS documents, round(sum(confidence), 4) AS confidence FROM results GROUP BY 1",
     "domain_rules": f"""WITH texts AS (SELECT p_partkey AS document_id, 'The ' || {KEYWORD_LIST}[CAST(p_partkey % 37 AS INT) + 1] || ' and the ' || {KEYWORD_LIST}[CAST(p_size % 30 AS INT) + 1] || ' of ' || {KEYWORD_LIST}[CAST((p_partkey + p_size) % 30 AS INT) + 1] AS text FROM part),
 kw AS (SELECT * FROM (VALUES {KEYWORD_ROWS}) v(domain, place, term, half)),
@@ -170,7 +183,8 @@ count(*) FILTER (CAST(l_quantity AS INT) * 3 < 50) AS low, count(*) FILTER (l_pa
 r AS (SELECT *, chars / (area / 10000.0) AS d, image_area / area AS img, greatest(0.0, 1.0 - text_area / area - image_area / area) AS white, low / pages AS ls FROM p)
 SELECT document_id, CAST(chars AS BIGINT) AS chars, pages, low AS low_pages, (ls > 0.5 OR chars < 50) AS missing_text, round(greatest(0.0, least(1.0, (CASE WHEN d < 1.0 THEN greatest(0.0, d) ELSE 1.0 END) * (CASE WHEN img > 0.5 THEN greatest(0.0, 1.0 - (img - 0.5) / 0.5) ELSE 1.0 END)
 * (CASE WHEN ls > 0 THEN 1.0 - ls * 0.5 ELSE 1.0 END) * (CASE WHEN fonts = 0 AND chars > 0 THEN 0.8 ELSE 1.0 END) * (CASE WHEN ls > 0.5 OR chars < 50 THEN 0.7 ELSE 1.0 END) * (CASE WHEN white > 0.8 THEN 0.9 ELSE 1.0 END))), 6) AS score FROM r""",
-    "density_stats": """SELECT l_orderkey AS document_id, count(*) AS pages, CAST(sum(CAST(l_quantity AS INT) * 3) AS BIGINT) AS chars, round(sum(CAST(l_quantity AS INT) * 3000)::DOUBLE / (count(*) * 480000.0), 3) AS text_ratio, round(sum((l_suppkey % 8) * 60000)::DOUBLE / (count(*) * 480000.0), 3) AS image_ratio FROM lineitem GROUP BY 1""",
+    "density_stats": f"""SELECT l_orderkey AS document_id, count(*) AS pages, CAST(sum(CAST(l_quantity AS INT) * 3) AS BIGINT) AS chars, {half_even("sum(CAST(l_quantity AS INT) * 3000)::DOUBLE / (count(*) * 480000)", 4)} AS text_ratio,
+{half_even("sum((l_suppkey % 8) * 60000)::DOUBLE / (count(*) * 480000)", 4)} AS image_ratio, {half_even("sum(CAST(l_quantity AS INT) * 3)::DOUBLE / (count(*) * 480000)", 6)} AS char_density FROM lineitem GROUP BY 1""",
     "provenance_dedupe": """SELECT query_id, document_id, page_number, content_hash, source, rank FROM (SELECT l_suppkey % 50 AS query_id, CAST(l_partkey % 200 AS VARCHAR) AS document_id, l_linenumber AS page_number, l_returnflag AS content_hash, l_linenumber % 2 AS source, l_orderkey AS rank,
 row_number() OVER (PARTITION BY l_suppkey % 50, l_partkey % 200, l_linenumber, l_returnflag ORDER BY l_linenumber % 2, l_orderkey) AS n FROM lineitem) WHERE n = 1""",
     "chunk_validation": f"""{with_(ENTRIES)}, bad AS (SELECT document_id, seq, kind, CASE WHEN seq % 83 = 0 THEN NULL ELSE parent_section_id END AS parent, max(kind = 'heading') OVER (PARTITION BY document_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ldus)
@@ -183,5 +197,5 @@ scored AS (SELECT t.topic_id, r.document_id, r.section_id, r.n, CAST(CASE WHEN c
 ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_id, document_id ORDER BY score DESC, n) AS rank FROM scored) SELECT topic_id, document_id, section_id, score, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 3""",
     "deterministic_embedding": """WITH h AS (SELECT item_id, sha256(text) AS s FROM benchmark), b AS (SELECT item_id, [CAST('0x' || substr(s, 2 * i + 1, 2) AS INT) for i in range(0, 32)] AS o FROM h),
 v AS (SELECT item_id, [xor(o[i + 1], o[(i + 1) % 32 + 1]) / 255.0 - 0.5 for i in range(0, 32)] AS r FROM b), z AS (SELECT item_id, r, sqrt(12 * list_sum([x * x for x in r])) AS size FROM v)
-SELECT item_id, round(r[1] / size, 9) AS first, round(r[32] / size, 9) AS last, 384 AS dim FROM z""",
+SELECT item_id, CAST(i AS INT) AS place, round(r[CAST(i % 32 AS INT) + 1] / size, 9) AS value FROM z, range(384) p(i)""",
 }

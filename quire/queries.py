@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import extraction_queries, store_queries
+from quire.functions import rules
 from quire.functions import text as tx
 from quire.functions import vectors as vx
-from quire.operators import chunking, facts, retrieval, sections, triage, validation
+from quire.operators import facts, retrieval, sections, triage, validation
 from quire.plans import derived
 from quire.plans.derived import table
 from quire.plans.oracle import CLAIMS, KEYWORDS, TOPICS
+from quire.plans.oracle import ORACLE_SQL as OWN_SQL
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def block_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ldus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk(*derived.extracted(spark, sf_dir))
+    return derived.ldus(spark, sf_dir)
 
 
 def ldu_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +66,7 @@ def section_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_data_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sections.build_index(ldus(spark, sf_dir), derived.page_counts(spark, sf_dir)).filter(F.col("section_id") != "root")
+    rows = sections.build_index(ldus(spark, sf_dir), derived.page_counts(spark, sf_dir))
     return rows.select("document_id", "section_id", F.array_join("data_types_present", ",").alias("data_types"), F.size("ldu_ids").cast("long").alias("units"))
 
 
@@ -102,18 +105,12 @@ def claim_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.audits(claims(spark), cited).select("query_id", "n_items", "status")
 
 
-def vectors(spark: SparkSession, sf_dir: str, narrowed: bool = False, labels: tuple[int, ...] = ()) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("label").alias("query_label"))
-    if labels:
-        rows = rows.filter(F.col("label").isin(*labels))
-    if narrowed:
-        # each question looks among its own label's vectors: an equi-join instead of a broadcast of the questions
-        pairs = rows.join(asked, F.col("label") == F.col("query_label")).withColumn("distance", vx.squared_distance(F.col("embedding"), F.col("query_vector")))
-        by = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id")
-        found = pairs.withColumn("rank", F.row_number().over(by)).filter("rank <= 5")
-    else:
-        found = retrieval.nearest(rows, asked, 5, keys=("vec_id",))
+def vectors(spark: SparkSession, sf_dir: str, label: int | None = None, labels: tuple[int, ...] = ()) -> DataFrame:
+    """Neighbours of each fiftieth vector among all, those of some documents (here a label is one), or those of chosen units."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("document_id", F.col("label").cast("string"))
+    asked = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    within = None if label is None else rows.filter(F.col("label") == label).select("vec_id")
+    found = retrieval.nearest(rows, asked, 5, keys=("vec_id",), within=within, document_ids=[str(x) for x in labels])
     return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
 
 
@@ -126,12 +123,12 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_narrowed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir, narrowed=True)
+    return vectors(spark, sf_dir, label=2)
 
 
 def deterministic_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "benchmark").select("item_id", vx.deterministic_embedding(F.col("text")).alias("v"))
-    return rows.select("item_id", F.round(F.get("v", F.lit(0)), 9).alias("first"), F.round(F.get("v", F.lit(31)), 9).alias("last"), F.size("v").alias("dim"))
+    return rows.select("item_id", F.posexplode("v").alias("place", "value")).withColumn("value", F.round("value", 9))
 
 
 def provenance_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,20 +148,15 @@ def layout_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = derived.signal_pages(spark, sf_dir)
-    rows = triage.origins(signals).join(triage.layouts(signals), "document_id")
-    return rows.select("document_id", "origin", "layout", triage.rules.estimated_cost(F.col("origin"), F.col("layout")).alias("estimated_cost"))
+    return derived.cost_rules(spark, sf_dir)
 
 
 def strategy_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cost_rules(spark, sf_dir)
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(i + 1).alias("s")) for i, n in enumerate(("fast_text", "layout", "vision"))]))
-    tries = found.select("document_id", each.alias("t")).select(
-        "document_id", "t.strategy", ((F.col("document_id") + F.col("t.s")) % 4 != 0).alias("has_document"),
-        (((F.col("document_id") * 7 + F.col("t.s") * 3) % 10).cast("double") / 10).alias("confidence"), F.lit("").alias("notes"),
-    )
+    each = F.array(*[F.struct(F.lit(name).alias("strategy"), *derived.attempted(F.col("document_id"), s)) for s, name in enumerate(rules.STRATEGIES, 1)])
+    tries = found.select("document_id", F.inline(each))
     out = triage.cascade(found, tries, refused=found.filter(F.col("document_id") % 11 == 0).select("document_id"))
-    return out.select("document_id", "strategy_used", "confidence", F.array_join("escalation_chain", ">").alias("chain"))
+    return out.select("document_id", "strategy_used", "confidence", F.array_join("escalation_chain", ">").alias("chain"), "notes")
 
 
 def ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,8 +179,7 @@ def fast_text_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def density_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = triage.densities(derived.measured_pages(spark, sf_dir), places=9)
-    return found.select("document_id", "pages", "chars", F.round("text_ratio", 3).alias("text_ratio"), F.round("image_ratio", 3).alias("image_ratio"))
+    return triage.densities(derived.measured_pages(spark, sf_dir))
 
 
 def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +190,7 @@ def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.chunk_errors(bad).groupBy("document_id", "code").agg(F.count(F.lit(1)).alias("errors"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+OWN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         content_hash, token_count, block_classification, ldu_chunking, section_carry_forward, cross_references, section_ranges, section_membership,
@@ -208,3 +199,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         domain_rules, fast_text_confidence, density_stats, chunk_validation,
     )
 }
+
+QUERIES = OWN | {name: query for module in (extraction_queries, store_queries) for name, (query, _) in module.ENTRIES.items()}
+ORACLE_SQL = OWN_SQL | {name: sql for module in (extraction_queries, store_queries) for name, (_, sql) in module.ENTRIES.items()}
