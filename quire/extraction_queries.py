@@ -151,6 +151,10 @@ LAYOUT_ATTEMPTS = """SELECT o_orderkey AS document_id, 'layout' AS strategy, o_o
 CASE WHEN o_orderkey % 7 = 0 THEN 'layout conversion failed' END AS notes FROM orders"""
 
 
+def element_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.page_counts(extraction.layout_model(layout_exports(spark, sf_dir))[0])
+
+
 def vision_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     right = F.when(k % 11 == 0, "0").otherwise("3")
@@ -379,6 +383,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "span_blocks": (span_blocks, SPANS),
     "layout_extraction": (layout_extraction, LAYOUT),
     "layout_attempts": (layout_attempts, LAYOUT_ATTEMPTS),
+    "element_pages": (element_pages, "SELECT o_orderkey AS document_id, 3 AS page_count FROM orders WHERE o_orderkey % 7 <> 0"),
     "vision_extraction": (vision_extraction, VISION),
     "vision_attempts": (vision_attempts, VISION_ATTEMPTS),
     "routed_extraction": (routed_extraction, ROUTED),

@@ -140,6 +140,16 @@ def without_code_fence(text: Column) -> Column:
     return F.when(F.startswith(t, F.lit("```")), strip(inner)).otherwise(t)
 
 
+def utc_text(time: Column) -> Column:
+    """A time as ISO text in UTC, to the microsecond."""
+    return F.concat(F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def utc_time(text: Column) -> Column:
+    """The time that ISO text says; a Z is UTC. Null for what is none."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
 def language_code(text: Column) -> Column:
     """The code in lower case if it is two to five ASCII letters, else null."""
     code = F.lower(strip(text))

@@ -34,6 +34,12 @@ LAYOUT = (
 )
 
 
+def page_counts(elements: Elements) -> DataFrame:
+    """document_id and page_count of extracted documents: the last page that has an element, 1 at least."""
+    rows = reduce(DataFrame.unionByName, [e.select("document_id", "page_number") for e in elements[:3]])
+    return rows.groupBy("document_id").agg(F.greatest(F.max("page_number"), F.lit(1)).alias("page_count"))
+
+
 def nothing(like: DataFrame, schema: str) -> DataFrame:
     return like.sparkSession.createDataFrame([], schema)
 
@@ -207,5 +213,5 @@ def over_budget(used: DataFrame, limit_usd: float) -> DataFrame:
 
 
 __all__ = [
-    "answered", "fast_text", "layout_model", "over_budget", "page_measures", "routed", "span_blocks", "text_lines", "usage", "vision_model", "vision_pages",
+    "answered", "fast_text", "layout_model", "over_budget", "page_counts", "page_measures", "routed", "span_blocks", "text_lines", "usage", "vision_model", "vision_pages",
 ]

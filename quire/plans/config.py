@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
@@ -110,3 +111,21 @@ def load_rules(path: str | Path | None = None) -> Rules:
     import yaml
 
     return rules_from(yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {})
+
+
+def environment(folders: tuple[str | Path, ...] = (".", Path(__file__).parents[2])) -> dict[str, str]:
+    """The settings of the first .env file in these folders, put into the environment where it has none of that name.
+
+    Lines are NAME=value, the value in quotes or not; blank ones, comments and others are passed over.
+    """
+    found: dict[str, str] = {}
+    for path in (Path(f) / ".env" for f in folders):
+        if path.is_file():
+            for line in path.read_text(encoding="utf-8").splitlines():
+                name, sign, value = line.strip().partition("=")
+                if sign and name.strip() and not name.startswith("#"):
+                    found[name.strip()] = value.strip().strip("\"'")
+            break
+    for name, value in found.items():
+        os.environ.setdefault(name, value)
+    return found

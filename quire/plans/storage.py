@@ -76,7 +76,8 @@ def stored_once(name: str, sources: list[DataFrame], make: Callable[[], DataFram
         status = path_of(f).getFileSystem(hadoop).getFileStatus(path_of(f))
         state.append((f, status.getLen(), status.getModificationTime()))
     key = (spark.sparkContext.applicationId, name, *state)
-    if key not in MADE:
+    there = key in MADE and path_of(MADE[key]).getFileSystem(hadoop).exists(path_of(f"{MADE[key]}/_SUCCESS"))
+    if not there:
         MADE[key] = written(make())
     return spark.read.parquet(MADE[key])
 

@@ -11,7 +11,7 @@ from quire import extraction_queries, store_queries
 from quire.functions import rules
 from quire.functions import text as tx
 from quire.functions import vectors as vx
-from quire.operators import facts, retrieval, sections, triage, validation
+from quire.operators import chunking, facts, retrieval, sections, triage, validation
 from quire.plans import derived
 from quire.plans.derived import table
 from quire.plans.oracle import CLAIMS, KEYWORDS, TOPICS
@@ -38,8 +38,9 @@ def ldus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ldu_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks anew, which the other queries over units don't."""
     page = F.get("page_refs", F.lit(0)).alias("page")
-    return ldus(spark, sf_dir).select("document_id", "ldu_id", "content_type", "text", page, "token_count", "content_hash", "parent_section_id")
+    return chunking.chunk(*derived.extracted(spark, sf_dir)).select("document_id", "ldu_id", "content_type", "text", page, "token_count", "content_hash", "parent_section_id")
 
 
 def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:

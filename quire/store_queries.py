@@ -252,6 +252,13 @@ TEXT_TABLE_FACTS = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, * FROM
 UNION ALL SELECT k, 'row' || k, 'Total', o_orderstatus, 4 FROM o UNION ALL SELECT k, 'last', 'Name', 'last', 4 FROM o UNION ALL SELECT k, 'last', 'Total', k, 4 FROM o"""
 
 
+def times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as ISO text, and read back from it and from text with a Z."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", tx.utc_text(F.col("o_orderdate").cast("timestamp")).alias("text"))
+    back, zulu = tx.utc_time(F.col("text")), tx.utc_time(F.replace("text", F.lit("+00:00"), F.lit("Z")))
+    return rows.select("o_orderkey", "text", F.unix_seconds(back).alias("seconds"), (back == zulu).alias("same"), tx.utc_time(F.lit("no time")).isNull().alias("none"))
+
+
 def small_embedding(text: Column) -> Column:
     """A vector that SQL can make too: a text's length and its first character."""
     return F.array(F.length(text).cast("double"), F.ascii(text).cast("double"))
@@ -322,6 +329,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "markdown": (markdown, MARKDOWN),
     "stored_report": (stored_report, STORED_REPORT),
     "similarities": (similarities, SIMILARITIES),
+    "times": (times, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS text, CAST(epoch(o_orderdate) AS BIGINT) AS seconds, true AS same, true AS none FROM orders"),
     "text_table_facts": (text_table_facts, TEXT_TABLE_FACTS),
     "answers": (answers, ANSWERS),
     "audit_responses": (audit_responses, AUDIT_RESPONSES),

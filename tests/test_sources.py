@@ -1,9 +1,12 @@
 import json
+import os
 
 
 from pyspark.sql import functions as F
 
+from quire import cli
 from quire.operators import extraction, facts, retrieval, sections
+from quire.plans.config import environment
 from quire.sources import readers, sinks
 from quire.streaming import ingest
 from tests.test_documents import ldus
@@ -137,3 +140,28 @@ def test_ledger_counts_of_a_stream(spark, tmp_path):
     query = ingest.ledger_counts(stream).writeStream.outputMode("complete").format("memory").queryName("ledger").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r["strategy_used"], r["runs"], r["confidence"]) for r in spark.table("ledger").collect()) == [("layout", 2, 0.75), ("vision", 1, 0.2)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    units = ldus(spark, [("heading", "1. Results", 1), ("paragraph", "Revenue: 4.2B", 1)])
+    store = tmp_path / "store"
+    sinks.write_index(sections.build_index(units, spark.createDataFrame([("d1", 1)], "document_id string, page_count int")), str(store / "index"))
+    sinks.write_facts(facts.extract_facts(units), str(store / "facts"))
+    sinks.upsert_vectors(retrieval.embedded(units), str(store / "vectors"))
+    (store / "names.json").write_text('{"d1": "annual.pdf"}')
+    assert cli.main(["ask", "results revenue", "--store", str(store)]) == 0
+    said = capsys.readouterr().out
+    assert "Document — Revenue: 4.2B" in said and "annual.pdf p.1" in said and "verified: True" in said
+    assert cli.main(["ask", "results", "--store", str(store), "--document", "other"]) == 0 and "(no citations)" in capsys.readouterr().out
+    assert cli.main(["audit", "the report says it", "--store", str(store)]) == 1
+    assert cli.main(["audit", "revenue of 4.2B", "--store", str(store)]) == 0 and "Verified: True" in capsys.readouterr().out
+    assert cli.main(["inspect", str(store / "facts")]) == 0 and '"rows": 1' in capsys.readouterr().out
+
+
+def test_environment_file(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text('# c\nQUIRE_A="one"\nQUIRE_B=two\nnothing\n')
+    monkeypatch.setenv("QUIRE_B", "kept")
+    monkeypatch.delenv("QUIRE_A", raising=False)
+    assert environment((tmp_path / "none", tmp_path)) == {"QUIRE_A": "one", "QUIRE_B": "two"}
+    assert (os.environ["QUIRE_A"], os.environ["QUIRE_B"]) == ("one", "kept")
+    monkeypatch.delenv("QUIRE_A")
