@@ -15,27 +15,41 @@ SHARDS = 8
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from labels, rejects go."""
+    """Documents that the quality classifier, learned from labels, rejects go.
+
+    Null and empty texts are judged as texts without words, rows that repeat alike; an empty table stays empty. Without
+    labels of both classes all documents have one score: all stay or all go.
+    """
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each SimHash group stays: the least doc_id, null last.
+
+    Null and empty texts are one group; a row that repeats stays once; an empty table stays empty.
+    """
     return simhash.first_of_groups(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go, with all rows of their doc_id.
+
+    Null and empty texts hold nothing, items without words are held by nothing; empty tables change nothing.
+    """
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their weights: a document's row comes as often as the mix takes it."""
+    """Sources are brought to their weights: a document's row comes as often as the mix takes it, twice at most.
+
+    Null is a source, last in order. Documents without words come like others of their hash, but not beyond their
+    source's cap; rows that repeat come alike; an empty table stays empty.
+    """
     return mixing.apply_mix(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets its shard by jump hashing."""
+    """Every row gets its shard by jump hashing of its doc_id, a null one too; nothing else decides, and no row goes."""
     return sharding.assign(docs, SHARDS)
 
 
@@ -47,7 +61,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: A trained classifier and XXH64 fingerprints have no SQL form; the tests hold run() against a plain version instead.
+#: A trained classifier and XXH64 fingerprints have no SQL form; the tests hold run() against plain Python instead.
 ORACLE_SQL = None
 
 
