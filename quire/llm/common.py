@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.plans.storage import folder, stored
+
 #: A word is a run of characters other than ASCII space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,17 +35,9 @@ def hash60(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(joined.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; where none is set, one beside the warehouse, which executors share too."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        beside = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints"
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or beside)
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -85,15 +78,6 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, count: int) -> DataFr
     return one.filter("__found is not null").select(*rows.columns, "__found.*").unionByName(cold.select(*rows.columns, *others))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared checkpoint folder and read it again."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """While this lasts, the shuffle files of each execution go when it ends; what is kept must be checkpointed or stored."""
@@ -107,3 +91,6 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name)
         else:
             spark.conf.set(name, before)
+
+
+__all__ = ["blocks", "broadcast_if_small", "checkpoint", "hash60", "looked_up", "shuffles_dropped", "stored", "text_or_empty", "word_count"]

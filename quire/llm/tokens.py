@@ -7,12 +7,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import stored
+
 #: Pre-tokens whose counts a Python worker keeps; beyond it the memory starts anew, which costs time but no result.
-MEMO = 400_000
+MEMO = 1_000_000
+#: Pre-tokens whose numbers of pieces travel to all tasks, and the bytes that each may have; the others are joined by a shuffle.
+COMMON, COMMON_BYTES = 400_000, 64
+#: Pre-tokens in one batch of rows.
+AT_ONCE = 50_000
 #: Characters of a text that are cut into pre-tokens at once.
 BLOCK = 1 << 20
 #: A pre-token longer than this is cut again where no piece of the vocabulary can join the two sides.
@@ -44,11 +50,12 @@ class PieceCounter:
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
             raise ValueError("this vocabulary has pieces across spaces or with line ends; pre-tokens can't be counted apart")
 
-    def blocks(self, text: str) -> Iterator[str]:
+    @staticmethod
+    def blocks(text: str) -> Iterator[str]:
         """The text with the model's leading space, in blocks that begin with a space and end before a run of spaces."""
         text, start = " " + text.replace(SPACE, " "), 0
         while len(text) - start > BLOCK:
-            end = self.boundary(text, start + BLOCK)
+            end = PieceCounter.boundary(text, start + BLOCK)
             if end == -1:
                 break
             yield text[start:end]
@@ -89,12 +96,17 @@ class PieceCounter:
                 start, first = end, False
         return total
 
+    def counts(self, pretokens: list[str]) -> list[int]:
+        """The numbers of pieces of pre-tokens that aren't long."""
+        found: list[int] = []
+        for start in range(0, len(pretokens), 4096):
+            found += map(len, self.model.encode(pretokens[start : start + 4096], num_threads=1))
+        return [n if p else self.memo_start[""] for p, n in zip(pretokens, found, strict=True)]
+
     def learn(self, pretokens: list[str]) -> None:
         """Count each of these pre-tokens once."""
         short = [p for p in pretokens if len(p) <= LONG]
-        for start in range(0, len(short), 4096):
-            part = short[start : start + 4096]
-            self.memo.update(zip(part, map(len, self.model.encode(part, num_threads=1)), strict=True))
+        self.memo.update(zip(short, self.counts(short), strict=True))
         self.memo.update((p, self.long(p)) for p in pretokens if len(p) > LONG)
 
     def count(self, text: str | None) -> int:
@@ -112,28 +124,104 @@ class PieceCounter:
         return total
 
 
-def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096) -> DataFrame:
+def pieces_of_vocabulary(docs: DataFrame, model: bytes) -> DataFrame:
+    """pretoken, n (how often the corpus has it) and pieces: each distinct pre-token of the corpus is cut into pieces once.
+
+    Tasks count their own pre-tokens and send on distinct ones. Pre-tokens of more than LONG characters are not here.
+    """
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            short = [p for p in seen if len(p) <= LONG]
+            for s in range(0, len(short), AT_ONCE):
+                part = short[s : s + AT_ONCE]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[p] for p in part], pa.int64())], ["pretoken", "n"])
+            seen.clear()
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for block in PieceCounter.blocks(text) if text else ():
+                    seen.update(PieceCounter.pretokens(block))
+                if len(seen) > MEMO:
+                    yield from out()
+        yield from out()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PieceCounter(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counter.counts(batch.column(0).to_pylist()), pa.int32())], ["pretoken", "n", "pieces"])
+
+    found = docs.select("text").mapInArrow(distinct, "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    return stored(found.mapInArrow(cut, "pretoken string, n long, pieces int"))
+
+
+def common_pretokens(vocabulary: DataFrame, most: int) -> pa.Table:
+    """pretoken and pieces of the most frequent pre-tokens, `most` at most and none of more than COMMON_BYTES bytes.
+
+    They are found by a histogram over classes of frequency, of which some hundreds come to the driver, not by sorting.
+    """
+    short = vocabulary.filter(F.octet_length("pretoken") <= COMMON_BYTES)
+    class_ = F.floor(F.log2("n") * 8).cast("int")
+    least, total = 1 << 30, 0
+    for row in sorted(short.groupBy(class_.alias("class")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r["class"]):
+        total += row["rows"]
+        if total > most:
+            break
+        least = row["class"]
+    return short.filter(class_ >= least).select("pretoken", "pieces").toArrow()
+
+
+def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, common: int = COMMON) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     model is the content of a SentencePiece BPE model file, which travels with the tasks. A null text counts as empty:
     no bytes, no tokens. Rows that repeat are counted each; an empty table gives an empty result; other columns are not
     read. Texts of any length are cut in blocks at spaces, so a text needs little more memory than itself.
 
-    Each task joins its documents' pre-token frequencies to a table of piece counts that it fills once per distinct
-    pre-token. The join stays in the task: dealt out by pre-token instead, the frequencies of a corpus would be shuffled
-    at about the size of its texts.
+    Each distinct pre-token of the corpus is cut into pieces once, and its number of pieces is joined to the documents'
+    frequencies: that of the `common` most frequent ones where the documents are, as they travel to every task, that of
+    the others by a shuffle of what documents have of them. Frequent ones being gone, no key of this join is hot. A
+    pre-token of more than LONG characters is counted where it is. No ids are made.
     """
+    vocabulary = pieces_of_vocabulary(docs, model)
+    known = common_pretokens(vocabulary, common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(model)
+        pieces = dict(zip(known.column(0).to_pylist(), known.column(1).to_pylist(), strict=True))
+        key = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n = pa.array([counter.count(t.as_py()) for t in batch.column(2)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
+            totals, rest, times, ends = [], [], [], [0]
+            for text in batch.column(2).to_pylist():
+                frequency: Counter[str] = Counter()
+                for block in PieceCounter.blocks(text) if text else ():
+                    frequency.update(PieceCounter.pretokens(block))
+                total = 0
+                for p, n in frequency.items():
+                    if (c := pieces.get(p)) is not None:
+                        total += n * c
+                    elif len(p) > LONG:
+                        total += n * counter.long(p)
+                    else:
+                        rest.append(p)
+                        times.append(n)
+                totals.append(total)
+                ends.append(len(rest))
+            ends = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(rest, pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))]
+            keys = pa.array(range(key, key + len(totals)), pa.int64())
+            key += len(totals)
+            yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(1), pa.array(totals, pa.int64()), *lists], ["key", "doc_id", "n_bytes", "known", "pretoken", "times"])
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     rows = docs.select("doc_id", size, "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counted = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    rows = stored(rows.mapInArrow(run, f"key long, doc_id {kind}, n_bytes long, known long, pretoken array<string>, times array<int>"))
+    rest = rows.filter(F.size("pretoken") > 0).select("key", F.inline(F.arrays_zip("pretoken", "times")))
+    rest = rest.join(vocabulary.select("pretoken", "pieces"), "pretoken").groupBy("key").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+    counted = rows.join(rest, "key", "left").select("doc_id", "n_bytes", (F.col("known") + F.coalesce("rest", F.lit(0))).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

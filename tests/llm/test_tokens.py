@@ -49,3 +49,34 @@ def test_odd_documents(spark):
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError):
         tokens.PieceCounter.check(["▁a", "a▁b"])
+
+
+def words_documents(spark, n=60):
+    import random
+
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(40)] + ["Über", "日本語", "a", "the", "x" * 90]
+    rows = [(i, "  ".join(rnd.choice(words) for _ in range(1 + i * 3)) + (" " if i % 4 == 0 else "\n") + "y" * (5000 if i % 20 == 1 else 1)) for i in range(n)]
+    rows += [(i, t) for i, t in rows[:3]] + [(None, "the end "), (1, None), (2, "")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("common", [0, 10, 400_000])
+def test_common_and_other_pretokens_give_the_same(spark, common):
+    rows, df = words_documents(spark)
+    found = tokens.count_tokens(df.repartition(3), MODEL, common=common).select("doc_id", "n_tokens").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(((i, len(LIBRARY.encode(t or ""))) for i, t in rows), key=str)
+
+
+def test_each_pretoken_of_the_corpus_is_cut_once(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 5)
+    rows, df = words_documents(spark)
+    vocabulary = tokens.pieces_of_vocabulary(df.repartition(3), MODEL).collect()
+    assert len({r["pretoken"] for r in vocabulary}) == len(vocabulary)
+    expected = {}
+    for _, t in rows:
+        for block in COUNTER.blocks(t) if t else ():
+            for p in COUNTER.pretokens(block):
+                expected[p] = expected.get(p, 0) + (len(p) <= tokens.LONG)
+    assert {r["pretoken"]: r["n"] for r in vocabulary} == {p: n for p, n in expected.items() if n}
+    assert all(r["pieces"] == (len(LIBRARY.encode("b " + r["pretoken"])) - len(LIBRARY.encode("b")) if r["pretoken"].strip() else r["pieces"]) for r in vocabulary)
