@@ -52,6 +52,10 @@ AGAINST = {
     "phone": r"(?i)\b(?:token|isbn|id|serial|hash|order|ref|tracking|part)\b\W*$",
 }
 LABELERS = ("regex", "gazetteer", "context", "check")
+#: What the span classifier knows besides: one kind of separator, none, a space inside, a word or sign right before, a cue close before.
+SHAPE = ("uniform", "bare", "spaced", "glued", "near")
+#: Characters before a span in which a cue is close.
+CLOSE = 15
 #: Characters before a span in which the context labeler looks.
 CONTEXT = 40
 #: Marks around matches while a text is cut, and the character that stands for it where the text itself has it.
@@ -151,6 +155,14 @@ def votes(kind: str, piece: Column, ahead: Column) -> list[Column]:
     return [regex, gazetteer, context, check]
 
 
+def shape(kind: str, piece: Column, ahead: Column) -> list[Column]:
+    """The features SHAPE of a span, each 0 or 1."""
+    between = F.regexp_replace(piece, "[A-Za-z0-9]", "")
+    close = F.substring(ahead, -CLOSE, CLOSE)
+    found = [F.rlike(between, F.lit(r"(?s)^(.?)\1*$")), between == "", F.contains(piece, F.lit(" ")), F.rlike(ahead, F.lit(r"[A-Za-z0-9_#=/]$")), F.rlike(close, F.lit(CUES[kind]))]
+    return [F.when(f, 1).otherwise(0) for f in found]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base (kind, start, end) and found (kind, start, end, base and votes of all spans), in one pass over the texts."""
     names = [(kind, base) for kind in KINDS for base in (True, False)]
@@ -166,7 +178,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     def voted(kind: str, base: bool) -> Column:
         own = F.coalesce(F.col(f"{col(kind, base)}_spans"), empty)
         kept = F.filter(own, lambda s: holds(kind, s["piece"])) if base else own
-        said = lambda s: [v.cast("int").alias(n) for n, v in zip(LABELERS, votes(kind, s["piece"], s["ahead"]), strict=True)]
+        names = (*LABELERS, *SHAPE)
+        said = lambda s: [v.cast("int").alias(n) for n, v in zip(names, votes(kind, s["piece"], s["ahead"]) + shape(kind, s["piece"], s["ahead"]), strict=True)]
         return F.transform(kept, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(base).alias("base"), *said(s)))
 
     rows = rows.select("doc_id", *[voted(k, b).alias(col(k, b)) for k, b in names])
@@ -205,27 +218,34 @@ def expect(counts: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
 
 
 def classifier(counts: dict[tuple[int, ...], int], belief: dict[tuple[int, ...], float]) -> list[float]:
-    """Logistic regression of the beliefs on the votes, a weight for each labeler and a bias, with a ridge of 1."""
-    weights = [0.0] * (len(LABELERS) + 1)
+    """Logistic regression of the beliefs on votes and features of spans, with a ridge of 1: a weight for each and a bias.
+
+    counts has a number of spans for each pattern of votes, with what features follow them; belief is that of the votes.
+    """
+    weights = [0.0] * (max(map(len, counts), default=len(LABELERS)) + 1)
     total = sum(counts.values()) + 1
     for _ in range(400):
         slope = [w / total for w in weights]
         for pattern, n in counts.items():
             x = (*pattern, 1)
-            error = 1 / (1 + exp(-max(-50.0, min(50.0, sum(w * v for w, v in zip(weights, x, strict=True)))))) - belief[pattern]
+            error = 1 / (1 + exp(-max(-50.0, min(50.0, sum(w * v for w, v in zip(weights, x, strict=True)))))) - belief[pattern[: len(LABELERS)]]
             slope = [s + n / total * error * v for s, v in zip(slope, x, strict=True)]
-        weights = [w - 2.0 * s for w, s in zip(weights, slope, strict=True)]
+        weights = [w - s for w, s in zip(weights, slope, strict=True)]
     return weights
 
 
 def learn(found: DataFrame) -> dict[str, list[float]]:
-    """The weights of each kind's span classifier, from counts of vote patterns: at most 81 for each kind reach the driver."""
+    """The weights of each kind's span classifier, from counts of patterns: at most 81 of votes by 32 of features reach the driver."""
     one = found.select(F.explode("found").alias("s"))
-    counted = one.groupBy("s.kind", *[f"s.{n}" for n in LABELERS]).agg(F.count(F.lit(1)).alias("n")).collect()
+    names = (*LABELERS, *SHAPE)
+    counted = one.groupBy("s.kind", *[f"s.{n}" for n in names]).agg(F.count(F.lit(1)).alias("n")).collect()
     weights = {}
     for kind in KINDS:
-        counts = {tuple(r[n] for n in LABELERS): r["n"] for r in counted if r["kind"] == kind}
-        weights[kind] = classifier(counts, expect(counts))
+        counts = {tuple(r[n] for n in names): r["n"] for r in counted if r["kind"] == kind}
+        said: dict[tuple[int, ...], int] = {}
+        for pattern, n in counts.items():
+            said[pattern[: len(LABELERS)]] = said.get(pattern[: len(LABELERS)], 0) + n
+        weights[kind] = classifier(counts, expect(said)) if counts else [0.0] * (len(names) + 1)
     return weights
 
 
@@ -247,7 +267,8 @@ def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     Base spans match a fixed pattern and its checks. Looser matches apart from base spans of their kind are added if a
     classifier gives them `accept` or more: labelers (form, gazetteer, words ahead, check digits or ranges) vote on all
     spans, expectation-maximisation over the counts of vote patterns estimates how reliable each is, and the resulting
-    beliefs train a logistic regression over the votes. Only those counts leave the executors; texts are read once.
+    beliefs train a logistic regression over the votes and over what a span looks like (SHAPE). Only counts leave the
+    executors; texts are read once.
     """
     found = checkpoint(candidates(docs))
     weights = learn(found)
@@ -255,7 +276,7 @@ def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     def stays(s: Column) -> Column:
         score = F.lit(0.0)
         for kind, w in weights.items():
-            linear = sum((s[n] * F.lit(x) for n, x in zip(LABELERS, w, strict=False)), F.lit(w[-1]))
+            linear = sum((s[n] * F.lit(x) for n, x in zip((*LABELERS, *SHAPE), w, strict=False)), F.lit(w[-1]))
             score = F.when(s["kind"] == kind, F.lit(1.0) / (F.lit(1.0) + F.exp(-linear))).otherwise(score)
         return s["base"] | (score >= accept)
 

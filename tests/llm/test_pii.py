@@ -99,3 +99,57 @@ def test_a_span_is_a_candidate_whatever_else_its_text_holds(spark):
     docs = documents(spark, [row(1, "jane.doe at example.com"), row(2, "jane.doe at example.com rate @ 5")])
     found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in pii.candidates(docs).collect()}
     assert found[1] == [("email", 0, 23)] == found[2]
+
+
+def planted(n=400):
+    """Documents with data written in other ways than the base patterns, by kind, and with what only looks like it."""
+    import random
+
+    rnd = random.Random(11)
+    names, hosts = ["jane.doe", "m_smith", "info", "kurt"], ["example", "mailbox", "site-3"]
+
+    def card(sep, groups):
+        while True:
+            digits = "4" + "".join(rnd.choice("0123456789") for _ in range(sum(groups) - 1))
+            if luhn(digits):
+                break
+        parts, at = [], 0
+        for g in groups:
+            parts.append(digits[at : at + g])
+            at += g
+        return sep.join(parts)
+
+    octet = lambda: str(rnd.randint(1, 223))
+    area = lambda: f"{rnd.randint(2, 9)}{rnd.randint(10, 99)}"
+    make = {
+        "email": lambda: rnd.choice(["please write to {} [at] {} [dot] com", "mail {} (at) {} (dot) org", "contact {} AT {} DOT net"]).format(rnd.choice(names), rnd.choice(hosts)),
+        "ip": lambda: "the server address is " + "[.]".join([octet(), octet(), octet(), octet()]),
+        "card": lambda: rnd.choice(["credit card ", "card "]) + card(rnd.choice([".", "/", "_"]), (4, 4, 4, 4)),
+        "phone": lambda: rnd.choice(["call ({}) {}-{}", "phone: {}-{}-{}", "tel {}.{}.{}"]).format(area(), area(), rnd.randint(1000, 9999)),
+    }
+    like = ["we looked at the house. dot by dot", "order 123-456-7890 of part 12.5", "version 1.2.3.4000 at noon", "serial 1234/5678/9012/3456", "see id 300-100-2000 here"]
+    rows, kinds = [], {}
+    for i in range(n):
+        kind = [*pii.KINDS, None][i % 5]
+        text = make[kind]() if kind else rnd.choice(like)
+        rows.append(row(i, f"{prose_words(rnd)} {text}, {prose_words(rnd)}"))
+        kinds[i] = kind
+    known = [row(10_000 + i, f"mail person{i}@site{i % 7}.com or call +1 (555) 010-{1000 + i}, server address 10.0.{i % 250}.7, card 4111 1111 1111 1111") for i in range(100)]
+    return rows + known, kinds
+
+
+def prose_words(rnd):
+    return " ".join(rnd.choice(["these", "words", "say", "nothing", "of", "it"]) for _ in range(8))
+
+
+def test_recall_of_added_spans_by_kind(spark):
+    rows, kinds = planted()
+    found = {r["doc_id"]: (r["spans"], r["n_added"]) for r in pii.detect(documents(spark, rows)).collect()}
+    for kind in pii.KINDS:
+        mine = [i for i, k in kinds.items() if k == kind]
+        recall = sum(found[i][0].startswith(kind) for i in mine) / len(mine)
+        print(kind, "recall", recall)
+        assert recall >= 0.9, (kind, recall)
+    false = [i for i, k in kinds.items() if k is None and found[i][1]]
+    print("false alarms", len(false), "of", sum(k is None for k in kinds.values()))
+    assert len(false) <= 0.1 * sum(k is None for k in kinds.values())
