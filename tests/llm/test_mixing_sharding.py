@@ -117,3 +117,49 @@ def test_without_broadcasts(spark, monkeypatch):
     usual = sorted(map(tuple, mixing.mix(documents(spark, rows)).collect()))
     monkeypatch.setattr(mixing, "broadcast_if_small", lambda df, rows: df)
     assert sorted(map(tuple, mixing.mix(documents(spark, rows)).collect())) == usual
+
+
+def plain_copies(rows):
+    """How often each row is taken, by hand: documents of a source in order of their hashes, up to the nearest side of its rest."""
+    sizes, by_source = Counter(), defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        n = len(WORD.findall(r[1] or ""))
+        sizes[r[3]] += n
+        by_source[r[3]][key60(r[0])] += n
+    below, whole = {}, {}
+    for source, target in plain_targets(sizes).items():
+        size = sizes[source]
+        whole[source] = int(target // size) if size else 0
+        rest, at, cut = target - size * whole[source], 0, 0
+        for h in sorted(by_source[source]):
+            words = by_source[source][h]
+            if rest <= 0 or at > rest:
+                break
+            # of documents of one sum so far the last decides
+            cut = h + (1 if words - (rest - at) < rest - at else 0)
+            at += words
+        below[source] = cut
+    return [whole[r[3]] + (key60(r[0]) < below[r[3]]) for r in rows]
+
+
+def test_documents_without_words_come_twice_at_most(spark):
+    rows = [row(0, "three words here", "full")] + [row(i, ["", None, " \n"][i % 3], "full") for i in range(1, 200)]
+    rows += [row(i, "", "empty") for i in range(200, 240)] + [row(i, prose(1, 24), "b") for i in range(240, 260)]
+    found = mixing.mix(documents(spark, rows)).collect()
+    copies = {r["doc_id"]: r["copies"] for r in found}
+    assert max(copies.values()) <= 2 and copies[0] == 2
+    assert all(copies[i] == 0 for i in range(200, 240))
+    assert [copies[r[0]] for r in rows] == plain_copies(rows)
+    assert mixing.apply_mix(documents(spark, rows)).count() == sum(plain_copies(rows))
+
+
+def test_copies_are_those_of_a_plain_walk(spark):
+    rows = [row(i, prose(1, 12 * (i % 7)) if i % 5 else "", ["a", "b", None, "hot", "hot"][i % 5]) for i in range(400)]
+    found = {r["doc_id"]: r["copies"] for r in mixing.mix(documents(spark, rows)).collect()}
+    assert [found[r[0]] for r in rows] == plain_copies(rows)
+
+
+def test_the_plan_of_a_mix_is_short(spark):
+    rows = [row(i, prose(1, 24), "ab"[i % 2]) for i in range(40)]
+    plan = mixing.mix(documents(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 20
