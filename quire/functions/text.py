@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,13 +27,27 @@ CLAIM_STOPWORDS = (
 ).split()
 
 
+#: The characters that are white space, in ASCII and beyond.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
     """Without white space, also beyond ASCII, at both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
+
+
+def ascii_only(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+def plain_spaces(text: Column) -> Column:
+    """Whether a stripped text surely has no white space but single spaces: no pattern is needed for most texts."""
+    return reduce(Column.__and__, [~F.contains(text, F.lit(c)) for c in ("  ", "\t", "\n", "\x0b", "\f", "\r")], ascii_only(text))
 
 
 def canonical_text(text: Column) -> Column:
-    return F.regexp_replace(strip(text), r"(?U)\s+", " ")
+    t = strip(text)
+    return F.when(plain_spaces(t), t).otherwise(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
 def words(text: Column) -> Column:
@@ -41,7 +56,8 @@ def words(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     t = strip(text)
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, r"(?U)\s+")))
+    spaces = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    return F.when(t == "", 0).when(plain_spaces(t), spaces + 1).otherwise(F.size(F.split(t, r"(?U)\s+")))
 
 
 def content_hash(content_type: Column, text: Column, payload: Column | None = None) -> Column:
@@ -63,7 +79,7 @@ def json_ascii(json: Column) -> Column:
     one = lambda n: F.format_string("\\u%04x", n)
     pair = lambda n: F.concat(one(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), one(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
     escaped = lambda c: F.when(code(c) < 128, c).when(code(c) < 0x10000, one(code(c))).otherwise(pair(code(c)))
-    return F.when(F.rlike(json, F.lit(r"^\p{ASCII}*\z")), json).otherwise(F.array_join(F.transform(F.split(json, ""), escaped), ""))
+    return F.when(ascii_only(json), json).otherwise(F.array_join(F.transform(F.split(json, ""), escaped), ""))
 
 
 def json_list(items: Column, write) -> Column:
@@ -79,14 +95,17 @@ def json_object(fields: Iterable[tuple[str, Column]]) -> Column:
 def looks_like_heading(text: Column, stripped: bool = False) -> Column:
     """A short numbered line, or a shorter one with letters, all of them capitals."""
     t = text if stripped else strip(text)
-    numbered = (F.length(t) <= 80) & F.rlike(t, F.lit(HEADING_NUMBER))
-    capitals = (F.length(t) <= 60) & F.rlike(t, F.lit(r"\p{Lu}")) & ~F.rlike(t, F.lit(r"[\p{L}&&[^\p{Lu}]]"))
+    # cheap tests that most texts fail come first
+    may = F.substring(t, 1, 1).between("0", "9") | ~ascii_only(F.substring(t, 1, 1))
+    numbered = (F.length(t) <= 80) & may & F.rlike(t, F.lit(HEADING_NUMBER))
+    capitals = (F.length(t) <= 60) & (F.upper(t) == t) & F.rlike(t, F.lit(r"\p{Lu}")) & ~F.rlike(t, F.lit(r"[\p{L}&&[^\p{Lu}]]"))
     return numbered | capitals
 
 
 def is_list_item(text: Column, stripped: bool = False) -> Column:
     """Whether the first line starts with a bullet, or a number or letter with a mark."""
-    return F.rlike(F.get(F.split(text if stripped else strip(text), r"\R", 2), F.lit(0)), F.lit(LIST_MARK))
+    t = text if stripped else strip(text)
+    return F.rlike(F.when(plain_spaces(t), t).otherwise(F.get(F.split(t, r"\R", 2), F.lit(0))), F.lit(LIST_MARK))
 
 
 def heading_level(title: Column) -> Column:

@@ -32,46 +32,61 @@ def possible_order(blocks: DataFrame, reading_order: DataFrame) -> DataFrame:
     return given.unionByName(blocks.select("document_id", F.lit("text_block").alias("ref_type"), F.col("id").alias("ref_id"), by_index, F.lit(False).alias("given")))
 
 
+#: What tables and figures hold besides; one column of all, as it is carried through every window.
+HELD = {"title": "string", "caption": "string", "alt_text": "string", "type": "string", "header": "array<string>", "rows": "array<array<string>>"}
+
+
 def referenced(blocks: DataFrame, tables: DataFrame, figures: DataFrame) -> DataFrame:
-    """Blocks, tables and figures as rows of one kind."""
-    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    """Blocks, tables and figures as rows of one kind: document_id, ref_type, ref_id, page, bbox, text and held."""
     own = ["document_id", F.col("id").alias("ref_id"), F.col("page_number").alias("page"), "bbox"]
-    rest = [("string", "text"), ("string", "title"), ("string", "caption"), ("string", "alt_text"), ("string", "type"), ("array<string>", "header"), ("array<array<string>>", "rows")]
+    kind_of = f"struct<{','.join(f'{n}:{kind}' for n, kind in HELD.items())}>"
 
     def rows(df: DataFrame, kind: str, *has: str) -> DataFrame:
-        return df.select(F.lit(kind).alias("ref_type"), *own, *[F.col(n) if n in has else null(k, n) for k, n in rest])
+        text = F.col("text") if kind == "text_block" else F.lit(None).cast("string").alias("text")
+        held = F.struct(*[(F.col(n) if n in has else F.lit(None)).cast(t).alias(n) for n, t in HELD.items()]) if has else F.lit(None).cast(kind_of)
+        return df.select(F.lit(kind).alias("ref_type"), *own, text, held.cast(kind_of).alias("held"))
+
+    return rows(blocks, "text_block").unionByName(rows(tables, "table", "title", "caption", "header", "rows")).unionByName(rows(figures, "figure", "caption", "alt_text", "type"))
+
 
-    return rows(blocks, "text_block", "text").unionByName(rows(tables, "table", "title", "caption", "header", "rows")).unionByName(rows(figures, "figure", "caption", "alt_text", "type"))
+#: The order of a document's entries: given ones come first, so that the others, if there are any, are the last to be dropped.
+PLACE = ("not_given", "order", "ref_type", "ref_id")
 
 
-def classified(entries: DataFrame, order: Sequence[str] = ("i",)) -> DataFrame:
-    """Kind and number of the unit that each entry starts or goes on with, from entries (document_id, i, ref_type, found, page, text).
+def classified(entries: DataFrame) -> DataFrame:
+    """Entries that count, with the kind and number (seq) of the unit that each starts or goes on with.
 
-    Headings win over list items where a unit may start; inside a run of list items (neighbours on one page) only the
-    list test counts. So a run's items belong to the list from its first item on that is no heading. All entries take
-    part, blank ones too, since they end a run; blank and missing ones start nothing. All windows share one partitioning
-    and the one order that `order` names (the order of i), so that rows are sorted once.
+    entries: document_id, the columns of PLACE, found, page, text (stripped) and others, which stay. Text blocks by index
+    count where no order is given. Headings win over list items where a unit may start; inside a run of list items
+    (neighbours on one page) only the list test counts. So a run's items belong to the list from its first item on that
+    is no heading: from the first opening one at or after the run's start. All entries take part, blank ones too, since
+    they end a run; blank and missing ones start nothing. All windows share one partitioning and one sort.
     """
-    by = Window.partitionBy("document_id").orderBy(*order)
-    so_far = by.rowsBetween(Window.unboundedPreceding, 0)
-    text = strip(F.col("text"))
-    rows = entries.withColumn("text", text).withColumn("is_text", F.col("found") & (F.col("ref_type") == "text_block") & (F.col("text") != ""))
+    by = Window.partitionBy("document_id").orderBy(*PLACE)
+    so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    rows = entries.withColumn("is_text", F.col("found") & (F.col("ref_type") == "text_block") & (F.col("text") != ""))
     rows = rows.withColumn("heading", F.col("is_text") & looks_like_heading(F.col("text"), stripped=True))
     rows = rows.withColumn("listed", F.col("is_text") & is_list_item(F.col("text"), stripped=True))
     goes_on = F.col("listed") & F.lag("listed", 1, False).over(by) & (F.col("page") == F.lag("page").over(by))
-    opens = F.col("listed") & ~F.col("heading")  # an item with which a list may start
-    rows = rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).withColumn("opened", F.sum(F.when(opens, 1).otherwise(0)).over(so_far))
-    before_run = F.last(F.when(~F.col("goes_on"), F.col("opened") - F.when(opens, 1).otherwise(0)), ignorenulls=True).over(so_far)
-    rows = rows.withColumn("opened", F.col("opened") - before_run)  # in this run, up to here
+    rows = rows.withColumns({"goes_on": F.coalesce(goes_on, F.lit(False)), "dropped": F.col("not_given") & ~F.min("not_given").over(so_far)}).filter(~F.col("dropped"))
+    opens, at = F.col("listed") & ~F.col("heading"), F.struct(*PLACE)
+    opened = F.when(opens, at)
+    rows = rows.withColumns(
+        {
+            "run": F.last(F.when(~F.col("goes_on"), at), ignorenulls=True).over(so_far),
+            "last_opened": F.last(opened, ignorenulls=True).over(so_far),
+            "opened_before": F.last(opened, ignorenulls=True).over(before),
+        }
+    )
+    in_list = F.col("listed") & F.coalesce(F.col("last_opened") >= F.col("run"), F.lit(False))
+    first = opens & ~F.coalesce(F.col("opened_before") >= F.col("run"), F.lit(False))
     kind = (
-        F.when(F.col("listed") & (F.col("opened") > 0), "list")
-        .when(F.col("heading"), "heading")
-        .when(F.col("is_text"), "paragraph")
+        F.when(in_list, "list").when(F.col("heading"), "heading").when(F.col("is_text"), "paragraph")
         .when(F.col("found") & F.col("ref_type").isin("table", "figure"), F.col("ref_type"))
-    )
-    rows = rows.withColumn("kind", kind)
-    starts = F.col("kind").isNotNull() & ((F.col("kind") != "list") | (opens & (F.col("opened") == 1)))
-    return rows.withColumn("starts", starts).withColumn("seq", F.sum(F.when(starts, 1).otherwise(0)).over(so_far).cast("int"))
+    )
+    rows = rows.withColumn("kind", kind).filter("kind is not null").withColumn("starts", (F.col("kind") != "list") | first)
+    rows = rows.drop("is_text", "heading", "listed", "goes_on", "dropped", "run", "last_opened", "opened_before", "found")
+    return rows.withColumn("seq", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(so_far).cast("int"))
 
 
 def ldu_name(seq: Column) -> Column:
@@ -113,7 +128,9 @@ def cross_references(units: DataFrame) -> DataFrame:
     mention = lambda what, pattern: F.transform(
         F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(what).alias("what"), F.concat(F.lit(f"{what} "), n).alias("label"))
     )
-    asked = units.filter(F.col("kind").isin("paragraph", "list") & F.rlike("text", F.lit(r"(?i)\b(?:table|figure)\b")))
+    low = F.lower("text")
+    may = F.contains(low, F.lit("table")) | F.contains(low, F.lit("figure"))
+    asked = units.filter(F.col("kind").isin("paragraph", "list") & may & F.rlike("text", F.lit(r"(?i)\b(?:table|figure)\b")))
     asked = asked.select("document_id", "seq", F.posexplode(F.concat(mention("Table", TABLE_MENTION), mention("Figure", FIGURE_MENTION))).alias("n", "m"))
     targets = units.filter(F.col("label").isNotNull()).select("document_id", F.col("label"), F.col("seq").alias("target_seq"), F.col("ldu_id").alias("target"))
     found = asked.select("document_id", "seq", "n", "m.what", "m.label").join(targets, ["document_id", "label"]).filter("target_seq < seq")
@@ -131,25 +148,21 @@ def chunk(blocks: DataFrame, tables: DataFrame, figures: DataFrame, reading_orde
     entries = possible_order(blocks, reading_order).repartition("document_id")
     what = referenced(blocks, tables, figures).withColumn("found", F.lit(True)).repartition("document_id")
     rows = entries.join(what, ["document_id", "ref_type", "ref_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    has_order = F.max("given").over(Window.partitionBy("document_id"))
-    rows = rows.withColumn("has_order", has_order).filter(F.col("given") | ~F.col("has_order")).drop("given", "has_order")
-    place = ("order", "ref_type", "ref_id")
-    by = Window.partitionBy("document_id").orderBy(*place)
-    rows = rows.withColumn("i", F.row_number().over(by))
-    rows = classified(rows, place).filter(F.col("kind").isNotNull())
+    rows = rows.withColumn("text", strip(F.col("text"))).withColumn("not_given", ~F.col("given")).drop("given")
+    rows = classified(rows)
+    by = Window.partitionBy("document_id").orderBy(*PLACE)
     number = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("string")
     label = F.when(F.col("kind") == "table", F.concat(F.lit("Table "), number("table"))).when(F.col("kind") == "figure", F.concat(F.lit("Figure "), number("figure")))
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.last(F.when(F.col("kind") == "heading", ldu_name(F.col("seq"))), ignorenulls=True).over(before)
-    rows = rows.withColumn("label", label).withColumn("parent", F.when(F.col("kind") != "heading", parent))
-    rendered = F.when(F.col("kind") == "table", table_text(F.col("title"), F.col("caption"), F.col("header"), F.col("rows")))
-    rendered = rendered.when(F.col("kind") == "figure", F.coalesce(F.nullif(strip(F.col("caption")), F.lit("")), strip(F.col("alt_text"))))
-    rows = rows.withColumn("part", rendered.otherwise(F.col("text")))
+    parent = F.last(F.when(F.col("kind") == "heading", F.col("seq")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"label": label, "parent": parent}).withColumn("parent", F.when(F.col("kind") != "heading", ldu_name(F.col("parent"))))
+    held = F.col("held")
+    rendered = F.when(F.col("kind") == "table", table_text(held["title"], held["caption"], held["header"], held["rows"]))
+    rendered = rendered.when(F.col("kind") == "figure", F.coalesce(F.nullif(strip(held["caption"]), F.lit("")), strip(held["alt_text"])))
     # a unit's entries are neighbours: its first one, with the parts and boxes of all, is the unit
-    unit = Window.partitionBy("document_id", "seq").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own, box = F.array_join(F.collect_list("part").over(unit), PART_JOIN), geometry.union_all(F.col("bbox"), unit)
-    rows = rows.withColumns({"own": own, "bbox": box}).filter("starts")
-    merged = rows.select("document_id", "seq", "own", "bbox", "kind", "page", "label", "parent", "title", "caption", "alt_text", "type", "header", "rows")
+    unit = Window.partitionBy("document_id", "seq").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"parts": F.collect_list("text").over(unit), "bbox": geometry.union_all(F.col("bbox"), unit)}).filter("starts")
+    own = rendered.when(F.col("kind") == "list", F.array_join("parts", PART_JOIN)).otherwise(F.col("text"))
+    merged = rows.select("document_id", "seq", own.alias("own"), "bbox", "kind", "page", "label", "parent", *[held[n].alias(n) for n in HELD])
     with dealt_by(blocks.sparkSession):
         merged = stored(merged)
     return with_hashes(merged)
