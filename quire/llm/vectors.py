@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpoint
+from quire.llm.common import checkpoint, looked_up
 from quire.llm.components import components
 
 COSINE, SEED = 0.93, 11
@@ -20,6 +20,8 @@ COSINE, SEED = 0.93, 11
 BLOCK = 1024
 #: Rows of a block that are compared at once with the other block.
 STRIPE = 256
+#: The share of pairs left open by their codes from which on a whole block is multiplied.
+DENSE = 0.05
 #: How many standard errors the estimate's confidence bound is wide.
 SIGMAS = 8.0
 
@@ -58,26 +60,38 @@ def bounds(code_cosine: np.ndarray, factor: np.ndarray, dim: int, sigmas: float
 
 
 def linked(units: np.ndarray, codes: np.ndarray, factor: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
-    """A matrix of links between two blocks. Codes decide where they can; the other pairs are computed in double precision."""
+    """A matrix of links between two blocks. Codes rule pairs out; all other pairs are computed in double precision."""
     dim = units.shape[1]
     turned = (others @ rotation(dim)).astype(np.float32)
-    low, high = bounds(decode(codes, dim) @ turned.T, factor.astype(np.float32), dim)
+    _, high = bounds(decode(codes, dim) @ turned.T, factor.astype(np.float32), dim)
     slack = 1e-4  # single precision
-    found = low >= least + slack
-    i, j = np.nonzero((high >= least - slack) & ~found)
+    open_ = high >= least - slack
+    if open_.mean() > DENSE:
+        return open_ & (units @ others.T >= least)
+    i, j = np.nonzero(open_)
+    found = np.zeros(open_.shape, bool)
     for s in range(0, len(i), 65536):
         a, b = i[s : s + 65536], j[s : s + 65536]
         found[a, b] = np.einsum("ij,ij->i", units[a], others[b]) >= least
     return found
 
 
+def unit_vectors(raw: list[bytes], dim: int, width: int) -> np.ndarray:
+    """Vectors of length 1 in double precision, from the bytes of their components."""
+    found = np.frombuffer(b"".join(raw), np.float32 if width == 4 else np.float64).reshape(-1, dim).astype(np.float64)
+    found /= np.abs(found).max(axis=1, keepdims=True)  # so that no square over- or underflows
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+
 def compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     """For one pair of blocks of a label (or one block): how many links each vector has there, and a vector it is joined to.
 
-    The links of a pair of blocks are those across; the joins span what the links connect, by one row for each vector.
+    The links of a pair of blocks are those across; the joins span what the links connect, by one row for each vector. A
+    vector stands for `copies` equal ones, which count as links of the others; those among its own copies count elsewhere.
     """
-    ids, mine = pdf["vec_id"].to_numpy(), (pdf["block"] == pdf["low"]).to_numpy()
-    units = np.stack(pdf["unit"].to_list())
+    ids, mine, copies = pdf["vec_id"].to_numpy(), (pdf["block"] == pdf["low"]).to_numpy(), pdf["copies"].to_numpy()
+    dim = int(pdf["dim"].iat[0])
+    units = unit_vectors(pdf["raw"].to_list(), dim, len(pdf["raw"].iat[0]) // dim)
     codes = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1)
     factor = pdf["factor"].to_numpy()
     single = pdf["low"].iat[0] == pdf["high"].iat[0]
@@ -96,9 +110,9 @@ def compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         links = linked(units[rows], codes[rows], factor[rows], units[right], least)
         if single:
             links[np.arange(len(rows)), np.arange(s, s + len(rows))] = False
-        count[rows] += links.sum(axis=1)
+        count[rows] += links @ copies[right]
         if not single:
-            count[right] += links.sum(axis=0)
+            count[right] += copies[rows] @ links
         for row, hit in zip(rows[links.any(axis=1)].tolist(), links[links.any(axis=1)], strict=True):
             a = find(row)
             for b in np.unique(root[right[hit]]).tolist():
@@ -111,27 +125,23 @@ def compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def coded(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, unit, code and factor of the vectors that can link, one row for each vec_id."""
+    """vec_id, label, copies, dim, raw (the components' bytes), code and factor of vectors that can link."""
+    width = 4 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = np.array([len(v) for v in batch.column(2)])
-            for dim in np.unique(dims):
+            dims = np.array([len(v) for v in batch.column(3)])
+            for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                raw = np.array(part.column(2).to_pylist(), np.float64).reshape(-1, dim)
-                raw = raw / np.abs(raw).max(axis=1, keepdims=True)  # so that no square over- or underflows
-                units = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                codes, factor = encode(units)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(list(units), pa.list_(pa.float64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor)],
-                    ["vec_id", "label", "unit", "code", "factor"],
-                )
+                table = np.array(part.column(3).to_pylist(), np.float32 if width == 4 else np.float64).reshape(-1, dim)
+                raw = [v.tobytes() for v in table]
+                codes, factor = encode(unit_vectors(raw, dim, width))
+                own = [*part.columns[:3], pa.array(np.full(len(raw), dim, np.int32)), pa.array(raw, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor)]
+                yield pa.RecordBatch.from_arrays(own, ["vec_id", "label", "copies", "dim", "raw", "code", "factor"])
 
-    parts = F.col("embedding")
-    sound = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(parts, lambda x: x != 0)
-    usable = vectors.filter(F.col("label").isNotNull() & sound)
     kinds = {n: vectors.schema[n].dataType.simpleString() for n in ("vec_id", "label")}
-    return usable.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, unit array<double>, code binary, factor double")
+    rows = vectors.select("vec_id", "label", "copies", "embedding")
+    return rows.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, copies long, dim int, raw binary, code binary, factor double")
 
 
 def near_duplicates(embeddings: DataFrame, least: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -142,30 +152,48 @@ def near_duplicates(embeddings: DataFrame, least: float = COSINE, block: int = B
     vec_id are one vector, the one with the least label and embedding, nulls last; a null vec_id is one row that links
     with nothing, has no component and isn't kept. An empty table gives an empty result. Other columns are not read.
 
-    The vectors of a label are dealt to blocks by hash, and each pair of blocks is a group of its own, so that no task
-    holds more than about two blocks, however large a label is. A group gives a row for each of its vectors, not one
-    for each link. All pairs of a label are decided, most of them by their codes.
+    Equal vectors of a label are one vector with a number of copies, so a group of copies of any size is one row in the
+    search. The others are dealt to blocks by hash, and each pair of blocks is a group of its own, so that no task holds
+    more than about two blocks, however large a label is. A group gives a row for each of its vectors, not one for each
+    link. All pairs of a label are decided, most of them by their codes; each link by its cosine in double precision.
     """
     order = F.struct(F.col("label").isNull(), F.col("label"), F.col("embedding").isNull(), F.col("embedding"))
     one = embeddings.groupBy("vec_id").agg(F.min_by(F.struct("label", "embedding"), order).alias("v")).select("vec_id", "v.label", "v.embedding")
     one = checkpoint(one)
-    rows = checkpoint(coded(one.filter(F.col("vec_id").isNotNull())))
-    group = ["label", F.size("unit").alias("dim")]
-    per_label = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    placed = rows.withColumn("dim", F.size("unit")).join(per_label, ["label", "dim"])
+    parts = F.col("embedding")
+    sound = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(parts, lambda x: x != 0)
+    usable = one.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound)
+    # labels and components of equal vectors are alike: of all that is grouped here only ids and counts are unlike
+    same = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    rows = checkpoint(coded(same))
+    per_label = rows.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    placed = rows.join(per_label, ["label", "dim"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("label", "dim", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "unit", "code", "factor")
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    placed = placed.select("label", "dim", low, high, "block", "vec_id", "copies", "raw", "code", "factor")
     kind = rows.schema["vec_id"].dataType.simpleString()
     met = placed.groupBy("label", "dim", "low", "high").applyInPandas(lambda pdf: compare(pdf, least), f"vec_id {kind}, links long, root {kind}")
     met = checkpoint(met.filter("links > 0"))
-    links = met.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    links = met.groupBy("vec_id").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    out = one.select("vec_id").join(links, "vec_id", "left").join(roots, F.col("vec_id") == F.col("vertex"), "left")
+    of_first = rows.select("vec_id", "copies").join(links, "vec_id", "left").join(roots, F.col("vec_id") == F.col("vertex"), "left")
+    of_first = checkpoint(
+        of_first.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component"), "copies")
+    )
+    # copies are looked up by 128 bits of hashes, so that those of one vector don't meet in one task
+    key = F.concat_ws(":", F.xxhash64("label", "embedding"), F.xxhash64(F.lit("copy"), "embedding", "label")).alias("key")
+    firsts = of_first.filter("copies > 1").select(F.col("vec_id").alias("first"), "n_links", "component")
+    several = same.filter("copies > 1").select(key, F.col("vec_id").alias("first")).join(firsts, "first")
+    several = checkpoint(several.select("key", F.struct("first", "n_links", "component").alias("of")))
+    copied = looked_up(usable.select("vec_id", key), several, "key", several.count()).filter("of is not null and of.first <> vec_id")
+    others = copied.select("vec_id", "of.n_links", "of.component")
+    found = of_first.select("vec_id", "n_links", "component").unionByName(others)
+    out = one.select("vec_id").join(found, "vec_id", "left")
+    component = F.coalesce("component", "vec_id")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "vec_id").cast("long").alias("component_id"),
-        F.coalesce(F.coalesce("root", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
-    )
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept")
+    )
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

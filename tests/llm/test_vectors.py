@@ -80,3 +80,41 @@ def test_boundary_is_decided_in_double_precision(spark):
     c[0] = 0.9299
     rows = rows_of([a, b, c], [1, 1, 1])
     assert sorted(tuple(r) for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == plain(rows)
+
+
+def test_copies_count_as_links_without_being_expanded(spark):
+    made, labels = clustered(4, 120)
+    made[30:90] = made[30]
+    made[95:100] = made[95] * 2
+    labels = [None if x is None else x % 2 for x in labels]
+    rows = rows_of(made, labels)
+    found = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=16).collect()
+    assert sorted(tuple(r) for r in found) == plain(rows)
+
+
+def test_copies_without_broadcasts(spark, monkeypatch):
+    from quire.llm import common
+
+    made, labels = clustered(5, 60)
+    made[10:50] = made[10]
+    rows = rows_of(made, [1] * 60)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT", 5)
+    found = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=16).collect()
+    assert sorted(tuple(r) for r in found) == plain(rows)
+
+
+def test_links_are_exact_where_codes_alone_would_accept(spark):
+    """Two pairs a hair above and below the threshold, in a dense block and in a thin one."""
+    rnd = np.random.default_rng(7)
+    base = rnd.standard_normal((40, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = np.roll(base, 1, axis=1)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = np.where(np.arange(40) % 2 == 0, 0.93 + 2e-7, 0.93 - 2e-7)[:, None]
+    near = cosine * base + np.sqrt(1 - cosine**2) * other
+    rows = [(i, [float(x) for x in u], 1, *"abcd") for i, u in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+    assert [got[i] for i in range(40)] == [1 - i % 2 for i in range(40)]
