@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import broadcast_if_small, checkpoint
+from quire.llm.common import broadcast_if_small, checkpoint, looked_up
 from quire.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -175,12 +175,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     rows = checkpoint(fingerprints(docs))
     classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = checkpoint(components(close_links(classes.select("fp"), classes.count(), distance)))
-    rooted = classes.join(roots, classes["fp"] == roots["vertex"], "left")
-    rooted = rooted.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")
-    out = rows.join(of_class, rows["fp"] == of_class["class_fp"])
+    n = classes.count()
+    roots = checkpoint(components(close_links(classes.select("fp"), n, distance)))
+    rooted = classes.join(roots, classes["fp"] == roots["vertex"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    # a class alone has its own id; the others' least ones are looked up by root
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("least_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    least = checkpoint(least.select("root", F.struct("least_id").alias("least")))
+    of_class = looked_up(rooted, least, "root", least.count())
+    of_class = checkpoint(of_class.select("fp", F.when(F.col("least").isNull(), F.col("first_id")).otherwise(F.col("least.least_id")).alias("component_id")))
+    out = looked_up(rows, of_class, "fp", n)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -195,12 +198,15 @@ def first_of_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     text_hash = F.xxhash64("text")
     rows = checkpoint(fingerprints(docs.select("doc_id", "text", text_hash.alias("text_hash")), "text_hash"))
     classes = checkpoint(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-    roots = components(close_links(classes.select("fp"), classes.count(), distance))
-    rooted = rows.join(roots, rows["fp"] == roots["vertex"], "left").select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
+    roots = checkpoint(components(close_links(classes.select("fp"), classes.count(), distance)).select(F.col("vertex").alias("fp"), "root"))
+    rooted = looked_up(rows, roots, "fp", roots.count()).select("doc_id", "text_hash", F.coalesce("root", "fp").alias("root"))
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    first = rooted.groupBy("root").agg(F.min(who).alias("first"))
-    keys = rooted.groupBy("root", who.alias("who")).agg(F.count(F.lit(1)).alias("copies")).join(first, "root")
-    keys = checkpoint(keys.select(F.col("who.doc_id").alias("__quire_id"), F.col("who.text_hash").alias("__quire_text"), (F.col("who") == F.col("first")).alias("stays"), "copies"))
+    keys = checkpoint(rooted.groupBy("root", who.alias("who")).agg(F.count(F.lit(1)).alias("copies")))
+    # a document alone in its group stays, whatever the others do
+    first = keys.groupBy("root").agg(F.min("who").alias("first"), F.sum("copies").alias("n")).filter("n > 1")
+    first = checkpoint(first.select("root", F.struct("first").alias("group")))
+    keys = looked_up(keys, first, "root", first.count()).filter("group is not null")
+    keys = checkpoint(keys.select(F.col("who.doc_id").alias("__quire_id"), F.col("who.text_hash").alias("__quire_text"), (F.col("who") == F.col("group.first")).alias("stays"), "copies"))
     same = F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (text_hash == F.col("__quire_text"))
     apart = keys.filter("not stays or copies > 1")
     out = docs.join(broadcast_if_small(apart, apart.count()), same, "left_anti")

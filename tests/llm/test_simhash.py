@@ -93,3 +93,20 @@ def test_repeated_rows_stay_once(spark):
     rows = [row(1, "a b c d e"), row(1, "a b c d e"), row(1, "other words of this id now"), row(None, "z y x w v"), row(None, "z y x w v")]
     kept = simhash.first_of_groups(documents(spark, rows)).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("1", "a b c d e"), ("1", "other words of this id now"), ("None", "z y x w v")]
+
+
+def test_hot_groups_without_broadcasts(spark, monkeypatch):
+    """Copies and near copies of a large group don't meet by key; what comes out is the same."""
+    from quire.llm import common
+
+    base = prose(9, 300)
+    rows = [row(i, base if i % 3 else base.replace(base.split()[i], "changed", 1)) for i in range(60)] + odd_documents()
+    df = documents(spark, rows)
+    usual = sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str)
+    kept = sorted(str(r["doc_id"]) for r in simhash.first_of_groups(df).collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT", 3)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str) == usual
+    assert sorted(str(r["doc_id"]) for r in simhash.first_of_groups(df).collect()) == kept
+    group = components([plain_fingerprint(r[1]) for r in rows])
+    assert len(kept) == len(set(group))
