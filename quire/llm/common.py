@@ -15,7 +15,7 @@ from quire.plans.storage import folder, stored
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes that may be broadcast; beyond either the join shuffles, or goes in blocks.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 #: A key of more rows than this is hot: its rows don't meet in one task.
 HOT = 100_000
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_if_small, checkpoint, text_or_empty
+from quire.llm.common import blocks, broadcast_if_small, checkpoint, text_or_empty
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Words are runs of letters and digits, compared in lower case.
@@ -71,15 +73,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, con
     an item_id, are one text each as far as their shingles go; a null id is an id. Empty tables give an empty result.
     Other columns are not read. Whole texts are searched, however long.
 
-    The items are the small side. Their sketches are broadcast only if they are counted as few; otherwise both sides are
-    dealt out by hash. Documents pass once, shingles that hit no sketch go in the task that makes them, and hits are
-    counted before they are shuffled. Only documents that hit often enough are read again, for the exact comparison of
+    The items are the small side. Their sketches are broadcast in blocks of a bounded size, one block if they are few.
+    Documents pass once for each block, shingles that hit no sketch go in the task that makes them, and hits are counted
+    before they are shuffled, so that a shingle that many documents share weighs on no single task. Only documents that hit often enough are read again, for the exact comparison of
     shingle texts.
     """
     items = benchmark.select(F.col("item_id").alias("item_key"), "text")
     sketch = checkpoint(signatures(items, size, containment))
-    few = broadcast_if_small(sketch, sketch.count())
-    hits = hashed(docs, ["doc_id"], size).join(few, "h")
+    # however many items there are, documents' shingles stay where they are: sketches travel, block by block
+    found = [hashed(docs, ["doc_id"], size).join(block, "h") for block in blocks(sketch, sketch.count(), F.col("h"))]
+    hits = reduce(DataFrame.union, found)
     # a shingle may repeat in a document: distinct hashes count
     hits = hits.groupBy("doc_id", "item_key", "need", "h").agg(F.lit(1).alias("hit"))
     pairs = hits.groupBy("doc_id", "item_key", "need").agg(F.sum("hit").alias("hits")).filter("hits >= need")
@@ -93,7 +96,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE, con
     hit_docs = broadcast_if_small(pairs.select("pair_doc").distinct(), n_pairs)
     again = docs.select("doc_id", "text").join(hit_docs, F.col("doc_id").eqNullSafe(F.col("pair_doc")), "left_semi")
     held = exploded(again, ["doc_id"], size, lambda w: w).select("doc_id", *keyed)
-    both = held.join(broadcast_if_small(asked, asked.count()), names).groupBy("doc_id", "item_key", "item_shingles", *names).agg(F.lit(1).alias("hit"))
+    met = [held.join(block, names) for block in blocks(asked, asked.count(), F.col("item_key"))]
+    both = reduce(DataFrame.unionByName, met).groupBy("doc_id", "item_key", "item_shingles", *names).agg(F.lit(1).alias("hit"))
     found = both.groupBy("doc_id", "item_key", "item_shingles").agg(F.count(F.lit(1)).alias("found"))
     found = found.filter(F.col("found") >= F.col("item_shingles") * F.lit(containment - 1e-9))
     found = found.join(

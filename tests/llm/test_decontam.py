@@ -74,3 +74,12 @@ def test_sketches_lose_no_document():
         k = min(n, int(upper * (0.2 + 1e-9)) + 1)
         missed = int(n * (0.2 + 1e-9))
         assert k - missed >= 1
+
+
+def test_sketches_in_blocks(spark, monkeypatch):
+    from quire.llm import common
+
+    docs, items = cases()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 7)
+    found = decontam.contaminated(documents(spark, docs), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"], r["item_shingles"], r["found"]) for r in found} == brute(docs, items)
