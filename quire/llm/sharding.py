@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import hash60, text_or_empty
+from quire.llm.common import checkpoint, hash60, text_or_empty
 
 #: The multiplier of the linear congruential generator that the paper prescribes.
 LCG = 2862933555777941757
@@ -78,6 +78,7 @@ def manifest(docs: DataFrame, shards: int = 8, cells: int = CELLS) -> DataFrame:
         jump(F.col("key"), shards + 1).alias("grown_shard"),
         F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).alias("cell"),
     )
+    rows = checkpoint(rows)  # cells are counted first: texts are read once
     per_cell = rows.groupBy("shard", "cell").agg(F.sum("copies").alias("rows"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select("shard", "cell", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
