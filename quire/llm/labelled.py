@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.common import checkpoint
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """CRC-32 of doc_id as text, modulo folds. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int, chars: int) -> DataFrame:
-    """doc_id, text and y (0 or 1) of at most `rows` labelled documents for which `train` (over doc_id) holds.
+def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int, size: int) -> DataFrame:
+    """doc_id, text and y (0 or 1) of labelled documents for which `train` (over doc_id) holds, checkpointed.
 
-    The ids with the least hashes are taken, so the sample is the same in each run. Null ids, null labels and texts that
-    are null or longer than `chars` are no training rows; of several labels of an id the largest counts, of several
-    rows of an id one that Spark picks by least text.
+    At most `rows` rows with at most `size` bytes of text together: ids that have a text are taken by their hashes, so
+    the sample is the same in each run, and texts of any length take part. Null ids, null labels and null texts are no
+    training rows; of several labels of an id the largest counts, of several texts of an id the least.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & train)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    short = docs.select("doc_id", "text").filter(F.length("text") <= chars)
-    # the sample has `rows` rows of two numbers at most
-    return short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sizes = docs.filter("text is not null").groupBy("doc_id").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = known.join(sizes, "doc_id").orderBy(*by_hash).limit(rows)
+    # a running sum over `rows` rows at most
+    upto = F.sum("size").over(Window.orderBy(*by_hash).rowsBetween(Window.unboundedPreceding, 0))
+    picked = checkpoint(picked.withColumn("upto", upto).filter(F.col("upto") <= size).select("doc_id", "y"))
+    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
+    return checkpoint(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")))

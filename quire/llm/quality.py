@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from quire.llm import labelled
 from quire.llm.labelled import fold, sample
 
-#: The sample: at most so many labelled rows, with texts of at most so many characters. It bounds the driver's memory.
-ROWS, CHARS = 3000, 16_000
+#: The sample: at most so many labelled rows, with so many bytes of text together. It bounds the driver's memory.
+ROWS, BYTES = 3000, 24_000_000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 15, 8, 6, 0.5
 NGRAMS = (3, 4, 5)
 FOLDS, THRESHOLD = 5, 0.3
@@ -89,7 +89,7 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         buckets += [whole, look, grams, np.array([REPEAT])]
         weights += [n, n, (n / np.bincount(owner, minlength=len(distinct)))[owner], np.array([sum(map(eq, words, words[1:])) / len(words)])]
     ids, where = np.unique(np.concatenate(buckets), return_inverse=True)
-    return ids, np.bincount(where, np.concatenate(weights))
+    return ids.astype(np.int32), np.bincount(where, np.concatenate(weights)).astype(np.float32)
 
 
 @dataclass
@@ -152,9 +152,9 @@ def fit(texts: list[str], y: list[int], seed: int = 7) -> Model:
     return Model(vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = BYTES) -> Model:
     """A model of labels.quality, from labelled rows outside the held-out fold. Only `sample` reaches the driver."""
-    picked = sample(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != 0, rows, chars).toPandas().sort_values("doc_id")
+    picked = sample(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != 0, rows, size).toPandas().sort_values("doc_id")
     return fit(picked["text"].tolist(), picked["y"].tolist())
 
 
@@ -188,7 +188,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that the classifier rejects, with the columns of docs."""
+    """docs without the documents that the classifier rejects, with the columns of docs.
+
+    Null and empty texts are judged like a text without words; rows that repeat are judged alike; an empty table stays empty.
+    Without labelled rows of both classes all rows share one score, so all stay or all go.
+    """
     score = scorer(train(docs, labels))
     return docs.withColumn("__quire_score", score("text")).filter(predicted(F.col("__quire_score")) == 1).drop("__quire_score")
 

@@ -19,8 +19,8 @@ from quire.llm import boosting, labelled
 from quire.llm.boosting import Trees, boost, calibrated, isotonic
 from quire.llm.labelled import fold, sample
 
-#: The sample: at most so many labelled rows, with texts of at most so many characters.
-ROWS, CHARS = 20_000, 100_000
+#: The sample: at most so many labelled rows, with so many bytes of text together.
+ROWS, BYTES = 20_000, 1 << 30
 #: Terms of the learned lexicon at most; those with the highest smoothed share come first.
 TERMS = 20_000
 #: A term needs so many toxic documents, and this smoothed share of toxic ones among all that have it.
@@ -152,14 +152,14 @@ def share_of(positive: np.ndarray, negative: np.ndarray, prior: float) -> np.nda
     return (positive + SMOOTH * prior) / (positive + negative + SMOOTH)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = BYTES) -> Model:
     """Learn from labelled rows outside the held-out fold.
 
     Lexicon terms are counted over the sample in Spark; the `TERMS` best come to the driver. Each training row's
     features use a lexicon learned without its own fold, so that the trees see words as they'll see those of new texts.
     The trees are fitted on two folds each and scored on the third; these scores calibrate, and all rows make the final trees.
     """
-    picked = sample(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 1, rows, chars)
+    picked = sample(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 1, rows, size)
     totals = picked.groupBy(cross_fold()).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).toPandas().set_index("part").reindex(range(CROSS), fill_value=0)
     toxic, others = totals["p"].to_numpy(float), (totals["n"] - totals["p"]).to_numpy(float)
     prior = (toxic.sum() + 1) / (toxic.sum() + others.sum() + 2)
