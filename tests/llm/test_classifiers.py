@@ -178,3 +178,29 @@ def test_long_texts_are_learned_from_too(spark):
     pick = lambda n, size: {r["doc_id"] for r in labelled.sample(documents(spark, rows), labels, "quality", F.lit(True), n, size).collect()}
     assert pick(100, 1 << 20) == set(range(20)) and len(pick(7, 1 << 20)) == 7
     assert sum(len(rows[i][1]) for i in pick(100, 260_000)) <= 260_000
+
+
+def test_an_over_long_text_does_not_end_the_sample(spark):
+    """The text first in hash order is larger than the whole sample may be: the others are learned from all the same."""
+    from pyspark.sql import functions as F
+
+    from quire.llm import labelled
+
+    labels = spark.createDataFrame([(i, i % 2, 0, "x", "y") for i in range(200)], LABELS)
+    first = labels.orderBy(F.xxhash64("doc_id"), "doc_id").first()["doc_id"]
+    for long in (30_000, 8_000, 4_900):
+        rows = [row(i, "w" * (long if i == first else 40)) for i in range(0, 200, 2)] + [row(first, "w" * long)]
+        picked = {r["doc_id"] for r in labelled.sample(documents(spark, rows), labels, "quality", F.lit(True), 60, 20_000).collect()}
+        assert len(picked) == 60 and (first in picked) == (long == 4_900)
+
+
+def test_training_goes_on_beside_an_over_long_text(spark, monkeypatch):
+    """A labelled text above the sample's bytes, wherever it stands, changes no score of the others."""
+    rows, labels = labelled_documents(60)
+    monkeypatch.setattr(quality, "train", lambda docs, labels, keep=quality.train: keep(docs, labels, 200, 300_000))
+    found = []
+    for long in (None, "bad " * 100_000):
+        df = documents(spark, [*rows, row(1000, long)])
+        found.append({r["doc_id"]: r["score"] for r in quality.scored(df, spark.createDataFrame([*labels, (1000, 0, 1, "x", "y")], LABELS)).collect()})
+    assert len(set(found[0].values())) > 30
+    assert all(found[0][i] == found[1][i] for i in range(60))
