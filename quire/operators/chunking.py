@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.functions import geometry
@@ -22,14 +22,22 @@ from quire.functions.text import (
     token_count,
 )
 from quire.plans.schemas import PAYLOAD
-from quire.plans.storage import dealt_by, stored
+from quire.plans.storage import dealt_by, kept, stored
 
 
-def possible_order(blocks: DataFrame, reading_order: DataFrame) -> DataFrame:
-    """The given order, and text blocks by index, not `given`, which count for documents without a given one."""
-    given = reading_order.select("document_id", "ref_type", "ref_id", F.col("order").cast("int").alias("order"), F.lit(True).alias("given"))
+#: Entries beyond which a document is long: it is dealt out in parts, what is open at their ends is carried from one to the next.
+LONG = 100_000
+
+
+def given_order(blocks: DataFrame, reading_order: DataFrame) -> DataFrame:
+    """The given order, and text blocks by index for the documents without one; only their blocks are looked at for it."""
+    given = reading_order.select("document_id", "ref_type", "ref_id", F.col("order").cast("int").alias("order"))
+    bare = stored(blocks.select("document_id").distinct().join(reading_order.select("document_id").distinct(), "document_id", "left_anti"))
+    if bare.isEmpty():
+        return given
     by_index = F.col("reading_order_index").cast("int").alias("order")
-    return given.unionByName(blocks.select("document_id", F.lit("text_block").alias("ref_type"), F.col("id").alias("ref_id"), by_index, F.lit(False).alias("given")))
+    found = kept(blocks, bare, bare.count(), "left_semi")
+    return given.unionByName(found.select("document_id", F.lit("text_block").alias("ref_type"), F.col("id").alias("ref_id"), by_index))
 
 
 #: What tables and figures hold besides; one column of all, as it is carried through every window.
@@ -49,44 +57,115 @@ def referenced(blocks: DataFrame, tables: DataFrame, figures: DataFrame) -> Data
     return rows(blocks, "text_block").unionByName(rows(tables, "table", "title", "caption", "header", "rows")).unionByName(rows(figures, "figure", "caption", "alt_text", "type"))
 
 
-#: The order of a document's entries: given ones come first, so that the others, if there are any, are the last to be dropped.
-PLACE = ("not_given", "order", "ref_type", "ref_id")
-
+#: The order of a document's entries.
+PLACE = ("order", "ref_type", "ref_id")
 
-def classified(entries: DataFrame) -> DataFrame:
-    """Entries that count, with the kind and number (seq) of the unit that each starts or goes on with.
 
-    entries: document_id, the columns of PLACE, found, page, text (stripped) and others, which stay. Text blocks by index
-    count where no order is given. Headings win over list items where a unit may start; inside a run of list items
-    (neighbours on one page) only the list test counts. So a run's items belong to the list from its first item on that
-    is no heading: from the first opening one at or after the run's start. All entries take part, blank ones too, since
-    they end a run; blank and missing ones start nothing. All windows share one partitioning and one sort.
-    """
-    by = Window.partitionBy("document_id").orderBy(*PLACE)
-    so_far, before = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+def tested(entries: DataFrame) -> DataFrame:
+    """Entries with what their own texts say: is_text, heading and listed."""
     rows = entries.withColumn("is_text", F.col("found") & (F.col("ref_type") == "text_block") & (F.col("text") != ""))
     rows = rows.withColumn("heading", F.col("is_text") & looks_like_heading(F.col("text"), stripped=True))
-    rows = rows.withColumn("listed", F.col("is_text") & is_list_item(F.col("text"), stripped=True))
-    goes_on = F.col("listed") & F.lag("listed", 1, False).over(by) & (F.col("page") == F.lag("page").over(by))
-    rows = rows.withColumns({"goes_on": F.coalesce(goes_on, F.lit(False)), "dropped": F.col("not_given") & ~F.min("not_given").over(so_far)}).filter(~F.col("dropped"))
-    opens, at = F.col("listed") & ~F.col("heading"), F.struct(*PLACE)
-    opened = F.when(opens, at)
+    return rows.withColumn("listed", F.col("is_text") & is_list_item(F.col("text"), stripped=True))
+
+
+def in_order(rows: DataFrame) -> WindowSpec:
+    """A document's entries in their order, or those of one of its parts."""
+    return Window.partitionBy("document_id", *(["part"] if "part" in rows.columns else [])).orderBy(*PLACE)
+
+
+def since_start(by: WindowSpec, to: int = 0) -> WindowSpec:
+    return by.rowsBetween(Window.unboundedPreceding, to)
+
+
+def with_runs(rows: DataFrame) -> DataFrame:
+    """goes_on: whether an entry and the one before are list items of one page; opens: whether it may start a list."""
+    by = in_order(rows)
+    listed, page = F.lag("listed", 1, False).over(by), F.lag("page").over(by)
+    if "part" in rows.columns:
+        first = F.row_number().over(by) == 1
+        listed, page = F.when(first, F.col("carried.listed")).otherwise(listed), F.when(first, F.col("carried.page")).otherwise(page)
+    goes_on = F.coalesce(F.col("listed") & listed & (F.col("page") == page), F.lit(False))
+    return rows.withColumns({"goes_on": goes_on, "opens": F.col("listed") & ~F.col("heading")})
+
+
+def with_kinds(rows: DataFrame) -> DataFrame:
+    """Entries that count, with the kind of the unit that each starts or goes on with, and whether it starts one.
+
+    Headings win over list items where a unit may start; inside a run of list items (neighbours on one page) only the list
+    test counts. So a run's items belong to the list from its first item on that is no heading: from the first opening
+    one at or after the run's start. All entries take part, blank ones too, since they end a run; blank and missing ones
+    start nothing.
+    """
+    by, at = in_order(rows), F.struct(*PLACE)
+    opened = F.when(F.col("opens"), at)
     rows = rows.withColumns(
         {
-            "run": F.last(F.when(~F.col("goes_on"), at), ignorenulls=True).over(so_far),
-            "last_opened": F.last(opened, ignorenulls=True).over(so_far),
-            "opened_before": F.last(opened, ignorenulls=True).over(before),
+            "run": F.last(F.when(~F.col("goes_on"), at), ignorenulls=True).over(since_start(by)),
+            "last_opened": F.last(opened, ignorenulls=True).over(since_start(by)),
+            "opened_before": F.last(opened, ignorenulls=True).over(since_start(by, -1)),
         }
     )
-    in_list = F.col("listed") & F.coalesce(F.col("last_opened") >= F.col("run"), F.lit(False))
-    first = opens & ~F.coalesce(F.col("opened_before") >= F.col("run"), F.lit(False))
+    open_before = F.col("carried.open") if "part" in rows.columns else F.lit(False)
+    since = lambda one: F.when(F.col("run").isNotNull(), F.coalesce(one >= F.col("run"), F.lit(False))).otherwise(one.isNotNull() | open_before)
+    in_list, first = F.col("listed") & since(F.col("last_opened")), F.col("opens") & ~since(F.col("opened_before"))
     kind = (
         F.when(in_list, "list").when(F.col("heading"), "heading").when(F.col("is_text"), "paragraph")
         .when(F.col("found") & F.col("ref_type").isin("table", "figure"), F.col("ref_type"))
     )
     rows = rows.withColumn("kind", kind).filter("kind is not null").withColumn("starts", (F.col("kind") != "list") | first)
-    rows = rows.drop("is_text", "heading", "listed", "goes_on", "dropped", "run", "last_opened", "opened_before", "found")
-    return rows.withColumn("seq", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(so_far).cast("int"))
+    return rows.drop("is_text", "heading", "listed", "goes_on", "opens", "run", "last_opened", "opened_before", "found")
+
+
+def with_numbers(rows: DataFrame) -> DataFrame:
+    """Entries with the number (seq) of their unit and the labels of tables and figures."""
+    by, carried = in_order(rows), "part" in rows.columns
+    count = lambda what, name: F.sum(F.when(what, 1).otherwise(0)).over(since_start(by)) + (F.col(f"carried.{name}") if carried else 0)
+    number = lambda kind: count(F.col("kind") == kind, kind).cast("string")
+    label = F.when(F.col("kind") == "table", F.concat(F.lit("Table "), number("table"))).when(F.col("kind") == "figure", F.concat(F.lit("Figure "), number("figure")))
+    return rows.withColumns({"seq": count(F.col("starts"), "starts").cast("int"), "label": label})
+
+
+def with_parents(rows: DataFrame) -> DataFrame:
+    """Entries with the unit of the last heading before them; headings have none."""
+    parent = F.last(F.when(F.col("kind") == "heading", F.col("seq")), ignorenulls=True).over(since_start(in_order(rows), -1))
+    parent = F.coalesce(parent, F.col("carried.heading")) if "part" in rows.columns else parent
+    return rows.withColumn("parent", parent).withColumn("parent", F.when(F.col("kind") != "heading", ldu_name(F.col("parent"))))
+
+
+def in_parts(found: DataFrame) -> DataFrame:
+    """Looked-up entries of long documents, stored in order, with the range of the sort in which each lies: its part."""
+    return stored(tested(found).orderBy("document_id", *PLACE).withColumn("part", F.spark_partition_id()))
+
+
+def carry(rows: DataFrame, ends: dict[str, Column], into: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
+    """rows of long documents with the struct `carried`: what is open where their part begins.
+
+    ends folds each part of a document to one row; into makes what is carried of those of the parts before, in order.
+    """
+    parts = rows.groupBy("document_id", "part").agg(*[value.alias(name) for name, value in ends.items()])
+    before = since_start(Window.partitionBy("document_id").orderBy("part"), -1)
+    table = stored(parts.select("document_id", "part", F.struct(*[value.alias(name) for name, value in into(before).items()]).alias("carried")))
+    return kept(rows.drop("carried"), table, table.count(), "inner", ["document_id", "part"])
+
+
+def numbered_by_parts(rows: DataFrame) -> DataFrame:
+    """The steps from with_runs to with_parents over long documents, whose entries lie in parts: a prefix scan by parts.
+
+    Each part is folded to its end: its last entry; whether a list is open; how many units, tables and figures it has; its
+    last heading. The ends of a document's parts, one row each, are combined in order and carried into the parts.
+    """
+    at, one = F.struct(*PLACE), lambda what: F.sum(F.when(what, 1).otherwise(0))
+    last, none = lambda name, by: F.last(name, ignorenulls=True).over(by), F.lit(False)
+    end = lambda by: F.last("end").over(by)
+    rows = carry(rows, {"end": F.max_by(F.struct("listed", "page"), at)}, lambda by: {"listed": F.coalesce(end(by)["listed"], none), "page": end(by)["page"]})
+    # places are compared, so a list is open if one was opened since the last run began
+    ends = {"broke": F.max(F.when(~F.col("goes_on"), at)), "opened": F.max(F.when(F.col("opens"), at))}
+    is_open = lambda by: F.coalesce(last("opened", by) >= last("broke", by), last("opened", by).isNotNull())
+    rows = carry(with_runs(rows), ends, lambda by: {"open": is_open(by)})
+    counts = {"starts": one(F.col("starts"))} | {kind: one(F.col("kind") == kind) for kind in ("table", "figure")}
+    rows = carry(with_kinds(rows), counts, lambda by: {name: F.coalesce(F.sum(name).over(by), F.lit(0)) for name in counts})
+    rows = carry(with_numbers(rows), {"heading": F.max(F.when(F.col("kind") == "heading", F.col("seq")))}, lambda by: {"heading": last("heading", by)})
+    return with_parents(rows)
 
 
 def ldu_name(seq: Column) -> Column:
@@ -139,22 +218,35 @@ def cross_references(units: DataFrame) -> DataFrame:
     return by_kind.groupBy("document_id", "seq").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("relationships"))
 
 
-def chunk(blocks: DataFrame, tables: DataFrame, figures: DataFrame, reading_order: DataFrame) -> DataFrame:
+def chunk(blocks: DataFrame, tables: DataFrame, figures: DataFrame, reading_order: DataFrame, long: int = LONG) -> DataFrame:
     """Logical units (see plans.schemas.LDUS), for a whole corpus at once.
 
-    Entries and elements are dealt out by document once; entries are looked up, put in order and merged as they lie. The
-    merged units are stored once: units, their mentions and the mentions' targets all come from them.
+    Entries and elements are dealt out by document once; entries are looked up, put in order and merged as they lie. A
+    document of more than `long` entries is dealt out by its elements and then, in order, by parts of even size, and its
+    units by their numbers, so that it is the work of many tasks. The merged units are stored once: units, their mentions
+    and the mentions' targets all come from them.
     """
-    entries = possible_order(blocks, reading_order).repartition("document_id")
-    what = referenced(blocks, tables, figures).withColumn("found", F.lit(True)).repartition("document_id")
-    rows = entries.join(what, ["document_id", "ref_type", "ref_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    rows = rows.withColumn("text", strip(F.col("text"))).withColumn("not_given", ~F.col("given")).drop("given")
-    rows = classified(rows)
-    by = Window.partitionBy("document_id").orderBy(*PLACE)
-    number = lambda kind: F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("string")
-    label = F.when(F.col("kind") == "table", F.concat(F.lit("Table "), number("table"))).when(F.col("kind") == "figure", F.concat(F.lit("Figure "), number("figure")))
-    parent = F.last(F.when(F.col("kind") == "heading", F.col("seq")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns({"label": label, "parent": parent}).withColumn("parent", F.when(F.col("kind") != "heading", ldu_name(F.col("parent"))))
+    entries = given_order(blocks, reading_order)
+    elements = referenced(blocks, tables, figures).withColumn("found", F.lit(True))
+    sizes = stored(entries.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > long).select("document_id"))
+    many = sizes.count()
+    apart = lambda df, how: kept(df, sizes, many, how) if many else df
+    short = looked_up(apart(entries, "left_anti").repartition("document_id"), apart(elements, "left_anti").repartition("document_id"))
+    with dealt_by(blocks.sparkSession):
+        merged = stored(units_of(with_parents(with_numbers(with_kinds(with_runs(tested(short)))))))
+    if many:
+        found = looked_up(apart(entries, "left_semi"), apart(elements, "left_semi"))
+        merged = merged.unionByName(stored(units_of(numbered_by_parts(in_parts(found)))))
+    return with_hashes(merged)
+
+
+def looked_up(entries: DataFrame, elements: DataFrame) -> DataFrame:
+    rows = entries.join(elements, ["document_id", "ref_type", "ref_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return rows.withColumn("text", strip(F.col("text")))
+
+
+def units_of(rows: DataFrame) -> DataFrame:
+    """One row for each unit: document_id, seq, own (its text), bbox, kind, page, label, parent and what tables and figures hold."""
     held = F.col("held")
     rendered = F.when(F.col("kind") == "table", table_text(held["title"], held["caption"], held["header"], held["rows"]))
     rendered = rendered.when(F.col("kind") == "figure", F.coalesce(F.nullif(strip(held["caption"]), F.lit("")), strip(held["alt_text"])))
@@ -162,10 +254,7 @@ def chunk(blocks: DataFrame, tables: DataFrame, figures: DataFrame, reading_orde
     unit = Window.partitionBy("document_id", "seq").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({"parts": F.collect_list("text").over(unit), "bbox": geometry.union_all(F.col("bbox"), unit)}).filter("starts")
     own = rendered.when(F.col("kind") == "list", F.array_join("parts", PART_JOIN)).otherwise(F.col("text"))
-    merged = rows.select("document_id", "seq", own.alias("own"), "bbox", "kind", "page", "label", "parent", *[held[n].alias(n) for n in HELD])
-    with dealt_by(blocks.sparkSession):
-        merged = stored(merged)
-    return with_hashes(merged)
+    return rows.select("document_id", "seq", own.alias("own"), "bbox", "kind", "page", "label", "parent", *[held[n].alias(n) for n in HELD])
 
 
 def with_hashes(merged: DataFrame) -> DataFrame:

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from quire.plans.config import DOMAIN_KEYWORDS
 
+def digest_sum(text: str) -> str:
+    """A sum over rows that tells sets of texts apart: of the first 8 hex digits of their MD5."""
+    return f"CAST(sum(CAST('0x' || md5({text})[1:8] AS BIGINT)) AS BIGINT)"
+
+
 ENTRIES = """
 ords AS (SELECT o.*, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, 'cust-' || o_custkey AS document_id FROM orders o),
 numbered AS (SELECT *, CAST(floor(k / 2) AS INT) + 1 AS page FROM ords),
@@ -148,10 +153,11 @@ regexp_matches(text, '^([-*•]\s+|\(?[0-9]+[).\]]\s+|\(?[a-zA-Z][).\]]\s+)') AS
     "ldu_chunking": f"""{with_(ENTRIES)} SELECT document_id, ldu_id, content_type, text, page, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS token_count,
 substr(sha256(content_type || '|' || regexp_replace(text, '\\s+', ' ', 'g') || payload), 1, 16) AS content_hash, parent_section_id FROM ldus""",
     "section_carry_forward": f"{with_(ENTRIES)} SELECT content_type, count(*) AS units, count(parent_section_id) AS with_parent, count(DISTINCT document_id || parent_section_id) AS parents FROM ldus GROUP BY 1",
-    "cross_references": f"""{with_(ENTRIES)} SELECT a.document_id, a.ldu_id, b.ldu_id AS target FROM (SELECT document_id, ldu_id, seq, unnest(['Table ' || regexp_extract(text, 'Table ([0-9]+)', 1), 'Figure 1']) AS label FROM ldus WHERE kind = 'paragraph' AND text LIKE 'See Table %') a
-JOIN ldus b ON b.document_id = a.document_id AND b.label = a.label AND b.seq < a.seq""",
+    "cross_references": f"""{with_(ENTRIES)}, refs AS (SELECT a.document_id, a.ldu_id || ' ' || b.ldu_id AS ref FROM (SELECT document_id, ldu_id, seq, unnest(['Table ' || regexp_extract(text, 'Table ([0-9]+)', 1), 'Figure 1']) AS label FROM ldus WHERE kind = 'paragraph' AND text LIKE 'See Table %') a
+JOIN ldus b ON b.document_id = a.document_id AND b.label = a.label AND b.seq < a.seq)
+SELECT document_id, count(*) AS refs, {digest_sum("ref")} AS digest FROM refs GROUP BY 1""",
     "section_ranges": f"{with_(ENTRIES, SECTIONS)} SELECT document_id, section_id, title, level, page_start, page_end FROM ranges",
-    "section_membership": f"{with_(ENTRIES, SECTIONS)} SELECT document_id, section_id, ldu_id FROM members",
+    "section_membership": f"""{with_(ENTRIES, SECTIONS)} SELECT document_id, count(*) AS members, count(DISTINCT section_id) AS sections, {digest_sum("section_id || ' ' || ldu_id")} AS digest FROM members GROUP BY 1""",
     "section_data_types": f"{with_(ENTRIES, SECTIONS, ROOTS)} SELECT * FROM roots UNION ALL SELECT document_id, section_id, string_agg(DISTINCT data_type, ',' ORDER BY data_type) AS data_types, count(*) AS units FROM typed GROUP BY 1, 2",
     "table_facts": f"{with_(ENTRIES, FACTS)} SELECT document_id, seq, entity, metric, value FROM table_facts WHERE value <> ''",
     "keyvalue_facts": f"{with_(ENTRIES, FACTS)} SELECT document_id, seq, metric, value FROM kv_facts",

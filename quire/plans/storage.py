@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Questions that are broadcast, and questions of one block if there are more; their bytes are bounded too.
 FEW, FEW_BYTES = 10_000, 32 << 20
+#: Rows of keys and numbers that are broadcast.
+FEW_KEYS = 100_000
 #: What this process has stored, by the folder of each table, and tables by what they are made of.
 KEPT: dict[str, SparkSession] = {}
 MADE: dict[tuple, str] = {}
@@ -95,6 +97,11 @@ def asked_of(rows: DataFrame, questions: DataFrame, on: Column | None = None, fe
     return rows.join(questions.repartition(blocks).hint("shuffle_replicate_nl"), on)
 
 
+def kept(rows: DataFrame, table: DataFrame, n: int, how: str, keys: Sequence[str] = ("document_id",)) -> DataFrame:
+    """rows joined to a stored table of n narrow rows, which is broadcast only if these are few."""
+    return rows.join(F.broadcast(table) if n <= FEW_KEYS else table, list(keys), how)
+
+
 def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """rows, stored, with their places from 0 in this order as `name`: counted by parts of the sort, not in one task."""
     placed = stored(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))

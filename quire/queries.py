@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import extraction_queries, store_queries
@@ -48,9 +48,15 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ldus(spark, sf_dir).groupBy("content_type").agg(F.count(F.lit(1)).alias("units"), F.count("parent_section_id").alias("with_parent"), parents)
 
 
+def digest_sum(*cols: str) -> Column:
+    """A sum over rows that tells sets of them apart: of the first 8 hex digits of their MD5. No list is gathered for it."""
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws(" ", *cols)), 1, 8), 16, 10).cast("long")).alias("digest")
+
+
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of references, and a digest of them."""
     refs = ldus(spark, sf_dir).select("document_id", "ldu_id", F.explode(F.flatten(F.map_values("relationships"))).alias("target"))
-    return refs
+    return refs.groupBy("document_id").agg(F.count(F.lit(1)).alias("refs"), digest_sum("ldu_id", "target"))
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +69,9 @@ def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.section_members(*ranges(spark, sf_dir)).select("document_id", "section_id", "ldu_id")
+    """Each document's number of members over all its sections, and a digest of who is in which."""
+    found = sections.section_members(*ranges(spark, sf_dir))
+    return found.groupBy("document_id").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("section_id").alias("sections"), digest_sum("section_id", "ldu_id"))
 
 
 def section_data_types(spark: SparkSession, sf_dir: str) -> DataFrame:
