@@ -12,7 +12,7 @@ from quire.plans.storage import asked_of
 
 TABLE_TYPES = ("table", "table_section")
 REFERENCE = "struct<bbox:array<double>,content_hash:string,document_id:string,ldu_id:string,page:int>"
-TEXT_TYPES = ("paragraph", "list", "section_intro", "footnote")
+TEXT_TYPES = ("paragraph", "list")
 
 
 def source_reference(ldus: DataFrame) -> Column:
@@ -60,7 +60,7 @@ def table_facts(ldus: DataFrame) -> DataFrame:
 
 
 def text_facts(ldus: DataFrame) -> DataFrame:
-    """Labelled values and periods of paragraphs, lists and the like."""
+    """Labelled values and periods of paragraphs and lists."""
     units = ldus.filter(F.col("content_type").isin(*TEXT_TYPES)).withColumn("source_reference", source_reference(ldus))
     whole = F.lit("Document")
     labelled = units.select("document_id", "seq", "source_reference", F.posexplode(key_values(F.col("text"))).alias("n", "kv"))
@@ -76,20 +76,25 @@ def extract_facts(ldus: DataFrame, table_only: bool = False) -> DataFrame:
     return found if table_only else found.unionByName(text_facts(ldus))
 
 
+def searched_text() -> Column:
+    """What the words of a question are looked for in: entity, metric, value and period in lower case."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("entity", "metric", "value", "period")]))
+
+
 def search_facts(facts: DataFrame, queries: DataFrame, limit: int = 20, document_ids: Sequence[str] | None = None) -> DataFrame:
     """The first facts that have any of a query's first ten words, for each row of queries (query_id, query).
 
     Stored facts come in the order of their ids, others in that of documents, units and places. No ids given means all
     documents, an empty list means none; a query with a document_id (a column of that name, null for all) asks that
-    document alone. Words match within words, in any case.
+    document alone. Words match within words, in any case. Each question meets each fact here; where facts are stored,
+    fact_index.search gives the same from an index.
     """
     if document_ids is not None:
         facts = facts.filter(F.col("document_id").isin(*document_ids)) if document_ids else facts.filter(F.lit(False))
     terms = F.transform(query_terms(F.col("query")), F.lower)
     scope = F.col("document_id") if "document_id" in queries.columns else F.lit(None).cast("string")
     asked = queries.select("query_id", terms.alias("terms"), scope.alias("only"))
-    hay = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("entity", "metric", "value", "period")]))
     hit = F.exists("terms", lambda t: F.contains(F.col("hay"), t)) & (F.col("only").isNull() | (F.col("only") == F.col("document_id")))
-    rows = asked_of(facts.withColumn("hay", hay), asked, hit).drop("hay", "terms", "only")
+    rows = asked_of(facts.withColumn("hay", searched_text()), asked, hit).drop("hay", "terms", "only")
     by = Window.partitionBy("query_id").orderBy(*(["fact_id"] if "fact_id" in facts.columns else ["document_id", "seq", "at"]))
     return rows.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= limit)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.functions import vectors as vx
+from quire.operators import fact_index as facts_index
 from quire.operators import facts, retrieval, sections, triage
+from quire.operators import vector_index as vectors_index
 from quire.plans import derived
 from quire.plans.derived import table
-from quire.plans.oracle import CLAIMS, COST, FACTS, ORIGIN, SECTIONS, SIGNALS, claim_rows, half_even, with_
+from quire.plans.oracle import CLAIMS, COST, FACTS, ORACLE_SQL, ORIGIN, SECTIONS, SIGNALS, claim_rows, half_even, with_
 from quire.plans.oracle import ENTRIES as UNITS
 from quire.plans.storage import KEPT, folder
 from quire.sources import readers, sinks
@@ -134,6 +136,22 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORED_VECTORS = """SELECT 'd' || coalesce(label, -1) AS document_id, CAST(vec_id AS VARCHAR) AS ldu_id, CASE WHEN vec_id % 3 = 0 THEN 'second' ELSE 'first' END AS content FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0"""
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of each fiftieth vector, from an index of cells: what vector_topk finds by comparing all."""
+    rows, path = table(spark, sf_dir, "embeddings"), place(spark, "cells")
+    vectors_index.write(rows, path)
+    asked = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = vectors_index.nearest(spark, path, asked, 5, keys=("vec_id",))
+    return found.select("query_id", "vec_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+def fact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts that claims find in all documents, from an index of grams and words: what fact_search finds."""
+    path = place(spark, "facts-index")
+    facts_index.write(facts.extract_facts(derived.ldus(spark, sf_dir)), path)
+    return facts_index.search(spark, path, claims(spark)).select("query_id", "rank", "document_id", "entity", "metric", "value")
+
+
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = place(spark, "index")
     sinks.write_index(index_of(spark, sf_dir), path)
@@ -320,6 +338,8 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "json_escapes": (json_escapes, JSON_ESCAPES),
     "stored_vectors": (stored_vectors, STORED_VECTORS),
     "stored_index": (stored_index, STORED_INDEX),
+    "vector_index": (vector_index, ORACLE_SQL["vector_topk"]),
+    "fact_index": (fact_index, ORACLE_SQL["fact_search"]),
     "index_trees": (index_trees, INDEX_TREES),
     "section_summaries": (section_summaries, SECTION_SUMMARIES),
     "first_document": (first_document, FIRST_DOCUMENT),
