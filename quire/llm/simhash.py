@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm import common
 from quire.llm.common import broadcast_if_small, checkpoint, looked_up
 from quire.llm.components import components
 
@@ -146,21 +147,42 @@ def bucketed_links(distance: int):
 def close_links(distinct: DataFrame, count: int, distance: int = DISTANCE, piece: int = PIECE) -> DataFrame:
     """Rows (a, b) of fp values at most `distance` bits apart that join what all such pairs would join.
 
-    distinct has each fp once, count is about their number. Buckets with one member go before the second shuffle. A
-    bucket of more than `piece` members is cut into pieces by hash, and each pair of pieces is a bucket of its own, so
-    that no task holds more than about two pieces and none of the pairs is lost.
+    distinct has each fp once, count is about their number. A bucket of more than `piece` members is cut into pieces by
+    hash, and each pair of pieces is a bucket of its own, so that no task holds more than about two pieces and none of
+    the pairs is lost. The sizes of such buckets, which are few, travel to the fingerprints, so a bucket is in pieces
+    before its members meet: there is one shuffle of keys, and it deals out no large bucket by its key alone.
     """
-    masks = block_masks(block_count(count, distance), distance)
+    members = in_pieces(distinct, block_masks(block_count(count, distance), distance), piece)
+    dealt = members.repartition("mask", "key", "low", "high").sortWithinPartitions("mask", "key", "low", "high")
+    return dealt.mapInArrow(bucketed_links(distance), "a long, b long").distinct()
+
+
+def in_pieces(distinct: DataFrame, masks: list[int], piece: int) -> DataFrame:
+    """mask, key, low, high and fp: each fingerprint in the buckets of its keys, in those of a large one once for each piece."""
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     keyed = distinct.select("fp", keys.alias("k")).select("fp", "k.mask", "k.key")
-    sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pieces = F.ceil(F.col("n") / piece).cast("long")
-    members = keyed.join(sizes, ["mask", "key"]).select("mask", "key", "fp", pieces.alias("pieces"))
+    large = checkpoint(keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > piece))
+    members = with_sizes(keyed, large, large.count())
+    pieces = F.coalesce(F.ceil(F.col("n") / piece).cast("long"), F.lit(1).cast("long"))
+    members = members.select("mask", "key", "fp", pieces.alias("pieces"))
     mine: Column = F.when(F.col("pieces") == 1, 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("pieces")))
     members = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    members = members.select("mask", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "fp")
-    dealt = members.repartition("mask", "key", "low", "high").sortWithinPartitions("mask", "key", "low", "high")
-    return dealt.mapInArrow(bucketed_links(distance), "a long, b long").distinct()
+    return members.select("mask", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "fp")
+
+
+def with_sizes(keyed: DataFrame, large: DataFrame, count: int) -> DataFrame:
+    """keyed with n, the size of its bucket if that is large. The largest buckets are broadcast, as many as may be.
+
+    Where there are more, the others are joined by shuffling: none of them has more of all keys than the number of
+    buckets that are broadcast leaves to each.
+    """
+    most = common.BROADCAST_ROWS
+    if count <= most:
+        return keyed.join(F.broadcast(large), ["mask", "key"], "left")
+    top = checkpoint(large.orderBy(F.col("n").desc(), "mask", "key").limit(most))
+    one = keyed.join(F.broadcast(top), ["mask", "key"], "left")
+    rest = one.filter("n is null").drop("n").join(large, ["mask", "key"], "left")
+    return one.filter("n is not null").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quire.llm import simhash
 from tests.llm.cases import WORD, Groups, documents, empty, odd_documents, prose, row
@@ -110,3 +111,21 @@ def test_hot_groups_without_broadcasts(spark, monkeypatch):
     assert sorted(str(r["doc_id"]) for r in simhash.first_of_groups(df).collect()) == kept
     group = components([plain_fingerprint(r[1]) for r in rows])
     assert len(kept) == len(set(group))
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_a_large_bucket_is_cut_before_it_meets(spark, monkeypatch, most):
+    """20,000 fingerprints with equal keys: no two pieces of a bucket have more than about twice a piece of members."""
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    df = spark.range(20_000).select(F.col("id").alias("fp"))
+    masks = simhash.block_masks(6, 4)
+    members = simhash.in_pieces(df, masks, 512)
+    sizes = [r["count"] for r in members.groupBy("mask", "key", "low", "high").count().collect()]
+    assert max(sizes) < 2.6 * 512
+    # each pair of one bucket meets in some pair of pieces
+    dropped = next(i for i, m in enumerate(masks) if m & (1 << 21) - 1 == 0)
+    one = members.filter(f"mask = {dropped}").select("low", "high", "fp").distinct()
+    low, high = (one.filter(f"fp = {v}").select("low", "high") for v in (3, 19_999))
+    assert low.intersect(high).count() >= 1
