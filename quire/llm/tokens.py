@@ -5,18 +5,20 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
+from quire.llm import common as limits
+from quire.llm.common import blocks, checkpoint, stored
 
 #: Pre-tokens whose counts a Python worker keeps; beyond it the memory starts anew, which costs time but no result.
 MEMO = 1_000_000
-#: Pre-tokens whose numbers of pieces travel to all tasks, and the bytes that each may have; the others are joined by a shuffle.
-COMMON, COMMON_BYTES = 400_000, 64
+#: Pre-tokens whose numbers of pieces travel to all tasks, and the bytes that they may have together; the others are joined by a shuffle.
+COMMON, COMMON_BYTES = 400_000, 16 << 20
 #: Pre-tokens in one batch of rows.
 AT_ONCE = 50_000
 #: Characters of a text that are cut into pre-tokens at once.
@@ -157,23 +159,26 @@ def pieces_of_vocabulary(docs: DataFrame, model: bytes) -> DataFrame:
     return stored(found.mapInArrow(cut, "pretoken string, n long, pieces int"))
 
 
-def common_pretokens(vocabulary: DataFrame, most: int) -> pa.Table:
-    """pretoken and pieces of the most frequent pre-tokens, `most` at most and none of more than COMMON_BYTES bytes.
+def common_pretokens(vocabulary: DataFrame, most: int, size: int) -> tuple[pa.Table, DataFrame | None]:
+    """pretoken and pieces of the most frequent pre-tokens, `most` at most with `size` bytes at most, and the hot ones of the others.
 
     They are found by a histogram over classes of frequency, of which some hundreds come to the driver, not by sorting.
+    Whatever is more frequent goes first, long or short. Others that the corpus has more than HOT times, if there are
+    any, are a table of pretoken and pieces: at most one for each HOT pre-tokens of the corpus.
     """
-    short = vocabulary.filter(F.octet_length("pretoken") <= COMMON_BYTES)
     class_ = F.floor(F.log2("n") * 8).cast("int")
-    least, total = 1 << 30, 0
-    for row in sorted(short.groupBy(class_.alias("class")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r["class"]):
-        total += row["rows"]
-        if total > most:
+    least, rows, held = 1 << 30, 0, 0
+    histogram = vocabulary.groupBy(class_.alias("class")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("pretoken")).alias("held"))
+    for row in sorted(histogram.collect(), key=lambda r: -r["class"]):
+        rows, held = rows + row["rows"], held + row["held"]
+        if rows > most or held > size:
             break
         least = row["class"]
-    return short.filter(class_ >= least).select("pretoken", "pieces").toArrow()
+    hot = vocabulary.filter((class_ < least) & (F.col("n") > limits.HOT)).select("pretoken", F.col("pieces").alias("hot_pieces"))
+    return vocabulary.filter(class_ >= least).select("pretoken", "pieces").toArrow(), None if hot.isEmpty() else checkpoint(hot)
 
 
-def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, common: int = COMMON) -> DataFrame:
+def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, common: int = COMMON, size: int = COMMON_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     model is the content of a SentencePiece BPE model file, which travels with the tasks. A null text counts as empty:
@@ -181,12 +186,12 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, common: int =
     read. Texts of any length are cut in blocks at spaces, so a text needs little more memory than itself.
 
     Each distinct pre-token of the corpus is cut into pieces once, and its number of pieces is joined to the documents'
-    frequencies: that of the `common` most frequent ones where the documents are, as they travel to every task, that of
-    the others by a shuffle of what documents have of them. Frequent ones being gone, no key of this join is hot. A
-    pre-token of more than LONG characters is counted where it is. No ids are made.
+    frequencies: that of the `common` most frequent ones, of `size` bytes together, where the documents are, as they
+    travel to every task, that of the others by a shuffle of what documents have of them. If some of these are hot all
+    the same, they are broadcast in blocks. A pre-token of more than LONG characters is counted where it is. No ids are made.
     """
     vocabulary = pieces_of_vocabulary(docs, model)
-    known = common_pretokens(vocabulary, common)
+    known, hot = common_pretokens(vocabulary, common, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(model)
@@ -220,7 +225,13 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, common: int =
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = stored(rows.mapInArrow(run, f"key long, doc_id {kind}, n_bytes long, known long, pretoken array<string>, times array<int>"))
     rest = rows.filter(F.size("pretoken") > 0).select("key", F.inline(F.arrays_zip("pretoken", "times")))
-    rest = rest.join(vocabulary.select("pretoken", "pieces"), "pretoken").groupBy("key").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
+    found = []
+    for block in blocks(hot, hot.count(), F.col("pretoken")) if hot is not None else ():
+        rest = rest.join(block, "pretoken", "left")
+        found.append(rest.filter("hot_pieces is not null").select("key", "times", F.col("hot_pieces").alias("pieces")))
+        rest = rest.filter("hot_pieces is null").drop("hot_pieces")
+    found.append(rest.join(vocabulary.select("pretoken", "pieces"), "pretoken").select("key", "times", "pieces"))
+    rest = reduce(DataFrame.unionByName, found).groupBy("key").agg(F.sum(F.col("times") * F.col("pieces")).alias("rest"))
     counted = rows.join(rest, "key", "left").select("doc_id", "n_bytes", (F.col("known") + F.coalesce("rest", F.lit(0))).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 

@@ -80,3 +80,19 @@ def test_each_pretoken_of_the_corpus_is_cut_once(spark, monkeypatch):
                 expected[p] = expected.get(p, 0) + (len(p) <= tokens.LONG)
     assert {r["pretoken"]: r["n"] for r in vocabulary} == {p: n for p, n in expected.items() if n}
     assert all(r["pieces"] == (len(LIBRARY.encode("b " + r["pretoken"])) - len(LIBRARY.encode("b")) if r["pretoken"].strip() else r["pieces"]) for r in vocabulary)
+
+
+def test_a_long_pretoken_in_every_document_is_no_hot_key(spark, monkeypatch):
+    """Frequent pre-tokens travel whatever their length; where they may not, hot ones are broadcast in blocks."""
+    rule = "https://" + "x" * 92
+    rows = [(i, f"{rule} word{i} {rule}  own{i % 7} the") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known, hot = tokens.common_pretokens(tokens.pieces_of_vocabulary(df, MODEL), tokens.COMMON, tokens.COMMON_BYTES)
+    assert any(len(p.as_py()) >= 100 for p in known.column(0)) and hot is None
+    expected = {i: len(LIBRARY.encode(t)) for i, t in rows}
+    monkeypatch.setattr(tokens.limits, "HOT", 20)
+    monkeypatch.setattr(tokens.limits, "BROADCAST_ROWS", 3)
+    _, hot = tokens.common_pretokens(tokens.pieces_of_vocabulary(df, MODEL), 0, 0)
+    assert hot.count() >= 2 and max(len(r["pretoken"]) for r in hot.collect()) >= 100
+    for common, size in ((tokens.COMMON, tokens.COMMON_BYTES), (0, 0), (5, 10**6)):
+        assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(df, MODEL, common=common, size=size).collect()} == expected
