@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import BROADCAST_ROWS, broadcast_if_small, checkpoint, shuffles_dropped, stored
+from quire.llm import common
+from quire.llm.common import BROADCAST_ROWS, blocks, broadcast_if_small, checkpoint, shuffles_dropped, stored
 
 JACCARD = 0.8
 #: Counters of the sketch that orders tokens by rarity, and how many of them travel in one row.
@@ -547,7 +548,8 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float)
 
     tokens = held.mapInArrow(run, "k1 long, tokens binary").join(asked.select("k1", order().alias("at")), "k1")
     sides = [tokens.select(*[F.col(c).alias(f"{side}_{c}") for c in ("k1", "tokens", "at")]) for side in ("later", "first")]
-    both = pairs.select("later", "first").join(sides[0], F.col("later") == F.col("later_k1")).join(sides[1], F.col("first") == F.col("first_k1"))
+    both = pairs.select("later", "first").join(sides[0], F.col("later") == F.col("later_k1"))
+    both = with_firsts(both, sides[1], pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > common.HOT))
     both = both.filter(F.col("first_at") < F.col("later_at")).select("later", "first", "later_tokens", "first_tokens")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -559,6 +561,21 @@ def verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float)
     return both.mapInArrow(similar, "later long, first long").distinct()
 
 
+def with_firsts(rows: DataFrame, firsts: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows (first and others) joined to firsts (first_k1 and others) by shuffling, but for the hot ones, which travel in blocks.
+
+    hot: first, at most one for each HOT pairs. The candidates of a line that is near everything stay where they are.
+    """
+    if hot.isEmpty():
+        return rows.join(firsts, F.col("first") == F.col("first_k1"))
+    hot = checkpoint(hot.select("first"))
+    few = broadcast_if_small(hot, hot.count())
+    rows, tokens = checkpoint(rows), checkpoint(firsts.join(few, F.col("first") == F.col("first_k1")).drop("first"))
+    found = [rows.join(block, F.col("first") == F.col("first_k1")) for block in blocks(tokens, tokens.count(), F.col("first_k1"))]
+    found.append(rows.join(few, "first", "left_anti").join(firsts, F.col("first") == F.col("first_k1")))
+    return reduce(DataFrame.unionByName, [f.select(*rows.columns, *firsts.columns) for f in found])
+
+
 def order_bound(name: str, kind: T.DataType) -> Column:
     """A long that never falls from an earlier id to a later one: the id, or the first bytes of a text; null is last."""
     last = F.lit((1 << 63) - 1)

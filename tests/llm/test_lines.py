@@ -66,6 +66,20 @@ def test_without_broadcasts(spark, monkeypatch):
     check(spark, similar_rows())
 
 
+def test_one_line_with_many_near_copies(spark, monkeypatch):
+    """The tokens of a line that hundreds are near travel to these, in blocks, and not they to it."""
+    from quire.llm import common
+
+    base = [f"word{i}" for i in range(30)]
+    rows = [row(0, " ".join(base))] + [row(d, " ".join([*base[: d % 27], f"own{d}", *base[d % 27 :]]) + f"\nline {d} of this one alone") for d in range(1, 300)]
+    asked, usual = [], lines.with_firsts
+    monkeypatch.setattr(lines, "with_firsts", lambda both, firsts, hot: (asked.append(hot.count()), usual(both, firsts, hot))[1])
+    monkeypatch.setattr(common, "HOT", 100)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    check(spark, rows + similar_rows())
+    assert max(asked) >= 1
+
+
 def test_cleaned_documents(spark):
     rows = [row(1, "keep this first line\n\ncopyright of all rights"), row(2, "Copyright of all rights\nanother line that stays"), row(3, None), row(3, ""), row(4, "one\none\nOne two")]
     df = documents(spark, rows)
