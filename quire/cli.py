@@ -22,7 +22,7 @@ from quire.operators import facts, retrieval, triage
 from quire.plans.config import environment, load_rules
 from quire.sources import readers
 
-DEFAULT_QUESTION = "What is this document about?"
+DEFAULT_QUESTION = "overview contents subject"
 
 
 def names_of(spark: SparkSession, store: str) -> DataFrame | None:
@@ -34,11 +34,12 @@ def names_of(spark: SparkSession, store: str) -> DataFrame | None:
 
 
 def printed_citations(items: list[Row]) -> None:
-    for n, item in enumerate(items, 1):
-        box = "[" + ",".join(str(v) for v in item["bbox"]) + "]" if item["bbox"] else "N/A"
-        print(f"  {n}. {item['document_name']} p.{item['page_number']} bbox={box} content_hash={item['content_hash'][:12]}...")
+    """A line of tab-separated fields for each citation: document and page, sides of the box, hash."""
+    for item in items:
+        sides = " ".join(f"{v:g}" for v in item["bbox"]) if item["bbox"] else "-"
+        print(f"{item['document_name']} p.{item['page_number']}\t{sides}\t{item['content_hash']}")
     if not items:
-        print("  (no citations)")
+        print("(no citations)")
 
 
 def ask(spark: SparkSession, question: str, store: str, document: str | None = None, top_k: int = 10) -> int:
@@ -46,7 +47,7 @@ def ask(spark: SparkSession, question: str, store: str, document: str | None = N
     asked = spark.createDataFrame([("q", question, document)], "query_id string, query string, document_id string")
     index, vectors, found = readers.section_index(spark, f"{store}/index"), readers.vectors(spark, f"{store}/vectors"), readers.facts(spark, f"{store}/facts")
     answer = retrieval.answers(asked, index, vectors, found, names_of(spark, store), top_k=top_k).first()
-    print(f"Question: {question}\n--- Answer ---\n{answer['answer']}\n\n--- Provenance (verified: {answer['verified']}) ---")
+    print(f"{answer['answer']}\n\nverified: {answer['verified']}")
     printed_citations(answer["items"] or [])
     return 0
 
@@ -58,7 +59,7 @@ def audit(spark: SparkSession, claim: str, store: str, document: str | None = No
     hits = retrieval.nearest(vectors, retrieval.embedded_questions(asked), 10, document_ids=[document] if document else None)
     cited = retrieval.evidence(asked, hits, facts.search_facts(found, asked), names_of(spark, store))
     result = retrieval.audits(asked, cited).first()
-    print(f"{result['response']}\n\nStatus: {result['status']}\nVerified: {result['verified']}\n\nCitations:")
+    print(f"{result['response']}\n\nVerified: {result['verified']} ({result['status']})")
     printed_citations(cited.orderBy("place").collect())
     return 0 if result["verified"] else 1
 
@@ -100,7 +101,7 @@ def main(arguments: list[str] | None = None) -> int:
     if given.command == "audit":
         return audit(spark, given.text, given.store, given.document)
     if given.command == "inspect":
-        print(json.dumps(readers.inspect(spark.read.parquet(given.path)), default=str, ensure_ascii=False, indent=2))
+        print(json.dumps(readers.inspect(readers.table(spark, given.path)), default=str, ensure_ascii=False, indent=2))
         return 0
     from quire.queries import QUERIES
 

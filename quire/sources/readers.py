@@ -16,6 +16,7 @@ from quire.functions.geometry import bbox, is_valid
 from quire.functions.text import strip, without_code_fence
 from quire.operators.triage import document_key
 from quire.plans import schemas
+from quire.sources import batches
 
 INDEX = (
     "document_id string, section_id string, parent_id string, n int, title string, level int, page_start int, page_end int, key_entities array<string>, "
@@ -167,11 +168,20 @@ def document_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, path: str) -> DataFrame:
-    return rows_or_none(spark, path, schemas.FACTS)
+    """The facts that sinks.write_facts has stored, of each document those since it was last replaced."""
+    rows = batches.read(spark, path, schemas.FACTS)
+    return rows.withColumn("fact_id", F.col("fact_id") + F.col("rows_before") + 1).drop("batch", "listed_at", "rows_before")
 
 
 def vectors(spark: SparkSession, path: str) -> DataFrame:
-    return rows_or_none(spark, path, schemas.VECTORS)
+    """The vectors that sinks.upsert_vectors has stored, of each unit the last one."""
+    return batches.read(spark, path, schemas.VECTORS, ("document_id", "ldu_id")).drop("batch", "listed_at", "rows_before")
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that grows by batches, or any other one of Parquet files."""
+    schema = batches.schema_of(spark, path)
+    return spark.read.parquet(path) if schema is None else batches.read(spark, path, schema).drop("batch", "listed_at", "rows_before")
 
 
 def inspect(table: DataFrame, samples: int = 5) -> dict[str, Any]:

@@ -18,7 +18,8 @@ from quire.plans.derived import table
 from quire.plans.oracle import CLAIMS, COST, FACTS, ORACLE_SQL, ORIGIN, SECTIONS, SIGNALS, claim_rows, half_even, with_
 from quire.plans.oracle import ENTRIES as UNITS
 from quire.plans.storage import KEPT, folder
-from quire.sources import readers, sinks
+from quire.plans.schemas import FACTS as FACTS_SCHEMA
+from quire.sources import batches, readers, sinks
 
 HASH = "substr(sha256(content_type || '|' || regexp_replace(text, '\\s+', ' ', 'g') || payload), 1, 16)"
 
@@ -76,6 +77,28 @@ FACT_IDS = f"""{with_(UNITS, FACTS)}, found AS (SELECT * FROM facts WHERE NOT (e
   SELECT DISTINCT document_id, seq, a, CASE WHEN a = 1 THEN value ELSE metric END AS what, value FROM found) GROUP BY document_id) SELECT document_id, CAST(n AS BIGINT) AS facts, CAST(n AS BIGINT) AS ids FROM per"""
 
 
+def replaced_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored after documents were processed again: those that have no facts any more, and what one writer put beside another.
+
+    All facts are stored; then documents that end in 7 come again, with facts only if they end in 17; meanwhile facts of
+    those that end in 3 are stored once more. Then all batches are made one, and a last one comes after it.
+    """
+    found, path = facts.text_facts(derived.ldus(spark, sf_dir)), place(spark, "facts")
+    ending = lambda df, end: df.filter(F.endswith("document_id", F.lit(end)))
+    sinks.write_facts(found, path)
+    sinks.write_facts(ending(found, "3"), path)
+    sinks.write_facts(ending(found, "17"), path, replace_documents=True, documents=ending(derived.page_counts(spark, sf_dir), "7"))
+    batches.compact(spark, path, FACTS_SCHEMA, number="fact_id")
+    sinks.write_facts(ending(found, "9"), path, replace_documents=True)
+    rows = readers.facts(spark, path)
+    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("fact_id").alias("ids"))
+
+
+REPLACED_FACTS = f"""{with_(UNITS, FACTS)}, found AS (SELECT * FROM facts WHERE NOT (entity <> 'Document')), per AS (SELECT document_id, count(*) * CASE WHEN document_id LIKE '%3' THEN 2 ELSE 1 END AS n FROM (
+  SELECT DISTINCT document_id, seq, a, CASE WHEN a = 1 THEN value ELSE metric END AS what, value FROM found) WHERE document_id NOT LIKE '%7' OR document_id LIKE '%17' GROUP BY document_id)
+SELECT document_id, CAST(n AS BIGINT) AS facts, CAST(n AS BIGINT) AS ids FROM per"""
+
+
 def fact_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source references as JSON text, and what is read back from it."""
     rows = sinks.facts_with_references(facts.text_facts(derived.ldus(spark, sf_dir)).filter(F.col("at.a") == 0))
@@ -333,6 +356,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "ldu_boxes": (ldu_boxes, BOXES),
     "stored_facts": (stored_facts, STORED_FACTS),
     "fact_ids": (fact_ids, FACT_IDS),
+    "replaced_facts": (replaced_facts, REPLACED_FACTS),
     "fact_references": (fact_references, FACT_REFERENCES),
     "reference_json": (reference_json, REFERENCE_JSON),
     "json_escapes": (json_escapes, JSON_ESCAPES),

@@ -32,7 +32,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
 
     A document arrives whole, in one file. Each batch writes its own folder, batch=<id>, by overwriting it: a batch that
     is run again after a failure replaces what it had written, so each is there exactly once. Readers take, of a document
-    that came several times, the rows of the highest batch: see latest().
+    that came several times, the rows of the last batch that had it: see latest().
     """
     arriving = spark.readStream.schema(ELEMENT).json(source)
 
@@ -42,6 +42,8 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
         facts = extract_facts(units)
         for name, rows in (("ldus", units), ("facts", facts), ("vectors", embedded(units))):
             rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
+        # last: before it is there nothing of the batch is read
+        batch.select("document_id").distinct().write.mode("overwrite").parquet(f"{target}/documents/batch={batch_id}")
         units.unpersist()
         batch.unpersist()
 
@@ -49,9 +51,12 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
 
 
 def latest(spark: SparkSession, target: str, name: str) -> DataFrame:
-    """The rows of a table that ingest() writes, of each document those of its last batch."""
-    rows = spark.read.parquet(f"{target}/{name}")
-    last = rows.groupBy(F.col("document_id").alias("of")).agg(F.max("batch").alias("last"))
+    """The rows of a table that ingest() writes, of each document those of the last batch that had it.
+
+    A document that came again without facts, or whose units were refused, has none: what counts is that it came.
+    """
+    rows, came = spark.read.parquet(f"{target}/{name}"), spark.read.parquet(f"{target}/documents")
+    last = came.groupBy(F.col("document_id").alias("of")).agg(F.max("batch").alias("last"))
     return rows.join(last, (F.col("document_id") == F.col("of")) & (F.col("batch") == F.col("last")), "left_semi").drop("batch")
 
 

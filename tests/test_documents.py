@@ -23,7 +23,7 @@ def extracted(spark, lines, tables=(), figures=(), order=None, document="d1"):
 
 @pytest.fixture(scope="module")
 def report(spark):
-    lines = [("b1", 1, "1. HARBOUR DUES"), ("b2", 1, "1) Tonnage bands"), ("b3", 1, "2) Night pilots"), ("b4", 1, "See Table 1 for details.")]
+    lines = [("b1", 1, "1. HARBOUR DUES"), ("b2", 1, "1) Tonnage bands"), ("b3", 1, "2) Night pilots"), ("b4", 1, "The figures stand in Table 1.")]
     tables = [("t1", 1, None, None, ["Metric", "Value"], [["Revenue", "4.2B"]])]
     figures = [("f1", 1, "Figure 1: Ships by quarter", None, None), ("f2", 1, None, "", None)]
     order = [("text_block", "b1"), ("text_block", "b2"), ("text_block", "b3"), ("table", "t1"), ("text_block", "b4"), ("figure", "f1"), ("figure", "f2"), ("text_block", "gone")]

@@ -1,13 +1,13 @@
 import json
 import os
 
-
+import pytest
 from pyspark.sql import functions as F
 
 from quire import cli
 from quire.operators import extraction, facts, retrieval, sections
 from quire.plans.config import environment
-from quire.sources import readers, sinks
+from quire.sources import batches, readers, sinks
 from quire.streaming import ingest
 from tests.test_documents import ldus
 
@@ -132,6 +132,64 @@ def test_incremental_ingestion(spark, tmp_path):
     assert spark.read.parquet(f"{target}/facts").count() == 1
 
 
+def test_a_document_that_comes_again_without_facts_has_none(spark, tmp_path):
+    """What counts is that a document came, not that it has rows: in the stream and in the store."""
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+
+    def arrive(name, rows):
+        elements = [{"document_id": d, "ref_type": "text_block", "id": f"b{n}", "page_number": 1, "bbox": {"x0": 0, "y0": 0, "x1": 1, "y1": 1}, "order": n, "text": text} for d, n, text in rows]
+        (source / name).write_text("\n".join(json.dumps(r) for r in elements))
+        ingest.ingest(spark, str(source), str(target), str(tmp_path / "state")).awaitTermination()
+
+    values = lambda: sorted((r["document_id"], r["value"]) for r in ingest.latest(spark, str(target), "facts").collect())
+    arrive("1.json", [("a", 0, "Total: 5"), ("b", 0, "Total: 6")])
+    assert values() == [("a", "5"), ("b", "6")]
+    arrive("2.json", [("a", 0, "Nothing to see here")])
+    assert values() == [("b", "6")]
+    assert sorted(r["text"] for r in ingest.latest(spark, str(target), "ldus").collect()) == ["Nothing to see here", "Total: 6"]
+    path, both = str(tmp_path / "facts"), ldus(spark, [("paragraph", "Total: 5", 1)], "a").union(ldus(spark, [("paragraph", "Total: 6", 1)], "b"))
+    sinks.write_facts(facts.extract_facts(both), path)
+    again = ldus(spark, [("paragraph", "Nothing to see here", 1)], "a")
+    assert sinks.write_facts(facts.extract_facts(again), path, replace_documents=True, documents=again) == 0
+    assert [(r["document_id"], r["fact_id"]) for r in readers.facts(spark, path).collect()] == [("b", 2)]
+
+
+def test_writers_beside_each_other(spark, tmp_path, monkeypatch):
+    """Batches of two writers stand side by side, one that fails is not seen, one compacted meanwhile loses nothing."""
+    path, keys = str(tmp_path / "table"), ("document_id", "n")
+    schema = "document_id string, n int, v string"
+    rows = lambda *found: spark.createDataFrame(list(found), schema)
+    read = lambda keys=(): sorted(tuple(r) for r in batches.read(spark, path, schema, keys).select("document_id", "n", "v").collect())
+    assert read() == [] and batches.compact(spark, path, schema) == 0
+    first = batches.laid_down(rows(("a", 1, "first"), ("b", 2, "first")), path, None, False)
+    assert batches.put(rows(("b", 1, "second")), path) == 1  # another writer, before the first one has listed its batch
+    assert read() == [("b", 1, "second")]
+    batches.enter(spark, path, *first, False)
+    assert read() == [("a", 1, "first"), ("b", 1, "second"), ("b", 2, "first")]
+    with pytest.raises(Exception):  # noqa: B017, PT011  a job that ends in an error
+        batches.put(rows(("c", 1, "x")).withColumn("v", F.raise_error(F.lit("broken"))), path)
+    spark.createDataFrame([("c", 1, "never listed")], schema).write.parquet(f"{path}/rows/batch=bdead")
+    assert len(read()) == 3
+    batches.put(rows(("a", 1, "third")), path, replaces=True)
+    assert read() == [("a", 1, "third"), ("b", 1, "second"), ("b", 2, "first")]
+    usual = batches.put
+
+    def after_another(*a, **b):
+        monkeypatch.setattr(batches, "put", usual)
+        usual(rows(("b", 7, "meanwhile")), path, replaces=True)
+        return usual(*a, **b)
+
+    monkeypatch.setattr(batches, "put", after_another)
+    before = len(batches.listed(spark, path))
+    batches.compact(spark, path, schema)
+    assert read() == [("a", 1, "third"), ("b", 7, "meanwhile")] and len(batches.listed(spark, path)) == 2 < before
+    batches.put(rows(("a", 1, "last")), path)
+    assert read(keys) == [("a", 1, "last"), ("b", 7, "meanwhile")] and len(read()) == 3
+    batches.compact(spark, path, schema, keys)
+    assert read() == [("a", 1, "last"), ("b", 7, "meanwhile")] and len(batches.listed(spark, path)) == 1
+
+
 def test_ledger_counts_of_a_stream(spark, tmp_path):
     (tmp_path / "l").mkdir()
     rows = [("2024-01-01T00:00:00", "layout", 0.5), ("2024-01-01T00:01:00", "layout", 1.0), ("2024-01-01T01:00:00", "vision", 0.2)]
