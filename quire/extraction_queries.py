@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import rules
-from quire.operators import extraction, triage, validation
+from quire.operators import extraction, trees, triage, validation
 from quire.plans import derived
 from quire.plans.derived import table
 from quire.plans.oracle import CASCADE, COST, ORIGIN, SIGNALS, with_
@@ -194,6 +194,26 @@ def routed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUTED = f"{with_(SIGNALS, ORIGIN, COST, CASCADE)} SELECT document_id, strategy_used, confidence, chain, notes FROM results"
 
 
+def budgeted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade with a budget that runs out midway: vision runs in rounds of 200 documents, and what they cost is added up between them."""
+    profiles = derived.cost_rules(spark, sf_dir)
+    tokens = F.when(F.col("document_id") % 3 != 0, F.lit(100).cast("long")).alias("token_usage_prompt")
+    extractors = {name: (lambda ids, s=s: ids.select("document_id", *derived.attempted(F.col("document_id"), s))) for s, name in enumerate(rules.STRATEGIES[:2], 1)}
+    extractors["vision"] = lambda ids: ids.select("document_id", *derived.attempted(F.col("document_id"), 3), tokens, F.lit(None).cast("long").alias("token_usage_completion"), F.lit(0.25).alias("cost_estimate_usd"))
+    out = extraction.routed(profiles, extractors, budget=extraction.Budget(limit_usd=300.0, at_once=200))
+    return out.select("document_id", "strategy_used", "confidence", F.array_join("escalation_chain", ">").alias("chain"), "notes")
+
+
+BUDGETED = CASCADE.replace("tries AS (", """free AS (SELECT *, (document_id + s) % 4 <> 0 AS given, CAST((document_id * 7 + s * 3) % 10 AS DOUBLE) / 10 AS confidence FROM scored),
+came AS (SELECT *, coalesce(max(CAST(given AND confidence >= CASE WHEN strategy = 'vision' THEN 0.0 ELSE 0.5 END AS INT)) OVER (PARTITION BY document_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM free),
+seeing AS (SELECT *, (row_number() OVER (PARTITION BY step ORDER BY document_id) - 1) // 200 AS round FROM came WHERE strategy = 'vision' AND over = 0),
+rounds AS (SELECT step, round, sum(CASE WHEN given AND document_id % 3 <> 0 THEN 0.25 ELSE 0 END) AS cost FROM seeing GROUP BY 1, 2),
+sums AS (SELECT step, round, coalesce(sum(cost) OVER (ORDER BY step, round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM rounds),
+barred AS (SELECT document_id FROM seeing JOIN sums USING (step, round) WHERE spent >= 300),
+tries AS (""").replace("document_id % 11 = 0 AS refused", "document_id IN (SELECT document_id FROM barred) AS refused")
+BUDGETED = f"{with_(SIGNALS, ORIGIN, COST, BUDGETED)} SELECT document_id, strategy_used, confidence, chain, notes FROM results"
+
+
 def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("d"), (F.col("o_custkey") % 50).cast("string")).alias("document_id"), F.when(F.col("o_orderkey") % 3 == 0, "vision").otherwise("layout").alias("strategy_used"),
@@ -317,7 +337,10 @@ UNION ALL SELECT 'ragged', count(*), count(DISTINCT d) FROM ragged UNION ALL SEL
 
 
 def chain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verified chains without items, and indexes with crossed pages or without one root."""
+    """Verified chains without items, indexes with crossed pages or without one root, and trees with orphans, cycles and foreign sections.
+
+    In the trees each order of a customer hangs under the one before; some under one that isn't there, or under themselves.
+    """
     orders = table(spark, sf_dir, "orders").withColumn("k", F.col("o_orderkey"))
     items = F.when(F.col("k") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
     chains = validation.provenance_errors(orders.select(F.col("k").alias("document_id"), (F.col("k") % 2 == 0).alias("verified"), items.alias("items")))
@@ -326,12 +349,22 @@ def chain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("k") % 5).alias("page_start"), (F.col("k") % 7).alias("page_end"),
     )
     out = chains.select(F.col("document_id").cast("string").alias("document_id"), F.lit("chain").alias("section_id"), F.lit("verified_without_items").alias("rule"))
-    return out.unionByName(validation.section_errors(index))
+    out = out.unionByName(validation.section_errors(index))
+    name = lambda k: F.concat(F.lit("sec_"), k.cast("string"))
+    tree = F.concat(F.lit("d"), F.col("o_custkey").cast("string"))
+    before = F.lag("k").over(Window.partitionBy("o_custkey").orderBy("k"))
+    parent = F.when(F.col("k") % 11 == 0, "gone").when(F.col("k") % 13 == 0, name(F.col("k"))).otherwise(F.coalesce(name(before), F.lit("root")))
+    hung = orders.select(tree.alias("tree_id"), name(F.col("k")).alias("section_id"), parent.alias("parent_id"), F.when(F.col("k") % 17 == 0, "other").otherwise(tree).alias("owner"))
+    roots = hung.select("tree_id").distinct().select("tree_id", F.lit("root").alias("section_id"), F.lit(None).cast("string").alias("parent_id"), F.col("tree_id").alias("owner"))
+    return out.unionByName(trees.tree_errors(hung.unionByName(roots)).select(F.col("tree_id").alias("document_id"), "section_id", "rule"))
 
 
 CHAIN_RULES = """WITH i AS (SELECT 'd' || o_custkey AS document_id, CASE WHEN o_orderkey % 4 = 0 THEN 'root' ELSE 'sec_' || o_orderkey END AS section_id, o_orderkey % 5 AS a, o_orderkey % 7 AS b FROM orders)
 SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'chain' AS section_id, 'verified_without_items' AS rule FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0
-UNION ALL SELECT document_id, section_id, 'page_order' FROM i WHERE a > b UNION ALL SELECT document_id, 'root', 'one_root' FROM i GROUP BY 1 HAVING count(*) FILTER (section_id = 'root') <> 1"""
+UNION ALL SELECT document_id, section_id, 'page_order' FROM i WHERE a > b UNION ALL SELECT document_id, 'root', 'one_root' FROM i GROUP BY 1 HAVING count(*) FILTER (section_id = 'root') <> 1
+UNION ALL SELECT * FROM (SELECT 'd' || o_custkey AS document_id, 'sec_' || o_orderkey AS section_id,
+  coalesce(last_value(CASE WHEN o_orderkey % 11 = 0 THEN 'orphan' WHEN o_orderkey % 13 = 0 THEN 'cycle' END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  CASE WHEN o_orderkey % 17 = 0 THEN 'foreign' END) AS rule FROM orders) WHERE rule IS NOT NULL"""
 
 
 def unit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,6 +420,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vision_extraction": (vision_extraction, VISION),
     "vision_attempts": (vision_attempts, VISION_ATTEMPTS),
     "routed_extraction": (routed_extraction, ROUTED),
+    "budgeted_extraction": (budgeted_extraction, BUDGETED),
     "budget": (budget, BUDGET),
     "sample_text": (sample_text, f"WITH {SAMPLES} SELECT * FROM samples"),
     "profiles": (profiles, PROFILES),

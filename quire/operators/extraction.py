@@ -7,6 +7,7 @@ strategy, has_document, confidence and notes, as triage.cascade judges them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -18,7 +19,7 @@ from quire.functions.text import strip
 from quire.operators import triage
 from quire.plans.config import Rules
 from quire.plans.schemas import ATTEMPTS, FIGURES, TABLES
-from quire.plans.storage import stored
+from quire.plans.storage import numbered, stored
 from quire.sources.readers import json_or_null, read_answers, vision_elements
 
 Elements = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
@@ -174,12 +175,30 @@ def vision_model(answers: DataFrame, config: Rules | None = None) -> tuple[Eleme
     return vision_elements(answers), attempts
 
 
-def routed(profiles: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]], config: Rules | None = None, refused: DataFrame | None = None) -> DataFrame:
+ATTEMPT = ("document_id", "strategy", "has_document", "confidence", "notes")
+
+
+@dataclass
+class Budget:
+    """What vision runs may cost together, what has been spent, and how many documents are run before sums are taken again."""
+
+    limit_usd: float
+    spent_usd: float = 0.0
+    at_once: int = 1000
+
+
+def routed(
+    profiles: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]], config: Rules | None = None, refused: DataFrame | None = None, budget: Budget | None = None
+) -> DataFrame:
     """The ledger of a cascade that is really run: each strategy gets only the documents that have come to it.
 
-    extractors: by strategy, a function from document_id to attempts (document_id, has_document, confidence, notes; other
-    columns are not read). A round for each place in the chains; what a round gives is stored, so no extractor runs
-    twice. The result is that of triage.cascade over all attempts.
+    extractors: by strategy, a function from document_id to attempts (document_id, has_document, confidence, notes, and if
+    it has them the columns of triage.USAGE; others are not read). A round for each place in the chains; what a round
+    gives is stored, so no extractor runs twice. The result is that of triage.cascade over all attempts.
+
+    refused (document_id) may not use the vision strategy. With a budget, documents come to it in rounds of so many, in
+    the order of places in chains and of ids; between rounds what accepted runs with tokens have cost is added up, and
+    once the limit is reached all that still wait are refused, without being run.
     """
     steps = triage.chain_steps(profiles)
     if refused is not None:
@@ -187,17 +206,42 @@ def routed(profiles: DataFrame, extractors: dict[str, Callable[[DataFrame], Data
         first = barred.groupBy("document_id").agg(F.min("step").alias("barred_at"))
         steps = steps.join(first, "document_id", "left").filter("barred_at is null or step < barred_at").drop("barred_at")
     tried: list[DataFrame] = []
+    late: list[DataFrame] = []
     limit = triage.threshold(F.col("strategy"), config)
+    both = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def attempts_of(name: str, ids: DataFrame) -> DataFrame:
+        made = extractors[name](ids.select("document_id")).withColumn("strategy", F.lit(name))
+        return made.select(*ATTEMPT, *[c for c in triage.USAGE if c in made.columns])
+
     for step in range(3):
         todo = steps.filter(F.col("step") == step).select("document_id", "strategy")
-        if tried:
-            won = reduce(DataFrame.unionByName, tried).filter(F.col("has_document") & (F.col("confidence") >= limit))
-            todo = todo.join(won.select("document_id").distinct(), "document_id", "left_anti")
+        won = [both(tried).filter(F.col("has_document") & (F.col("confidence") >= limit))] if tried else []
+        for gone in [*won, *late]:
+            todo = todo.join(gone.select("document_id").distinct(), "document_id", "left_anti")
         todo = stored(todo)
-        made = [of(todo.filter(F.col("strategy") == name).select("document_id")).withColumn("strategy", F.lit(name)) for name, of in extractors.items()]
-        tried.append(stored(reduce(DataFrame.unionByName, [m.select("document_id", "strategy", "has_document", "confidence", "notes") for m in made])))
-    attempts = reduce(DataFrame.unionByName, tried) if tried else nothing(profiles, ATTEMPTS)
-    return triage.cascade(profiles, attempts, config, refused)
+        plain = [name for name in extractors if budget is None or name != "vision"]
+        made = [attempts_of(name, todo.filter(F.col("strategy") == name)) for name in plain]
+        if made:
+            tried.append(stored(both(made)))
+        if budget is not None and "vision" in extractors:
+            waiting = stored(numbered(todo.filter("strategy = 'vision'").select("document_id"), "place", "document_id"))
+            count, start = waiting.count(), 0
+            while start < count and budget.spent_usd < budget.limit_usd:
+                part = waiting.filter(F.col("place").between(start, start + budget.at_once - 1))
+                tried.append(stored(attempts_of("vision", part)))
+                won = tried[-1].filter(F.col("has_document") & (F.col("confidence") >= limit)).withColumn("strategy_used", F.lit("vision"))
+                budget.spent_usd += usage(with_usage(won)).agg(F.sum("cost_usd")).first()[0] or 0.0
+                start += budget.at_once
+            late.append(waiting.filter(F.col("place") >= start).select("document_id"))
+    attempts = both(tried) if tried else nothing(profiles, ATTEMPTS)
+    late += [] if refused is None else [refused.select("document_id")]
+    return triage.cascade(profiles, attempts, config, reduce(DataFrame.unionByName, late) if late else None)
+
+
+def with_usage(rows: DataFrame) -> DataFrame:
+    """rows with all columns of triage.USAGE, null where they were missing."""
+    return rows.withColumns({c: F.lit(None).cast("double" if "usd" in c else "long") for c in triage.USAGE if c not in rows.columns})
 
 
 def usage(ledger: DataFrame) -> DataFrame:
@@ -213,5 +257,5 @@ def over_budget(used: DataFrame, limit_usd: float) -> DataFrame:
 
 
 __all__ = [
-    "answered", "fast_text", "layout_model", "over_budget", "page_counts", "page_measures", "routed", "span_blocks", "text_lines", "usage", "vision_model", "vision_pages",
+    "Budget", "answered", "fast_text", "layout_model", "over_budget", "page_counts", "page_measures", "routed", "span_blocks", "text_lines", "usage", "vision_model", "vision_pages",
 ]

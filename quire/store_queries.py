@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.functions import vectors as vx
 from quire.operators import fact_index as facts_index
-from quire.operators import facts, retrieval, sections, triage
+from quire.operators import facts, memo, retrieval, sections, triage
+from quire.operators import trees as section_trees
 from quire.operators import vector_index as vectors_index
 from quire.plans import derived
 from quire.plans.derived import table
@@ -212,6 +213,55 @@ SECTION_SUMMARIES = f"""{with_(UNITS, SECTIONS)}, t AS (SELECT m.document_id, m.
 SELECT r.document_id, r.section_id, t.title || ': ' || substr(content, 1, 50) AS summary FROM ranges r LEFT JOIN t USING (document_id, section_id)"""
 
 
+def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat sections of nested trees: a customer's years, their orders, and the orders' lines, as JSON."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("doc", F.concat(F.lit("d"), F.col("o_custkey").cast("string")))
+
+    def section(ident: Column, title: Column, level: int, children: Column | None) -> Column:
+        own = [ident.alias("id"), F.col("doc").alias("document_id"), title.alias("title"), F.lit(level).alias("level"), F.lit(level).alias("page_start"), F.lit(9).alias("page_end")]
+        return F.struct(*own, *([] if children is None else [children.alias("child_sections")]))
+
+    line = lambda x: section(F.concat_ws("_", F.lit("l"), F.col("o_orderkey").cast("string"), x["l_linenumber"].cast("string")), x["l_quantity"].cast("int").cast("string"), 3, None)
+    one = section(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.col("o_orderstatus"), 2, F.transform(F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)), line))
+    years = orders.groupBy("doc", F.year("o_orderdate").alias("year")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("s")))), lambda x: x["s"]).alias("orders"))
+    year = section(F.concat(F.lit("y"), F.col("year").cast("string")), F.lit("Year"), 1, F.col("orders"))
+    whole = years.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("year", year.alias("s")))), lambda x: x["s"]).alias("years"))
+    tree = F.struct(F.col("doc").alias("document_id"), F.lit(9).alias("page_count"), section(F.lit("root"), F.lit("Document"), 0, F.col("years")).alias("root"))
+    found = section_trees.sections(whole.select(F.to_json(tree).alias("tree")))
+    return found.select("document_id", "section_id", "parent_id", "n", "title", "level", "page_start", "page_end", "owner", F.size("ldu_ids").alias("units"))
+
+
+NESTED_INDEX = """WITH o AS (SELECT 'd' || o_custkey AS doc, year(o_orderdate) AS y, o_orderkey AS k, o_orderstatus AS st FROM orders),
+flat AS (SELECT DISTINCT doc, 'root' AS id, NULL AS parent, 'Document' AS title, 0 AS level, [0, 0, 0] AS way FROM o UNION ALL SELECT DISTINCT doc, 'y' || y, 'root', 'Year', 1, [y, 0, 0] FROM o
+  UNION ALL SELECT doc, 'o' || k, 'y' || y, st, 2, [y, k, 0] FROM o UNION ALL SELECT doc, 'l_' || k || '_' || l_linenumber, 'o' || k, CAST(CAST(l_quantity AS INT) AS VARCHAR), 3, [y, k, row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_quantity)] FROM o JOIN lineitem ON l_orderkey = k)
+SELECT doc AS document_id, id AS section_id, parent AS parent_id, CAST(row_number() OVER (PARTITION BY doc ORDER BY way) - 2 AS INT) AS n, title, level, CAST(level AS INT) AS page_start, 9 AS page_end, doc AS owner, 0 AS units FROM flat"""
+
+
+def spoken() -> Callable[[list[dict]], list]:
+    """A summarizer that says the start of a content, and fails for some titles."""
+
+    def say(rows: list[dict]) -> list:
+        if any(row["title"].endswith("3") for row in rows):
+            raise ValueError("no summary of this")
+        return [row["content"][:20] for row in rows]
+
+    return say
+
+
+def remembered_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of a model that fails for some sections, asked twice over: what is said, and how often the model gave a summary."""
+    path = place(spark, "memo")
+    for _ in range(2):
+        index = sections.build_index(derived.ldus(spark, sf_dir), derived.page_counts(spark, sf_dir), said_of=memo.summarizer(path, spoken)).filter("section_id <> 'root'")
+    calls = spark.read.parquet(f"{path}/rows").filter("reason is null").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    return index.select("document_id", "section_id", "summary").unionByName(calls.select(F.lit("calls").alias("document_id"), F.lit(None).cast("string").alias("section_id"), F.col("n").alias("summary")))
+
+
+REMEMBERED = SECTION_SUMMARIES.split("SELECT r.document_id, r.section_id, t.title")[0] + """SELECT r.document_id, r.section_id, CASE WHEN t.title NOT LIKE '%3' THEN substr(content, 1, 20) END AS summary FROM ranges r LEFT JOIN t USING (document_id, section_id)
+UNION ALL SELECT 'calls', NULL, CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT title, content FROM t WHERE title NOT LIKE '%3')"""
+
+
 def first_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.first_document(index_of(spark, sf_dir)).select("document_id", "section_id", "title")
 
@@ -338,6 +388,30 @@ SELECT q.query_id, o.query_id IS NOT NULL AS verified, CASE WHEN o.query_id IS N
 FROM questions q LEFT JOIN once o ON o.query_id = q.query_id"""
 
 
+def plain_vectors() -> Callable[[list[str]], list]:
+    """A model whose vectors SQL can make too: a text's length and its first character, both moved."""
+    return lambda texts: [[float(len(t) - 20), float((ord(t[0]) if t else 0) - 80)] for t in texts]
+
+
+def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of claims ranked by how near their snippets are, each distinct text embedded once; an empty snippet counts for nothing."""
+    found = facts.search_facts(facts.extract_facts(derived.ldus(spark, sf_dir)), claims(spark), limit=9)
+    found = found.withColumns({c: F.when(F.col("rank") == 2, "").otherwise(F.col(c)) for c in ("entity", "metric", "value")})
+    hits = retrieval.embedded(derived.ldus(spark, sf_dir).limit(0), small_embedding).select(F.lit("").alias("query_id"), F.lit(0).alias("rank"), "*")
+    cited = retrieval.evidence(claims(spark), hits, found, least=0.4, vectors_of=lambda texts: memo.embeddings(texts, place(spark, "embeddings"), plain_vectors))
+    return cited.select("query_id", "place", "rank", "document_id", "snippet", F.round("similarity", 6).alias("similarity"))
+
+
+RANKED_EVIDENCE = f"""{with_(UNITS, FACTS, claim_rows())}, terms AS (SELECT query_id, unnest(string_split(lower(query), ' ')) AS term FROM claims),
+found AS (SELECT DISTINCT query_id, f.* FROM facts f JOIN terms t ON contains(lower(entity || ' ' || metric || ' ' || value || ' ' || period), term)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id, seq, a, b, c) AS rank FROM found),
+solid AS (SELECT query_id, query FROM claims WHERE len(list_filter(string_split(lower(query), ' '), lambda w: length(w) >= 2 AND w NOT IN ({", ".join(f"'{w}'" for w in tx.CLAIM_STOPWORDS)}))) > 0),
+cited AS (SELECT s.query_id, query, rank, r.document_id, l.page, CASE WHEN rank = 2 THEN '' ELSE substr(trim(entity || ' ' || metric || ' ' || value), 1, 300) END AS snippet FROM ranked r JOIN solid s USING (query_id) JOIN ldus l ON l.document_id = r.document_id AND l.seq = r.seq WHERE rank <= 9),
+v AS (SELECT *, length(query) - 20 AS qx, unicode(query) - 80 AS qy, length(snippet) - 20 AS sx, unicode(snippet) - 80 AS sy FROM cited WHERE snippet <> ''),
+near AS (SELECT *, greatest(0, least(1, ((qx * sx + qy * sy) / nullif(sqrt(qx * qx + qy * qy) * sqrt(sx * sx + sy * sy), 0) + 1) / 2)) AS sim FROM v)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, rank, document_id, page) AS INT) AS place, CAST(rank AS INT) AS rank, document_id, snippet, round(sim, 6) AS similarity FROM near WHERE sim >= 0.4"""
+
+
 def audit_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits with evidence from a search of the caller's: facts alone."""
     found = facts.extract_facts(derived.ldus(spark, sf_dir))
@@ -366,6 +440,9 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "fact_index": (fact_index, ORACLE_SQL["fact_search"]),
     "index_trees": (index_trees, INDEX_TREES),
     "section_summaries": (section_summaries, SECTION_SUMMARIES),
+    "nested_index": (nested_index, NESTED_INDEX),
+    "remembered_summaries": (remembered_summaries, REMEMBERED),
+    "ranked_evidence": (ranked_evidence, RANKED_EVIDENCE),
     "first_document": (first_document, FIRST_DOCUMENT),
     "stored_ledger": (stored_ledger, STORED_LEDGER),
     "stored_units": (stored_units, STORED_UNITS),
