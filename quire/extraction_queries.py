@@ -67,8 +67,10 @@ def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.lines_of_words(word_rows(spark, sf_dir))
 
 
-def plain_text(spark: SparkSession, sf_dir: str) -> tuple[extraction.Elements, DataFrame]:
+def plain_text(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> tuple[extraction.Elements, DataFrame]:
+    """What plain text extraction gives, for all documents or some (document_id)."""
     words = word_rows(spark, sf_dir)
+    words = words if ids is None else words.join(ids, "document_id", "left_semi")
     pages = words.select("document_id", "page").distinct().select("document_id", "page", F.lit(WIDTH).alias("width"), F.lit(60.0).alias("height"), (F.col("document_id") % 3 != 0).alias("has_font"))
     images = pages.filter(F.col("document_id") % 4 == 0).select("document_id", "page", F.lit(0.0).alias("x0"), F.lit(0.0).alias("top"), F.lit(450.0).alias("x1"), F.lit(60.0).alias("bottom"))
     return extraction.fast_text(extraction.text_lines(words), pages, images)
@@ -194,6 +196,24 @@ def routed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUTED = f"{with_(SIGNALS, ORIGIN, COST, CASCADE)} SELECT document_id, strategy_used, confidence, chain, notes FROM results"
 
 
+def extractors_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade over the three strategies themselves, each run on what has come to it: words, layout exports and vision answers."""
+    profiles = derived.cost_rules(spark, sf_dir)
+    given = {"layout": layout_exports(spark, sf_dir), "vision": vision_responses(spark, sf_dir)}
+    extractors = {
+        "fast_text": lambda ids: plain_text(spark, sf_dir, ids)[1], "layout": lambda ids: extraction.layout_model(given["layout"].join(ids, "document_id", "left_semi"))[1],
+        "vision": lambda ids: extraction.vision_model(given["vision"].join(ids, "document_id", "left_semi"))[1],
+    }
+    out = extraction.routed(profiles, extractors)
+    return out.select("document_id", "strategy_used", F.round("confidence", 6).alias("confidence"), F.array_join("escalation_chain", ">").alias("chain"), "notes")
+
+
+EXTRACTORS = CASCADE.split("tries AS (")[0] + f"""attempts AS (SELECT * FROM ({FAST_ATTEMPTS}) UNION ALL SELECT * FROM ({LAYOUT_ATTEMPTS}) UNION ALL SELECT * FROM ({VISION_ATTEMPTS})),
+tries AS (SELECT s.*, coalesce(has_document, false) AS given, coalesce(confidence, 0)::DOUBLE AS confidence, notes AS own_note, false AS refused FROM scored s LEFT JOIN attempts USING (document_id, strategy)),
+gated AS (""" + CASCADE.split("gated AS (")[1]
+EXTRACTORS = f"{with_(SIGNALS, ORIGIN, COST, EXTRACTORS)} SELECT document_id, strategy_used, round(confidence, 6) AS confidence, chain, notes FROM results"
+
+
 def budgeted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade with a budget that runs out midway: vision runs in rounds of 200 documents, and what they cost is added up between them."""
     profiles = derived.cost_rules(spark, sf_dir)
@@ -408,6 +428,21 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HTML = """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'b' || n AS id, [ 'Order ' || o_orderkey || ' & more', 'by ' || o_orderstatus, 'one'][CAST(n AS INT) + 1] AS text, CAST(n AS INT) AS reading_order_index FROM orders, range(3) r(n)"""
 
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text blocks of the given web pages, scripts, comments, unclosed tags and entities and all: each page's number of blocks, characters, and a digest."""
+    found = readers.html_blocks(table(spark, sf_dir, "pages"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(" ", "id", "text")), 1, 8), 16, 10).cast("long")
+    return found.groupBy("document_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).cast("long").alias("chars"), F.sum(digest).alias("digest"), F.min_by("text", "reading_order_index").alias("first"))
+
+
+SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}"
+PAGE_BLOCKS = rf"""WITH bare AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+cut AS (SELECT page_id, regexp_split_to_array(h, '(?i)</?(?:p|div|li|ul|ol|h[1-6]|table|tr|section|article|br|body|html|main|nav|footer|header)\b[^>]*>') AS parts FROM bare),
+texts AS (SELECT page_id, list_filter(list_transform(parts, lambda t: regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(t, '<[^>]*>', ' ', 'g'), '[{SPACES}]+', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '^[{SPACES}]+|[{SPACES}]+$', '', 'g')), lambda t: t <> '') AS kept FROM cut),
+blocks AS (SELECT CAST(page_id AS VARCHAR) AS document_id, unnest(range(len(kept))) AS n, unnest(kept) AS text FROM texts)
+SELECT document_id, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(CAST('0x' || md5('b' || n || ' ' || text)[1:8] AS BIGINT)) AS BIGINT) AS digest, arg_min(text, n) AS first FROM blocks GROUP BY 1"""
+
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "page_signals": (page_signals, PAGE_SIGNALS),
     "line_grouping": (line_grouping, f"WITH RECURSIVE {WORDS.strip()} SELECT * FROM text_lines"),
@@ -420,6 +455,8 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "vision_extraction": (vision_extraction, VISION),
     "vision_attempts": (vision_attempts, VISION_ATTEMPTS),
     "routed_extraction": (routed_extraction, ROUTED),
+    "extractors_run": (extractors_run, EXTRACTORS),
+    "page_blocks": (page_blocks, PAGE_BLOCKS),
     "budgeted_extraction": (budgeted_extraction, BUDGETED),
     "budget": (budget, BUDGET),
     "sample_text": (sample_text, f"WITH {SAMPLES} SELECT * FROM samples"),

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.functions import vectors as vx
 from quire.operators import fact_index as facts_index
-from quire.operators import facts, memo, retrieval, sections, triage
+from quire.operators import chunking, facts, memo, retrieval, sections, triage
 from quire.operators import trees as section_trees
 from quire.operators import vector_index as vectors_index
 from quire.plans import derived
 from quire.plans.derived import table
-from quire.plans.oracle import CLAIMS, COST, FACTS, ORACLE_SQL, ORIGIN, SECTIONS, SIGNALS, claim_rows, half_even, with_
+from quire.plans.oracle import CLAIMS, COST, FACTS, ORACLE_SQL, ORIGIN, SECTIONS, SIGNALS, claim_rows, digest_sum, half_even, with_
 from quire.plans.oracle import ENTRIES as UNITS
 from quire.plans.storage import KEPT, folder
 from quire.plans.schemas import FACTS as FACTS_SCHEMA
@@ -262,6 +262,42 @@ REMEMBERED = SECTION_SUMMARIES.split("SELECT r.document_id, r.section_id, t.titl
 UNION ALL SELECT 'calls', NULL, CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT title, content FROM t WHERE title NOT LIKE '%3')"""
 
 
+def index_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units where every other customer's document has no reading order: its text blocks come by their index, its tables and figures not at all."""
+    blocks, tables, figures, order = derived.extracted(spark, sf_dir)
+    units = chunking.chunk(blocks, tables, figures, order.filter(F.substring("document_id", 6, 99).cast("int") % 2 == 0))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(" ", "ldu_id", "content_type", "text", F.coalesce("parent_section_id", F.lit("-")))), 1, 8), 16, 10).cast("long")
+    return units.groupBy("document_id").agg(F.count(F.lit(1)).alias("units"), F.sum(digest).alias("digest"))
+
+
+INDEX_ORDER = f"""{with_(UNITS.replace("FROM raw_entries", "FROM (SELECT * FROM raw_entries WHERE rt = 'text' OR CAST(substr(document_id, 6) AS INT) % 2 = 0)"))}
+SELECT document_id, count(*) AS units, {digest_sum("ldu_id || ' ' || content_type || ' ' || text || ' ' || coalesce(parent_section_id, '-')")} AS digest FROM ldus GROUP BY 1"""
+
+
+def listed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a list of documents, and of an empty one, which finds none."""
+    found = facts.extract_facts(derived.ldus(spark, sf_dir))
+    rows = facts.search_facts(found, claims(spark), document_ids=["cust-4", "cust-7", "cust-7", "nowhere"])
+    none = facts.search_facts(found, claims(spark), document_ids=[])
+    return rows.unionByName(none).select("query_id", "rank", "document_id", "entity", "metric", "value")
+
+
+LISTED_FACTS = ORACLE_SQL["fact_search"].replace("SELECT DISTINCT query_id, f.* FROM facts f JOIN", "SELECT DISTINCT query_id, f.* FROM (SELECT * FROM facts WHERE document_id IN ('cust-4', 'cust-7')) f JOIN")
+
+
+def blank_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries where some documents' units have blank texts: sections without content are not put to the summarizer."""
+    blank = F.endswith("document_id", F.lit("7"))
+    units = derived.ldus(spark, sf_dir).withColumn("text", F.when(blank, F.lit(" \n ")).otherwise(F.col("text")))
+    say = lambda title, content, section_id, document_id: F.concat(F.lit("said: "), F.substring(content, 1, 30))
+    index = sections.build_index(units, derived.page_counts(spark, sf_dir), say).filter("section_id <> 'root'")
+    return index.groupBy("document_id").agg(F.count(F.lit(1)).alias("sections"), F.count("summary").alias("summaries"), F.max("summary").alias("last"))
+
+
+BLANK_SECTIONS = SECTION_SUMMARIES.split("SELECT r.document_id, r.section_id, t.title")[0] + """SELECT r.document_id, count(*) AS sections, count(content) FILTER (r.document_id NOT LIKE '%7') AS summaries,
+max('said: ' || substr(content, 1, 30)) FILTER (r.document_id NOT LIKE '%7') AS last FROM ranges r LEFT JOIN t USING (document_id, section_id) GROUP BY 1"""
+
+
 def first_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.first_document(index_of(spark, sf_dir)).select("document_id", "section_id", "title")
 
@@ -388,6 +424,41 @@ SELECT q.query_id, o.query_id IS NOT NULL AS verified, CASE WHEN o.query_id IS N
 FROM questions q LEFT JOIN once o ON o.query_id = q.query_id"""
 
 
+#: As QUESTIONS, and one over a document that has vectors but no sections.
+TOLD = (*QUESTIONS, ("q5", "order status", "cust-13"), ("q6", "Quantity", "cust-23"))
+
+
+def said_by_model(question: Column, context: Column) -> Column:
+    """A model that answers some questions, and fails for the others."""
+    return F.when(F.contains(question, F.lit("Quantity")), F.concat(F.lit("of "), F.length(context).cast("string"), F.lit(" characters: "), F.substring(context, 1, 20)))
+
+
+def answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with their texts and the first document's name. Documents that end in 3 have no sections: of these all units are searched."""
+    units = derived.ldus(spark, sf_dir)
+    asked = spark.createDataFrame(list(TOLD), "query_id string, query string, document_id string")
+    index = index_of(spark, sf_dir).filter(~F.endswith("document_id", F.lit("3")) | (F.col("section_id") == "root"))
+    names = derived.page_counts(spark, sf_dir).filter(F.endswith("document_id", F.lit("1"))).select("document_id", F.concat(F.lit("Customer "), F.substring("document_id", 6, 99)).alias("document_name"))
+    found = retrieval.answers(asked, index, retrieval.embedded(units, small_embedding), facts.extract_facts(units), names, said_by_model, small_embedding)
+    return found.select("query_id", "verified", F.length("answer").alias("chars"), F.md5("answer").alias("answer"), F.size("items").alias("items"), F.get("items", F.lit(0))["document_name"].alias("name"))
+
+
+ANSWER_TEXTS = (
+    ANSWERS.split("\nSELECT q.query_id, o.query_id")[0]
+    .replace(", ".join(f"('{q}', '{t}', {'NULL' if d is None else repr(d)})" for q, t, d in QUESTIONS), ", ".join(f"('{q}', '{t}', {'NULL' if d is None else repr(d)})" for q, t, d in TOLD))
+    .replace("FROM ranges r JOIN topics t ON t.only_document", "FROM (SELECT * FROM ranges WHERE document_id NOT LIKE '%3') r JOIN topics t ON t.only_document")
+    .replace("AND m.section_id = b.section_id),", "AND m.section_id = b.section_id UNION ALL SELECT q.query_id, l.document_id, l.ldu_id FROM questions q JOIN ldus l ON l.document_id = q.only_document WHERE q.query_id NOT IN (SELECT query_id FROM best)),")
+    + """,
+lines_of AS (SELECT query_id, 0 AS source, rank, '[Source ' || rank || ']' || chr(10) || substr(trim(text), 1, 800) AS line FROM hits WHERE rank <= 8
+  UNION ALL SELECT query_id, 1, rank, '[Fact] ' || entity || ' — ' || metric || ': ' || value || CASE WHEN period <> '' THEN ' (' || period || ')' ELSE '' END FROM told WHERE rank <= 5),
+context AS (SELECT query_id, string_agg(line, chr(10) || chr(10) ORDER BY source, rank) AS c FROM lines_of GROUP BY 1),
+answer AS (SELECT q.query_id, CASE WHEN c IS NULL THEN 'No relevant content was found in the corpus for this query.' WHEN contains(query, 'Quantity') THEN 'of ' || length(c) || ' characters: ' || substr(c, 1, 20)
+  ELSE 'Retrieved context:' || chr(10) || chr(10) || c END AS a FROM questions q LEFT JOIN context USING (query_id)),
+cites AS (SELECT query_id, count(*) AS items, arg_min(CASE WHEN document_id LIKE '%1' THEN 'Customer ' || substr(document_id, 6) ELSE document_id END, source * 1000 + rank) AS name FROM once GROUP BY 1)
+SELECT a.query_id, items IS NOT NULL AS verified, CAST(length(a) AS INT) AS chars, md5(a) AS answer, CAST(items AS INT) AS items, name FROM answer a LEFT JOIN cites USING (query_id)"""
+)
+
+
 def plain_vectors() -> Callable[[list[str]], list]:
     """A model whose vectors SQL can make too: a text's length and its first character, both moved."""
     return lambda texts: [[float(len(t) - 20), float((ord(t[0]) if t else 0) - 80)] for t in texts]
@@ -443,6 +514,10 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "nested_index": (nested_index, NESTED_INDEX),
     "remembered_summaries": (remembered_summaries, REMEMBERED),
     "ranked_evidence": (ranked_evidence, RANKED_EVIDENCE),
+    "index_order": (index_order, INDEX_ORDER),
+    "listed_facts": (listed_facts, LISTED_FACTS),
+    "blank_sections": (blank_sections, BLANK_SECTIONS),
+    "answer_texts": (answer_texts, ANSWER_TEXTS),
     "first_document": (first_document, FIRST_DOCUMENT),
     "stored_ledger": (stored_ledger, STORED_LEDGER),
     "stored_units": (stored_units, STORED_UNITS),
