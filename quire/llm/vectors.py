@@ -22,6 +22,8 @@ BLOCK = 1024
 STRIPE = 256
 #: The share of pairs left open by their codes from which on a whole block is multiplied.
 DENSE = 0.05
+#: A cosine of a matrix product that is nearer than this to the threshold is computed pair by pair.
+NEAR = 1e-9
 #: How many standard errors the estimate's confidence bound is wide.
 SIGMAS = 8.0
 
@@ -66,10 +68,12 @@ def linked(units: np.ndarray, codes: np.ndarray, factor: np.ndarray, others: np.
     _, high = bounds(decode(codes, dim) @ turned.T, factor.astype(np.float32), dim)
     slack = 1e-4  # single precision
     open_ = high >= least - slack
+    found = np.zeros(open_.shape, bool)
     if open_.mean() > DENSE:
-        return open_ & (units @ others.T >= least)
+        # a matrix product sums in another order: what is near the threshold is left to the one sum that decides it anywhere
+        cosine = units @ others.T
+        found, open_ = open_ & (cosine >= least + NEAR), open_ & (np.abs(cosine - least) < NEAR)
     i, j = np.nonzero(open_)
-    found = np.zeros(open_.shape, bool)
     for s in range(0, len(i), 65536):
         a, b = i[s : s + 65536], j[s : s + 65536]
         found[a, b] = np.einsum("ij,ij->i", units[a], others[b]) >= least

@@ -118,3 +118,19 @@ def test_links_are_exact_where_codes_alone_would_accept(spark):
     df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
     assert [got[i] for i in range(40)] == [1 - i % 2 for i in range(40)]
+
+
+def test_one_sum_decides_at_the_threshold(monkeypatch):
+    """Whether a block is multiplied or goes pair by pair changes no link, at the very threshold either."""
+    rnd = np.random.default_rng(3)
+    units = rnd.standard_normal((200, 61))
+    units[100:] = units[:100] + rnd.standard_normal((100, 61)) * 0.3
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    codes, factor = vectors.encode(units)
+    pair = np.einsum("ij,ij->i", units[:100], units[100:])
+    for least in pair[:30]:
+        found = []
+        for dense in (-1.0, 2.0):
+            monkeypatch.setattr(vectors, "DENSE", dense)
+            found.append(vectors.linked(units, codes, factor, units, float(least)))
+        assert (found[0] == found[1]).all() and found[0][np.flatnonzero(pair == least)[0], 100 + np.flatnonzero(pair == least)[0]]
