@@ -21,15 +21,16 @@ BASE = {
 }
 # Looser patterns, whose matches the labelers vote on.
 LOOSE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?[\[({<](?:at|AT)[\])}>]\x20?|\x20(?:at|AT)\x20|\x20?@\x20?)[A-Za-z0-9-]++(?:(?:\x20?[\[({<](?:dot|DOT)[\])}>]\x20?|\x20(?:dot|DOT)\x20|\.)[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?[\[({<](?:at|AT|arroba)[\])}>]\x20?|\x20(?:at|AT|arroba)\x20|\x20?@\x20?)[A-Za-z0-9-]++(?:(?:\x20?[\[({<](?:dot|DOT|punto|point|punkt)[\])}>]\x20?|\x20(?:dot|DOT|punto|point|punkt)\x20|\.)[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9.]))[0-9]{1,3}+(?:\x20?[\[({](?:dot|\.)[\])}]\x20?[0-9]{1,3}+){3}(?![0-9])",
-    "card": r"(?<![0-9])(?<![0-9][\x20._/-])[0-9](?:[\x20._/-]{0,2}+[0-9]){12,18}+(?![\x20._/-]?[0-9])",
-    "phone": r"(?<![0-9+.])(?<!\+[0-9]{1,3}[\x20-])(?:00[1-9][0-9]{0,2}[\x20.-]|1[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.])",
+    # a number in one piece or in fours may also stand beside another one, where the base pattern takes both for one and drops it
+    "card": r"(?<![0-9])(?<![0-9][\x20._/-])[0-9](?:[\x20._/-]{0,2}+[0-9]){12,18}+(?![\x20._/-]?[0-9])|(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])|(?<![0-9+.])(?<!\+[0-9]{1,3}[\x20-])(?:00[1-9][0-9]{0,2}[\x20.-]|1[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.])",
 }
 # Cheap tests that a text must pass before its matches of a pattern are marked.
 MAYBE_BASE = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": "+"}
 MAYBE_LOOSE = {
-    "email": r"[A-Za-z0-9._%+-](?:\x20?[\[({<](?:at|AT)[\])}>]\x20?|\x20(?:at|AT)\x20|\x20?@\x20?)[A-Za-z0-9-]++(?:\x20?[\[({<](?:dot|DOT)[\])}>]|\x20(?:dot|DOT)\x20|\.)",
+    "email": r"[A-Za-z0-9._%+-](?:\x20?[\[({<](?:at|AT|arroba)[\])}>]\x20?|\x20(?:at|AT|arroba)\x20|\x20?@\x20?)[A-Za-z0-9-]++(?:\x20?[\[({<](?:dot|DOT|punto|point|punkt)[\])}>]|\x20(?:dot|DOT|punto|point|punkt)\x20|\.)",
     "ip": r"[0-9]\x20?[\[({](?:dot|\.)[\])}]",
     "card": r"[0-9](?:[\x20._/-]{0,2}+[0-9]){12}",
     "phone": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
@@ -136,7 +137,7 @@ def votes(kind: str, piece: Column, ahead: Column) -> list[Column]:
     n = F.length(number)
     context = F.when(F.rlike(ahead, F.lit(AGAINST[kind])), F.lit(-1)).when(F.rlike(ahead, F.lit(CUES[kind])), F.lit(1)).otherwise(F.lit(0))
     if kind == "email":
-        regex = vote(F.rlike(piece, F.lit(r"^\S+@\S+$|[\[({<](?i:at)[\])}>]")))
+        regex = vote(F.rlike(piece, F.lit(r"^\S+@\S+$|[\[({<](?i:at|arroba)[\])}>]")))
         last = F.lower(F.regexp_extract(piece, "([A-Za-z0-9-]+)$", 1))
         gazetteer = vote(last.isin(*TLDS.split()))
         check = vote(~F.rlike(piece, F.lit(r"^[.\-]|\.\.")))
@@ -186,9 +187,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def merged(kind: str) -> Column:
         base, loose = F.col(col(kind, True)), F.col(col(kind, False))
-        apart = F.filter(loose, lambda s: ~F.exists(base, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+        # what is data of another kind already isn't a part of this one
+        apart = F.filter(loose, lambda s: ~F.exists("whole", lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
         return F.array_sort(F.concat(base, apart), lambda a, b: a["start"] - b["start"])
 
+    rows = rows.withColumn("whole", F.concat(*[F.col(col(kind, True)) for kind in KINDS]))
     found = [merged(kind) for kind in KINDS]
     return rows.select("doc_id", F.concat(*found).alias("found"))
 
@@ -264,7 +267,7 @@ def detect(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     exclusive, by kind and start. A null text counts as empty: no spans, the hash of an empty string. Rows that repeat
     get a row each; an empty table gives an empty result; other columns are not read.
 
-    Base spans match a fixed pattern and its checks. Looser matches apart from base spans of their kind are added if a
+    Base spans match a fixed pattern and its checks. Looser matches apart from all base spans are added if a
     classifier gives them `accept` or more: labelers (form, gazetteer, words ahead, check digits or ranges) vote on all
     spans, expectation-maximisation over the counts of vote patterns estimates how reliable each is, and the resulting
     beliefs train a logistic regression over the votes and over what a span looks like (SHAPE). Only counts leave the

@@ -153,3 +153,14 @@ def test_recall_of_added_spans_by_kind(spark):
     false = [i for i, k in kinds.items() if k is None and found[i][1]]
     print("false alarms", len(false), "of", sum(k is None for k in kinds.values()))
     assert len(false) <= 0.1 * sum(k is None for k in kinds.values())
+
+
+def test_numbers_that_the_base_pattern_takes_for_one(spark):
+    """Two cards side by side, or a phone number before an address, are too long for the base patterns: labelers add them."""
+    good = ["4111111111111111", "5500005555555559", "4012888888881881"]
+    rows = [(i, f"alone {good[i % 3]} and +1 (826) 555-4{i:03d} here") for i in range(60)]
+    rows += [(100 + i, f"both {good[i % 3]} {good[(i + 1) % 3]} stand here") for i in range(9)] + [(200 + i, f"call +1 (826) 555-4{i:03d} 190.137.223.{i} now") for i in range(9)]
+    found = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i]["n_added"] == 0 and found[i]["n_card"] == found[i]["n_phone"] == 1 for i in range(60))
+    assert all(found[100 + i]["n_card"] == 0 and found[100 + i]["spans"] == "card:5:21,card:22:38" for i in range(9))
+    assert all(found[200 + i]["n_phone"] == 0 and found[200 + i]["spans"].endswith("phone:5:22") and found[200 + i]["n_added"] == 1 for i in range(9))
