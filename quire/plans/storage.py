@@ -14,24 +14,32 @@ from pyspark.sql import functions as F
 FEW, FEW_BYTES = 10_000, 32 << 20
 #: Rows of keys and numbers that are broadcast.
 FEW_KEYS = 100_000
-#: What this process has stored, by the folder of each table, and tables by what they are made of.
+#: The folders of this process's applications, and stored tables by what they are made of.
 KEPT: dict[str, SparkSession] = {}
 MADE: dict[tuple, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where none is set, one beside the warehouse, which executors share too."""
+    """This application's own folder in the one of spark.checkpoint.dir, which executors share; it goes when the program ends.
+
+    Where none is set, a program on one machine has one beside its warehouse; on a cluster that would be a folder of the
+    driver's machine, so there it is an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        beside = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints"
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or beside)
-    return context._jsc.sc().getCheckpointDir().get()
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the executors of {context.master} share")
+        context.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints")
+    path = context._jsc.sc().getCheckpointDir().get()
+    # Spark makes it for this application alone; checkpoints in it are of no use to another one
+    KEPT[path] = spark
+    return path
 
 
 def written(df: DataFrame) -> str:
     """Where df has been written to as Parquet, in the shared folder; the files go when the program ends."""
     path = f"{folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    KEPT[path] = df.sparkSession
     df.write.parquet(path)
     return path
 

@@ -18,7 +18,7 @@ from quire.plans import derived
 from quire.plans.derived import table
 from quire.plans.oracle import CLAIMS, COST, FACTS, ORACLE_SQL, ORIGIN, SECTIONS, SIGNALS, claim_rows, digest_sum, half_even, with_
 from quire.plans.oracle import ENTRIES as UNITS
-from quire.plans.storage import KEPT, folder
+from quire.plans.storage import folder
 from quire.plans.schemas import FACTS as FACTS_SCHEMA
 from quire.sources import batches, readers, sinks
 
@@ -27,9 +27,7 @@ HASH = "substr(sha256(content_type || '|' || regexp_replace(text, '\\s+', ' ', '
 
 def place(spark: SparkSession, name: str) -> str:
     """A folder of its own, which goes when the program ends."""
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    KEPT[path] = spark
-    return path
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def claims(spark: SparkSession) -> DataFrame:
