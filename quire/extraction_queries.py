@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import rules
 from quire.operators import extraction, trees, triage, validation
 from quire.plans import derived
+from quire.plans.config import Rules
 from quire.plans.derived import table
 from quire.plans.oracle import CASCADE, COST, ORIGIN, SIGNALS, with_
 from quire.sources import readers
@@ -443,6 +445,24 @@ texts AS (SELECT page_id, list_filter(list_transform(parts, lambda t: regexp_rep
 blocks AS (SELECT CAST(page_id AS VARCHAR) AS document_id, unnest(range(len(kept))) AS n, unnest(kept) AS text FROM texts)
 SELECT document_id, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(CAST('0x' || md5('b' || n || ' ' || text)[1:8] AS BIGINT)) AS BIGINT) AS digest, arg_min(text, n) AS first FROM blocks GROUP BY 1"""
 
+def vision_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a vision model is asked: once a document, with the images of its first pages, up to the limit; a call that fails gives null."""
+    image = F.concat_ws(" ", "l_returnflag", F.col("l_partkey").cast("string")).cast("binary")
+    pages = lines(spark, sf_dir).select(F.col("document_id").cast("string").alias("document_id"), F.col("l_linenumber").alias("page"), image.alias("image"))
+    config = Rules(router=replace(Rules().router, vision_pages=4))
+
+    def call(document_id: str, images: list[bytes]) -> str:
+        if document_id.endswith("7"):
+            raise ConnectionError("no answer")
+        return f"{len(images)} pages, {sum(map(len, images))} bytes"
+
+    return extraction.answered(extraction.vision_pages(pages, config), call)
+
+
+VISION_CALLS = """SELECT CAST(l_orderkey AS VARCHAR) AS document_id, CASE WHEN l_orderkey % 10 <> 7 THEN count(*) || ' pages, ' || sum(length(l_returnflag || ' ' || l_partkey)) || ' bytes' END AS response
+FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_orderkey"""
+
+
 ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "page_signals": (page_signals, PAGE_SIGNALS),
     "line_grouping": (line_grouping, f"WITH RECURSIVE {WORDS.strip()} SELECT * FROM text_lines"),
@@ -457,6 +477,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "routed_extraction": (routed_extraction, ROUTED),
     "extractors_run": (extractors_run, EXTRACTORS),
     "page_blocks": (page_blocks, PAGE_BLOCKS),
+    "vision_calls": (vision_calls, VISION_CALLS),
     "budgeted_extraction": (budgeted_extraction, BUDGETED),
     "budget": (budget, BUDGET),
     "sample_text": (sample_text, f"WITH {SAMPLES} SELECT * FROM samples"),

@@ -296,6 +296,21 @@ BLANK_SECTIONS = SECTION_SUMMARIES.split("SELECT r.document_id, r.section_id, t.
 max('said: ' || substr(content, 1, 30)) FILTER (r.document_id NOT LIKE '%7') AS last FROM ranges r LEFT JOIN t USING (document_id, section_id) GROUP BY 1"""
 
 
+def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations' document names: from a file of names where it has one, else the id; and the keys of documents by their paths."""
+    ids, path = derived.page_counts(spark, sf_dir), place(spark, "names")
+    some = ids.filter(F.col("page_count") % 2 == 0).select(F.map_from_entries(F.array(F.struct("document_id", F.concat(F.lit('The "'), "document_id", F.lit('" file.pdf'))))).alias("m"))
+    # one JSON object of all names
+    whole = some.select(F.to_json("m").alias("json")).agg(F.concat(F.lit("{"), F.array_join(F.transform(F.collect_list("json"), lambda j: F.substring(j, F.lit(2), F.length(j) - 2)), ","), F.lit("}")).alias("value"))
+    whole.coalesce(1).write.text(path)
+    rows = retrieval.named(ids, readers.document_names(spark, path))
+    return rows.select("document_id", "document_name", triage.document_key(F.concat(F.lit("/files/"), "document_id", F.lit(".pdf"))).alias("key"))
+
+
+NAMED_DOCUMENTS = f"""{with_(UNITS, SECTIONS)} SELECT document_id, CASE WHEN page_count % 2 = 0 THEN 'The "' || document_id || '" file.pdf' ELSE document_id END AS document_name,
+substr(sha256('/files/' || document_id || '.pdf'), 1, 32) AS key FROM page_counts"""
+
+
 def first_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.first_document(index_of(spark, sf_dir)).select("document_id", "section_id", "title")
 
@@ -512,6 +527,7 @@ ENTRIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "nested_index": (nested_index, NESTED_INDEX),
     "remembered_summaries": (remembered_summaries, REMEMBERED),
     "ranked_evidence": (ranked_evidence, RANKED_EVIDENCE),
+    "named_documents": (named_documents, NAMED_DOCUMENTS),
     "index_order": (index_order, INDEX_ORDER),
     "listed_facts": (listed_facts, LISTED_FACTS),
     "blank_sections": (blank_sections, BLANK_SECTIONS),
