@@ -36,8 +36,10 @@ def placed_runs(docs: DataFrame, unit: str) -> DataFrame:
     that a document that is there a million times doesn't meet in one task.
     """
     run = F.regexp_extract_all("text", F.lit(f"{UNITS[unit]}{{1,{RUN}}}+"), F.lit(0))
-    rows = keyed(docs).select("doc_id", "key", F.posexplode(run).alias("place", "run"))
-    rows = rows.select("doc_id", "key", "place", F.length("run").cast("long").alias("chars"), F.regexp_count("run", F.lit(UNITS[unit])).cast("long").alias("units"))
+    rows = keyed(docs).withColumn("runs", run).select("doc_id", "key", F.size("runs").alias("of"), F.posexplode("runs").alias("place", "run"))
+    # all runs but the last are full
+    units = F.when(F.col("place") < F.col("of") - 1, F.lit(RUN)).otherwise(F.regexp_count("run", F.lit(UNITS[unit])))
+    rows = rows.select("doc_id", "key", "place", F.length("run").cast("long").alias("chars"), units.cast("long").alias("units"))
     by = Window.partitionBy("key")
     before = F.coalesce(F.sum("chars").over(by.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = by.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
