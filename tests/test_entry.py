@@ -32,3 +32,9 @@ def test_entry_works_without_the_llm_subpackage(tmp_path):
     subprocess.run(["rm", "-r", str(tmp_path / "quire" / "llm")], check=False)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'ldu_chunking' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_membership_has_a_row_for_each_unit_of_each_section(spark, small):
+    found = __spark_entry__.queries()["section_membership"](spark, small)
+    assert found.columns == ["document_id", "section_id", "ldu_id"]
+    assert found.count() == found.distinct().count() > 2 * found.select("document_id", "section_id").distinct().count()
