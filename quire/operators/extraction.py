@@ -6,11 +6,12 @@ strategy, has_document, confidence and notes, as triage.cascade judges them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ Elements = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
 LAYOUT_BOX = {"texts": (100.0, 20.0), "tables": (100.0, 50.0), "pictures": (100.0, 80.0)}
 LAYOUT_SIDES = ", ".join(f"{n} double" for n in ("l", "t", "r", "b", "x0", "y0", "x1", "y1"))
 LAYOUT_RECT = f"struct<{LAYOUT_SIDES.replace(' double', ':double')}>"
+#: Answers of a vision model that a worker gives on at once.
+AT_ONCE = 1000
 #: What a layout model's export may hold; header and rows are those of a table's data frame.
 LAYOUT = (
     f"texts array<struct<text:string,page_no:int,page:int,bbox:{LAYOUT_RECT},rect:{LAYOUT_RECT},prov:array<struct<page_no:int,page:int,bbox:{LAYOUT_RECT},rect:{LAYOUT_RECT}>>>>, "
@@ -154,15 +157,22 @@ def answered(pages: DataFrame, call: Callable[[str, list[bytes]], str | None]) -
     The call runs on the executors, once a document; one that fails gives null.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        document_id = pdf["document_id"].iat[0]
+    def said(document_id: str | None, images: list[bytes | None]) -> str | None:
         try:
-            response = call(document_id, [bytes(b) for b in pdf.sort_values("page")["image"]])
+            return call(document_id, [bytes(b) for b in images])
         except Exception:  # noqa: BLE001  a failed call is an answer too
-            response = None
-        return pd.DataFrame({"document_id": [document_id], "response": [response]})
-
-    return pages.select("document_id", "page", "image").groupBy("document_id").applyInPandas(run, "document_id string, response string")
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a document's pages follow each other, and may go on in the next batch
+        rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        answers = ((document_id, said(document_id, [image for _, image in own])) for document_id, own in groupby(rows, lambda row: row[0]))
+        while some := list(islice(answers, AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*some, strict=True)], ["document_id", "response"])
+
+    dealt = pages.select(F.col("document_id").cast("string").alias("document_id"), "image", "page").repartition("document_id")
+    ordered = dealt.sortWithinPartitions("document_id", F.col("page").asc_nulls_last()).select("document_id", "image")
+    return ordered.mapInArrow(run, "document_id string, response string")
 
 
 def vision_model(answers: DataFrame, config: Rules | None = None) -> tuple[Elements, DataFrame]:
