@@ -21,7 +21,7 @@ from quire.operators import triage
 from quire.plans.config import Rules
 from quire.plans.schemas import ATTEMPTS, FIGURES, TABLES
 from quire.plans.storage import numbered, stored
-from quire.sources.readers import json_or_null, read_answers, vision_elements
+from quire.sources.readers import elements_of_answers, json_or_null, read_answers
 
 Elements = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
 # The boxes of layout elements without one, as right and lower side, by kind; all start at 0.
@@ -113,7 +113,8 @@ def layout_model(exports: DataFrame, config: Rules | None = None) -> tuple[Eleme
     else its own; tables without a data frame have one empty header cell and no rows. No export, or one that isn't JSON,
     is a failed conversion.
     """
-    read = exports.select("document_id", json_or_null(F.col("export"), LAYOUT).alias("v"))
+    # every kind of element, the order and the attempts come from it: JSON is read once
+    read = stored(exports.select("document_id", json_or_null(F.col("export"), LAYOUT).alias("v")))
     good = read.filter("v is not null")
     size = lambda n: F.greatest(F.coalesce(F.size(f"v.{n}"), F.lit(0)), F.lit(0))
     before = {"texts": F.lit(0), "tables": size("texts"), "pictures": size("texts") + size("tables")}
@@ -177,12 +178,12 @@ def answered(pages: DataFrame, call: Callable[[str, list[bytes]], str | None]) -
 
 def vision_model(answers: DataFrame, config: Rules | None = None) -> tuple[Elements, DataFrame]:
     """Strategy C: a vision model's answers as JSON, from answers (document_id, response), become elements."""
-    read = read_answers(answers)
+    read = stored(read_answers(answers))
     done = F.col("valid")
     note = F.when(F.col("v").isNull(), "vision_api_call_failed").when(~done, "vision_response_invalid")
     sure = F.when(done, (config or Rules()).router.vision_default).otherwise(0.0)
     attempts = read.select("document_id", F.lit("vision").alias("strategy"), done.alias("has_document"), sure.alias("confidence"), note.alias("notes"))
-    return vision_elements(answers), attempts
+    return elements_of_answers(read), attempts
 
 
 ATTEMPT = ("document_id", "strategy", "has_document", "confidence", "notes")
